@@ -86,9 +86,9 @@ def rebalance_dates(df: DataFrame, cadence: str = "Q", start: str | None = None,
     return dates
 
 
-def snapshot_dates(as_of: str, n: int, step_days: int) -> Column:
+def step_back(as_of: Column, n: int, step_days: int) -> Column:
     """The as-of date and its predecessors ``step_days`` apart, as an array."""
-    return F.array(*[F.date_sub(F.lit(as_of).cast("date"), step_days * k) for k in range(n)])
+    return F.array(*[F.date_sub(as_of, step_days * k) for k in range(n)])
 
 
 def delisting_adjusted(prices: DataFrame, delistings: DataFrame | None) -> DataFrame:
@@ -116,31 +116,46 @@ def forward_windows(prices: DataFrame, dates: Column, months: int, delistings: D
     return expand_dates(path, dates, test=inside)
 
 
-def forward_stats(prices: DataFrame, dates: Column, horizons: Sequence[int], dd_months: int,
+def rebalance_periods(dates: DataFrame) -> DataFrame:
+    """Calendar months from each rebalance date to the next, at least 1; null for the last."""
+    nxt = F.lead("date").over(W.orderBy("date"))        # calendar bounded
+    months = F.months_between(F.trunc(F.col("_next"), "month"), F.trunc("date", "month")).cast("int")
+    return (dates.withColumn("_next", nxt)
+            .select("date", F.when(F.col("_next").isNotNull(), F.greatest(months, F.lit(1))).alias("period_months")))
+
+
+def forward_stats(prices: DataFrame, dates: DataFrame, horizons: Sequence[int], dd_months: int,
                   delistings: DataFrame | None = None) -> DataFrame:
-    """Forward returns for every horizon and the forward maximum drawdown, from one expansion.
+    """Forward returns per horizon, maximum drawdown and return to the next rebalance, from one expansion.
 
-    The running peak needs an ordered window per (entity, as_of): at most one row per day of the longest horizon.
+    (W10, W11, W14.)  ``dates`` holds the rebalance dates.  The running peak needs an ordered window per
+    (entity, as_of): at most one row per day of the longest horizon.
     """
-    rows = forward_windows(prices, dates, max([*horizons, dd_months]), delistings)
+    longest = max([*horizons, dd_months])
+    spans = rebalance_periods(dates).select(F.struct(
+        F.col("date").alias("d"), F.add_months("date", F.col("period_months")).alias("period_end"),
+        F.greatest(F.add_months("date", longest), F.add_months("date", F.col("period_months"))).alias("until")).alias("s"))
+    spans = spans.agg(F.collect_list("s")).scalar()     # calendar bounded
+    rows = (delisting_adjusted(prices, delistings).withColumn("_spans", spans)
+            .withColumn("_s", F.explode(F.filter("_spans", lambda s: (s["d"] <= F.col("date"))
+                                                 & (F.col("date") <= s["until"]))))
+            .select("entity", "date", "adj_close", F.col("_s.d").alias("as_of"), F.col("_s.period_end").alias("_pe")))
     w = W.partitionBy("entity", "as_of").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     peak = F.max("adj_close").over(w)
     rows = rows.withColumn("_dd", (peak - F.col("adj_close")) / peak)
+    ends = {f"fwd_ret_{h}m": F.add_months("as_of", h) for h in horizons} | {"period_ret": F.col("_pe")}
     aggs = []
-    for h in horizons:
-        inside = F.col("date") <= F.add_months("as_of", h)
-        aggs += [
-            F.max_by("adj_close", F.when(inside, F.col("date"))).alias(f"_last_{h}"),
-            F.count_if(inside).alias(f"_n_{h}"),
-        ]
+    for name, end in ends.items():
+        inside = F.col("date") <= end
+        aggs += [F.max_by("adj_close", F.when(inside, F.col("date"))).alias(f"_last_{name}"),
+                 F.count_if(inside).alias(f"_n_{name}")]
     dd_inside = F.col("date") <= F.add_months("as_of", dd_months)
     agg = rows.groupBy("entity", "as_of").agg(
         F.min_by("adj_close", "date").alias("_first"), *aggs,
         F.max(F.when(dd_inside, F.col("_dd"))).alias("_mdd"), F.count_if(dd_inside).alias("_n_dd"))
     return agg.select(
         "entity", "as_of",
-        *[F.when(F.col(f"_n_{h}") >= 2, F.col(f"_last_{h}") / F.col("_first") - 1).alias(f"fwd_ret_{h}m")
-          for h in horizons],
+        *[F.when(F.col(f"_n_{c}") >= 2, F.col(f"_last_{c}") / F.col("_first") - 1).alias(c) for c in ends],
         F.when(F.col("_n_dd") >= 2, F.col("_mdd")).alias("fwd_maxdd"))
 
 
@@ -161,13 +176,6 @@ def ffill_limit(df: DataFrame, keys: Sequence[str], order: str, value: str, limi
             .drop("_pos", "_seen"))
 
 
-def business_days(df: DataFrame, date: str = "date") -> DataFrame:
-    """Monday to Friday between the first and last date of ``df``."""
-    span = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
-    return (span.select(F.explode(F.sequence("lo", "hi")).alias(date))
-            .where(F.weekday(date) < 5))
-
-
 def reindex_ffill(series: DataFrame, key: str, value: str, limit: int | Column, max_limit: int | None = None,
                   carry: Sequence[str] = ()) -> DataFrame:
     """Series on the business-day calendar, gaps filled up to a limit; off-calendar rows are dropped."""

@@ -17,12 +17,17 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..session import cut_lineage, split_count
 
 
-def value_table(df: DataFrame, by: Sequence[str], value: str, splits: int | None = None) -> DataFrame:
-    """``by, value, cnt, below, n``: exact counts per distinct non-null value, and rows below it in its group."""
-    by = list(by)
+def value_table(df: DataFrame, by: Sequence[str], value: str, splits: int | None = None,
+                sums: dict[str, Column] | None = None) -> DataFrame:
+    """``by, value, cnt, below, n``: exact counts per distinct non-null value, and rows below it in its group.
+
+    ``sums`` adds totals of further integer columns the same way: ``x, x_below, x_total`` for every entry ``x``.
+    """
+    by, sums = list(by), dict(sums or {})
     splits = splits or split_count(df.sparkSession)
+    measures = {"cnt": F.count(F.lit(1)), **{k: F.sum(c) for k, c in sums.items()}}
     counts = cut_lineage(df.where(F.col(value).isNotNull())
-                         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt")))
+                         .groupBy(*by, value).agg(*[a.alias(k) for k, a in measures.items()]))
     probs = [i / splits for i in range(1, splits)]
     cuts = F.percentile_approx(value, probs, splits * 20).alias("_cuts")
     if by:
@@ -31,17 +36,20 @@ def value_table(df: DataFrame, by: Sequence[str], value: str, splits: int | None
         ranged = counts.withColumn("_cuts", counts.agg(cuts).scalar())
     ranged = (ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
               .drop("_cuts"))
-    per_range = ranged.groupBy(*by, "_range").agg(F.sum("cnt").alias("_rows"))
-    whole = W.partitionBy(*by)
+    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(k).alias(f"_r_{k}") for k in measures])
+    whole = W.partitionBy(*by)                    # at most `splits` rows per group
+    earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
         *by, "_range",
-        F.coalesce(F.sum("_rows").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_before"),
-        F.sum("_rows").over(whole).alias("n"))
+        *[F.coalesce(F.sum(f"_r_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in measures],
+        *[F.sum(f"_r_{k}").over(whole).alias(f"_t_{k}") for k in measures])
     inside = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (ranged.withColumn("_inside", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    low = {k: F.col(f"_o_{k}") + F.coalesce(F.col(f"_i_{k}"), F.lit(0)) for k in measures}
+    return (ranged.select("*", *[F.sum(k).over(inside).alias(f"_i_{k}") for k in measures])
             .join(offsets, [*by, "_range"])
-            .select(*by, value, "cnt", (F.col("_before") + F.col("_inside")).alias("below"), "n"))
+            .select(*by, value, "cnt", low["cnt"].alias("below"), F.col("_t_cnt").alias("n"),
+                    *[c for k in sums for c in (F.col(k), low[k].alias(f"{k}_below"),
+                                                F.col(f"_t_{k}").alias(f"{k}_total"))]))
 
 
 def with_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

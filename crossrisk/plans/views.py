@@ -336,4 +336,6 @@ def oracle(needs: str, body: str) -> str:
     for name in needs.split():
         visit(name)
     ctes = ", ".join(f"{n} AS MATERIALIZED ({SQL_VIEWS[n][1]})" for n in order)
-    return f"WITH {ctes} {body}" if order else body
+    if not order:
+        return body
+    return f"WITH {ctes} {body}"        # a body may go on with its own expressions after a comma

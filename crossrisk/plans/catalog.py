@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import backtests, screen, series  # noqa: F401
+from . import backtests, macro, screen, series  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

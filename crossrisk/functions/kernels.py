@@ -137,37 +137,66 @@ def projections(keys: list[str], n_controls: int, n_targets: int):
     return run
 
 
-def components(keys: list[str], names: list[str], k: int, ddof: int = 0):
+def _principal(mean, cov, n, k, ddof):
+    """Standard deviations, eigenvalues and signed eigenvectors of the correlation matrix, largest first."""
+    cov = cov * (n / (n - ddof)) if n > ddof else cov
+    sd = np.sqrt(np.clip(np.diag(cov), 0, None))
+    sd = np.where(sd > 0, sd, 1.0)
+    val, vec = np.linalg.eigh(cov / np.outer(sd, sd))
+    order = np.argsort(val)[::-1]
+    val, vec = np.clip(val[order], 0, None), vec[:, order]
+    peak = vec[np.abs(vec).argmax(axis=0), np.arange(vec.shape[1])]
+    return sd, val, vec * np.where(peak < 0, -1.0, 1.0)
+
+
+def components(keys: list[str], names: list[str], k: int, ddof: int = 0, subsets: dict | None = None):
     """Moment rows to principal components of the correlation matrix.
 
     One output row per (component, name): loading, eigenvalue, share of variance, and the scaler.  A zero standard
-    deviation counts as one; each component's largest absolute loading is positive.
+    deviation counts as one; each component's largest absolute loading is positive.  ``subsets`` fits one model per
+    named subset of the columns; columns outside it load zero.
     """
-    p = len(names)
+    plans = {None: list(range(len(names)))} if subsets is None else {
+        c: [names.index(f) for f in fs] for c, fs in subsets.items()}
+    extra = [] if subsets is None else ["config"]
 
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                n, mean, cov = int(r.n), np.asarray(r.means, dtype=float), unpack(r.cov, p)
-                cov = cov * (n / (n - ddof)) if n > ddof else cov
-                sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-                sd = np.where(sd > 0, sd, 1.0)
-                val, vec = np.linalg.eigh(cov / np.outer(sd, sd))
-                order = np.argsort(val)[::-1]
-                val, vec = np.clip(val[order], 0, None), vec[:, order]
-                total = val.sum()
-                for c in range(min(k, p)):
-                    v = vec[:, c]
-                    v = v if v[np.argmax(np.abs(v))] > 0 else -v
-                    for j, name in enumerate(names):
-                        rows.append((*[getattr(r, x) for x in keys], f"PC{c + 1}", name, float(v[j]), float(val[c]),
-                                     float(val[c] / total) if total > 0 else None, float(mean[j]), float(sd[j]), n))
-            yield pd.DataFrame(rows, columns=[*keys, "pc", "feature", "loading", "eigenvalue", "variance_ratio",
-                                              "mean", "std", "n"])
+                n, mean, cov = int(r.n), np.asarray(r.means, dtype=float), unpack(r.cov, len(names))
+                for config, pick in plans.items():
+                    sd, val, vec = _principal(mean[pick], cov[np.ix_(pick, pick)], n, k, ddof)
+                    total = val.sum()
+                    for c in range(min(k, len(pick))):
+                        load, dev = np.zeros(len(names)), np.ones(len(names))
+                        load[pick], dev[pick] = vec[:, c], sd
+                        head = [getattr(r, x) for x in keys] + ([config] if extra else [])
+                        for j, name in enumerate(names):
+                            rows.append((*head, f"PC{c + 1}", name, float(load[j]), float(val[c]),
+                                         float(val[c] / total) if total > 0 else None, float(mean[j]), float(dev[j]), n))
+            yield pd.DataFrame(rows, columns=[*keys, *extra, "pc", "feature", "loading", "eigenvalue",
+                                              "variance_ratio", "mean", "std", "n"])
     return run
 
 
+def gram_partial(width: int):
+    """Sum of outer products of the vectors of one partition, one output row per matrix row."""
+    def run(batches):
+        g = np.zeros((width, width))
+        for pdf in batches:
+            if len(pdf):
+                z = np.stack([np.asarray(v, dtype=float) for v in pdf["z"]])
+                g += z.T @ z
+        yield pd.DataFrame({"i": np.arange(width), "row": list(g)})
+    return run
+
+
+def add_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Element-wise sum of the partial rows of one matrix row."""
+    return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "row": [np.sum(np.stack(list(pdf["row"])), axis=0)]})
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by direct differences, one column at a time to bound memory."""
     out = np.zeros((a.shape[0], b.shape[0]))

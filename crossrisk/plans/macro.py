@@ -186,7 +186,7 @@ def rolling_beta(spark, sf_dir):
 
 @query("rolling_ols", "reg", """
     SELECT date, 'A_F' AS factor, round(covar_pop(port, A_F) OVER w / var_pop(A_F) OVER w, 6) AS beta
-    FROM reg QUALIFY count(*) OVER w = 60 WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+    FROM reg WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 60""")
 def rolling_ols(spark, sf_dir):
     """G9."""
     return R.rolling_betas(sample(spark, sf_dir), "port", ["A_F"]).select("date", "factor", r6("beta"))

@@ -180,6 +180,39 @@ def components(keys: list[str], names: list[str], k: int, ddof: int = 0, subsets
     return run
 
 
+def standard_vectors(days: list[int]):
+    """Entity rows of (day numbers, returns) to calendar-length z-vectors: missing days zero, sample deviation.
+
+    Entities without variance are dropped.
+    """
+    grid = np.asarray(days)
+
+    def run(batches):
+        for pdf in batches:
+            ids, out = [], []
+            for entity, day, ret in zip(pdf["entity"], pdf["day"], pdf["ret"]):
+                x = np.zeros(len(grid))
+                x[np.searchsorted(grid, np.asarray(day))] = np.asarray(ret, dtype=float)
+                sd = x.std(ddof=1) if len(x) > 1 else 0.0
+                if sd > 0:
+                    ids.append(entity)
+                    out.append((x - x.mean()) / sd)
+            yield pd.DataFrame({"entity": pd.Series(ids, dtype=pdf["entity"].dtype), "z": out})
+    return run
+
+
+def entity_loadings(basis: np.ndarray, pcs: list[str]):
+    """z-vectors times the scaled day basis: one row per entity and component."""
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            load = np.stack([np.asarray(v, dtype=float) for v in pdf["z"]]) @ basis
+            yield pd.DataFrame({"entity": np.repeat(pdf["entity"].to_numpy(), len(pcs)), "pc": pcs * len(pdf),
+                                "loading": load.ravel()})
+    return run
+
+
 def gram_partial(width: int):
     """Sum of outer products of the vectors of one partition, one output row per matrix row."""
     def run(batches):

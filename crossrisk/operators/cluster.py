@@ -121,6 +121,7 @@ def tiled(left: DataFrame, right: DataFrame, keys: Sequence[str], tile: int) ->
     blocks = lambda d, name: d.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
     sizes = blocks(left, "_a").join(blocks(right, "_b"), list(keys))
     own = lambda n: F.pmod(F.xxhash64("entity"), F.col(n)).cast("int")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])      # both sides may be the same table
     l = (left.join(sizes, list(keys)).withColumn("_i", own("_a"))
          .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_a", "_b"))
     r = (right.join(sizes, list(keys)).withColumn("_j", own("_b"))

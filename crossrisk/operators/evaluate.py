@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import BOTTOM_TIER, MIN_EVENTS, RunConfig, TIERS, TIER_LABELS, TOP_TIER
 from ..functions.expr import wilson
+from .gram import keyed
 from .order_stats import mid_rank, pooled_deciles, row_numbers, value_table, with_ranks
 
 DECILE_ORDER = ("composite_score", "date", "entity")
@@ -209,30 +210,25 @@ def spearman_ic(panel: DataFrame, target: str, min_pairs: int = 5) -> DataFrame:
 def newey_west(series: DataFrame, value: str, by: Sequence[str] = (), lags: int | None = None) -> DataFrame:
     """Mean and its Newey-West t per group of a date series.
 
-    Nulls are dropped and gaps close up; Bartlett weights; the automatic lag count is clamped to [1, n - 1].  The series
-    has one value per date, so it fits an array and everything is one column expression.
+    Nulls are dropped and gaps close up; Bartlett weights; the automatic lag count is clamped to [1, n - 1].  The
+    series has one value per date; lagged products come from an equi-join on the shifted position.
     """
-    rows = series.where(F.col(value).isNotNull())
-    arr = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", value))),
-                                            lambda p: p[value]).alias("x"))
-    n = F.size("x")
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    base = arr.withColumn("_n", n).withColumn("mean", total(F.col("x")) / F.col("_n"))
-    base = base.withColumn("e", F.transform("x", lambda v: v - F.col("mean")))
-    auto = F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2.0 / 9.0)))
-    auto = F.greatest(F.lit(1), F.least(auto, F.col("_n") - 1))
-    base = base.withColumn("L", (F.lit(lags) if lags is not None else auto).cast("int"))
-    gamma = lambda k: F.when(k < F.col("_n"), total(F.transform(
-        F.sequence(F.lit(1), F.col("_n") - k),
-        lambda t: F.get("e", t - 1) * F.get("e", t + k - 1))) / F.col("_n")).otherwise(F.lit(0.0))
-    weighted = F.transform(F.sequence(F.lit(1), F.col("L")),
-                           lambda k: (F.lit(1.0) - k / (F.col("L") + 1)) * gamma(k))
-    gamma0 = total(F.transform("e", lambda v: v * v)) / F.col("_n")
-    var = gamma0 + 2 * total(weighted)
-    se = F.sqrt(F.greatest(var, F.lit(0.0)) / F.col("_n"))
-    se = F.when((F.col("_n") >= 2) & (var > 0), se)
-    return base.select(*by, F.col("_n").cast("long").alias("n"), "mean", (F.col("mean") / se).alias("t_stat"),
-                       F.when(F.col("_n") >= 2, F.col("L").cast("long")).alias("lags"))
+    rows, keys = keyed(series.where(F.col(value).isNotNull()), by)
+    whole = W.partitionBy(*keys)
+    rows = rows.select(*keys, F.col(value).alias("_v"), F.row_number().over(whole.orderBy("date")).alias("_t"),
+                       F.count(F.lit(1)).over(whole).alias("_n"), F.avg(value).over(whole).alias("_m"))
+    auto = F.greatest(F.lit(1), F.least(F.floor(4 * F.pow(F.col("_n") / 100, F.lit(2.0 / 9.0))), F.col("_n") - 1))
+    rows = rows.select(*keys, "_t", "_n", "_m", (F.col("_v") - F.col("_m")).alias("_e"),
+                       (F.lit(lags) if lags is not None else auto).cast("int").alias("_L"))
+    now = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_L")))).withColumn("_t", F.col("_t") - F.col("_k"))
+    then = rows.select(*keys, "_t", F.col("_e").alias("_e2"))
+    weight = F.when(F.col("_k") == 0, F.lit(1.0)).otherwise(2 * (1 - F.col("_k") / (F.col("_L") + 1)))
+    agg = now.join(then, [*keys, "_t"]).groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.max("_m").alias("mean"), F.max("_L").alias("lags"),
+        (F.sum(weight * F.col("_e") * F.col("_e2")) / F.max("_n")).alias("_var"))
+    se = F.when((F.col("n") >= 2) & (F.col("_var") > 0), F.sqrt(F.col("_var") / F.col("n")))
+    return agg.select(*by, "n", "mean", (F.col("mean") / se).alias("t_stat"),
+                      F.when(F.col("n") >= 2, F.col("lags").cast("long")).alias("lags"))
 
 
 # ---- strategies -------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import N_PCS, PC_FAMILIES
 from ..functions import kernels
-from ..session import bounded_rows
+from ..session import bounded_rows, cut_lineage
 from . import regress
 from .gram import ONE, key_schema, keyed, moments
 from .scoring import top_k
@@ -99,18 +99,18 @@ def top_bottom(loadings: DataFrame, k: int = 10, name: str = "entity") -> DataFr
 MAX_DAYS = 5000             # the date x date matrix is the only thing solved in one place
 
 
-def _standard_vectors(returns: DataFrame, days: Column) -> DataFrame:
-    """``entity, z``: one calendar-length vector per entity, missing returns zero, sample deviation."""
-    cells = F.map_from_entries(F.collect_list(F.struct("date", "ret")))
-    vec = (returns.where(F.col("ret").isNotNull()).groupBy("entity").agg(cells.alias("_m"))
-           .withColumn("_days", days)
-           .withColumn("x", F.transform("_days", lambda d: F.coalesce(F.col("_m")[d], F.lit(0.0)))))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    n = F.size("x")
-    vec = vec.withColumn("_mu", total(F.col("x")) / n)
-    vec = vec.withColumn("_sd", F.sqrt(total(F.transform("x", lambda v: (v - F.col("_mu")) * (v - F.col("_mu")))) / (n - 1)))
-    return (vec.where(F.col("_sd") > 0)
-            .select("entity", F.transform("x", lambda v: (v - F.col("_mu")) / F.col("_sd")).alias("z")))
+def _calendar_days(returns: DataFrame) -> list[int]:
+    day = returns.select(F.unix_date("date").alias("d")).distinct().orderBy("d")
+    return [r["d"] for r in bounded_rows(day, MAX_DAYS, "return calendar")]
+
+
+def _standard_vectors(returns: DataFrame, days: list[int]) -> DataFrame:
+    """``entity, z``: one calendar-length vector per entity; an entity has at most one return per day."""
+    cells = F.collect_list(F.struct(F.unix_date("date").alias("d"), "ret"))
+    rows = (returns.where(F.col("ret").isNotNull()).groupBy("entity").agg(cells.alias("_c"))
+            .select("entity", F.col("_c.d").alias("day"), F.col("_c.ret").alias("ret")))
+    kind = returns.schema["entity"].dataType.simpleString()
+    return rows.mapInPandas(kernels.standard_vectors(days), f"entity {kind}, z array<double>")
 
 
 def corr_pca(returns: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -119,13 +119,10 @@ def corr_pca(returns: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFram
     Entities are many and days are few, so the day x day matrix is summed over entities in parallel and decomposed;
     the entity loadings follow from it as a distributed product.  The entity x entity matrix never exists.
     """
-    from . import asof
-    from ..session import cut_lineage
     spark = returns.sparkSession
-    dates = [r["date"] for r in bounded_rows(returns.select("date").distinct().orderBy("date"), MAX_DAYS, "return calendar")]
-    vectors = cut_lineage(_standard_vectors(returns, asof.calendar(returns)))
-    n_entities = vectors.count()
-    t = len(dates)
+    days = _calendar_days(returns)
+    vectors = cut_lineage(_standard_vectors(returns, days))
+    n_entities, t = vectors.count(), len(days)
     if k > n_entities:
         raise ValueError(f"{k} components asked of {n_entities} entities")
     partial = vectors.select("z").mapInPandas(kernels.gram_partial(t), "i int, row array<double>")
@@ -137,22 +134,16 @@ def corr_pca(returns: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFram
     order = np.argsort(val)[::-1][:min(k, t)]
     val, vec = np.clip(val[order], 0, None), vec[:, order]
     pcs = [f"PC{i + 1}" for i in range(len(order))]
-    basis = [(dates[d], pcs[c], float(vec[d, c])) for d in range(t) for c in range(len(order))]
-    basis = spark.createDataFrame(basis, "date date, pc string, u double")
-    sizes = [(p, float(np.sqrt(v)), float(v / (t - 1)), float(v / (t - 1) / n_entities)) for p, v in zip(pcs, val)]
-    sizes = spark.createDataFrame(sizes, "pc string, singular double, eigenvalue double, variance_ratio double")
-    days = asof.calendar(returns)
-    long = (vectors.withColumn("_d", days)
-            .select("entity", F.explode(F.arrays_zip(F.col("_d").alias("date"), F.col("z").alias("z"))).alias("c"))
-            .select("entity", "c.date", "c.z"))
-    raw = (long.join(basis, "date").groupBy("entity", "pc").agg(F.sum(F.col("z") * F.col("u")).alias("_l"))
-           .join(sizes, "pc").select("entity", "pc", (F.col("_l") / F.col("singular")).alias("loading")))
-    raw = cut_lineage(raw)
+    scale = np.where(val > 0, np.sqrt(np.where(val > 0, val, 1.0)), np.inf)
+    kind = returns.schema["entity"].dataType.simpleString()
+    raw = cut_lineage(vectors.mapInPandas(kernels.entity_loadings(vec / scale, pcs), f"entity {kind}, pc string, loading double"))
     sign = raw.groupBy("pc").agg(F.sign(F.max_by("loading", F.struct(F.abs("loading"), "entity"))).alias("_sign"))
     loadings = raw.join(sign, "pc").select("entity", "pc", (F.col("loading") * F.col("_sign")).alias("loading"))
-    scores = (basis.join(sizes, "pc").join(sign, "pc")
-              .select("date", "pc", (F.col("u") * F.col("singular") * F.col("_sign")).alias("score")))
-    return loadings, scores, sizes.drop("singular")
+    cells = [(d, p, float(vec[i, c] * np.sqrt(val[c]))) for i, d in enumerate(days) for c, p in enumerate(pcs)]
+    scores = (spark.createDataFrame(cells, "day int, pc string, s double").join(sign, "pc")
+              .select(F.date_from_unix_date("day").alias("date"), "pc", (F.col("s") * F.col("_sign")).alias("score")))
+    sizes = [(p, float(v / (t - 1)), float(v / (t - 1) / n_entities)) for p, v in zip(pcs, val)]
+    return loadings, scores, spark.createDataFrame(sizes, "pc string, eigenvalue double, variance_ratio double")
 
 
 def marchenko_pastur(n: Column, t: Column) -> Column:
@@ -236,9 +227,8 @@ def variance_decomposition(loadings: DataFrame, variance: DataFrame, weights: Da
 
     w'Cw is the variance of the weighted standardized returns, one pass instead of a matrix.
     """
-    from . import asof
     w = align_weights(weights, loadings)
-    vec = _standard_vectors(returns, asof.calendar(returns)).join(w, "entity")
+    vec = _standard_vectors(returns, _calendar_days(returns)).join(w, "entity")
     cells = vec.select("weight", F.posexplode("z").alias("t", "z"))
     series = cells.groupBy("t").agg(F.sum(F.col("weight") * F.col("z")).alias("v"))
     total = series.agg(F.var_samp("v")).scalar()

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import BOTTOM_TIER, MIN_EVENTS, RunConfig, TIERS, TIER_LABELS, TOP_TIER
 from ..functions.expr import wilson
 from .gram import keyed
-from .order_stats import mid_rank, pooled_deciles, row_numbers, value_table, with_ranks
+from .order_stats import mid_rank, pooled_deciles, positions, row_numbers, value_table, with_ranks
 
 DECILE_ORDER = ("composite_score", "date", "entity")
 
@@ -268,7 +268,7 @@ def turnover(weights: DataFrame, dates: DataFrame, by: Sequence[str] = ()) -> Da
 
 
 def strategy_weights(panel: DataFrame, per_sector: bool = False) -> DataFrame:
-    """``strategy, date, entity, weight`` of the avoid-top-tier and long/short strategies.
+    """``strategy, date, entity, weight, period_ret`` of the avoid-top-tier and long/short strategies.
 
     Long/short pools all sectors; ``per_sector`` splits each side equally over the sectors that have it.
     """
@@ -276,9 +276,10 @@ def strategy_weights(panel: DataFrame, per_sector: bool = False) -> DataFrame:
     n_keep = F.count_if(F.col("risk_tier") != TOP_TIER).alias("n_keep")
     sizes = rows.groupBy("date").agg(n_keep, F.count_if(F.col("risk_tier") == BOTTOM_TIER).alias("n_long"),
                                      F.count_if(F.col("risk_tier") == TOP_TIER).alias("n_short"))
-    base = rows.select("date", "entity", "sector", "risk_tier").join(sizes, "date")
+    base = rows.select("date", "entity", "sector", "risk_tier", "period_ret").join(sizes, "date")
     avoid = (base.where(F.col("risk_tier") != TOP_TIER)
-             .select(F.lit("avoid_top_tier").alias("strategy"), "date", "entity", (1 / F.col("n_keep")).alias("weight")))
+             .select(F.lit("avoid_top_tier").alias("strategy"), "date", "entity", (1 / F.col("n_keep")).alias("weight"),
+                     "period_ret"))
     sides = base.where(F.col("risk_tier").isin(TOP_TIER, BOTTOM_TIER))
     long = F.col("risk_tier") == BOTTOM_TIER
     if per_sector:
@@ -289,7 +290,7 @@ def strategy_weights(panel: DataFrame, per_sector: bool = False) -> DataFrame:
     else:
         size = F.when(long, F.col("n_long")).otherwise(F.col("n_short"))
     ls = sides.select(F.lit("long_short").alias("strategy"), "date", "entity",
-                      (F.when(long, F.lit(0.5)).otherwise(F.lit(-0.5)) / size).alias("weight"))
+                      (F.when(long, F.lit(0.5)).otherwise(F.lit(-0.5)) / size).alias("weight"), "period_ret")
     return avoid.unionByName(ls)
 
 
@@ -301,8 +302,7 @@ def strategy_returns(panel: DataFrame, cost_bps: float, per_sector: bool = False
     rows = panel.where(F.col("period_ret").isNotNull())
     bench = rows.groupBy("date").agg(F.avg("period_ret").alias("bench"))
     weights = strategy_weights(panel, per_sector)
-    gross = (weights.join(rows.select("date", "entity", "period_ret"), ["date", "entity"])
-             .groupBy("strategy", "date").agg(F.sum(F.col("weight") * F.col("period_ret")).alias("gross")))
+    gross = weights.groupBy("strategy", "date").agg(F.sum(F.col("weight") * F.col("period_ret")).alias("gross"))
     moved = turnover(weights, rows, ["strategy"])
     grid = bench.withColumn("strategy", F.explode(F.array(F.lit("avoid_top_tier"), F.lit("long_short"))))
     empty = F.when(F.col("strategy") == "avoid_top_tier", F.col("bench")).otherwise(F.lit(0.0))
@@ -356,10 +356,10 @@ def shuffled_scores(panel: DataFrame, seed: int = 0) -> DataFrame:
     Both orders get exact ranks from value tables of their hashes, so no date is ordered in one task.
     """
     rows = panel.where(F.col("composite_score").isNotNull())
-    keyed = rows.withColumn("_a", F.xxhash64("entity", F.lit(seed))).withColumn("_b", F.xxhash64("entity", F.lit(seed + 1)))
-    left = with_ranks(keyed, ["date"], "_a").withColumn("_pos", F.col("below")).drop("cnt", "below", "n")
-    right = with_ranks(keyed.select("date", "_b", F.col("composite_score").alias("_score")), ["date"], "_b") \
-        .select("date", F.col("below").alias("_pos"), "_score")
+    hashed = rows.withColumn("_a", F.xxhash64("entity", F.lit(seed))).withColumn("_b", F.xxhash64("entity", F.lit(seed + 1)))
+    left = positions(hashed, ["date"], "_a", "entity", "_pos").drop("n")
+    right = positions(hashed.select("date", "entity", "_b", F.col("composite_score").alias("_score")), ["date"], "_b",
+                      "entity", "_pos").select("date", "_pos", "_score")
     return (left.join(right, ["date", "_pos"]).withColumn("composite_score", F.col("_score"))
             .drop("_a", "_b", "_pos", "_score"))
 

@@ -61,6 +61,15 @@ def with_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.join(value_table(df, by, value), [*by, value], "left")
 
 
+def positions(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str = "pos") -> DataFrame:
+    """Zero-based position in the group by (value, tie), with the group size ``n``.
+
+    Meant for values that rarely tie (hashes, measures): only a tie group is ordered in one task.
+    """
+    nth = F.row_number().over(W.partitionBy(*by, value).orderBy(tie))
+    return with_ranks(df, by, value).withColumn(out, F.col("below") + nth - 1).drop("cnt", "below")
+
+
 def mid_rank(below: str | Column = "below", cnt: str | Column = "cnt") -> Column:
     """Average rank over ties, as twice the rank to stay in integers."""
     below, cnt = (F.col(c) if isinstance(c, str) else c for c in (below, cnt))

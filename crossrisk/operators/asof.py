@@ -142,7 +142,7 @@ def forward_stats(prices: DataFrame, dates: DataFrame, horizons: Sequence[int],
             .select("entity", "date", "adj_close", F.col("_s.d").alias("as_of"), F.col("_s.period_end").alias("_pe")))
     w = W.partitionBy("entity", "as_of").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     peak = F.max("adj_close").over(w)
-    rows = rows.withColumn("_dd", (peak - F.col("adj_close")) / peak)
+    rows = rows.withColumn("_dd", F.try_divide(peak - F.col("adj_close"), peak))
     ends = {f"fwd_ret_{h}m": F.add_months("as_of", h) for h in horizons} | {"period_ret": F.col("_pe")}
     aggs = []
     for name, end in ends.items():
@@ -155,7 +155,7 @@ def forward_stats(prices: DataFrame, dates: DataFrame, horizons: Sequence[int],
         F.max(F.when(dd_inside, F.col("_dd"))).alias("_mdd"), F.count_if(dd_inside).alias("_n_dd"))
     return agg.select(
         "entity", "as_of",
-        *[F.when(F.col(f"_n_{c}") >= 2, F.col(f"_last_{c}") / F.col("_first") - 1).alias(c) for c in ends],
+        *[F.when(F.col(f"_n_{c}") >= 2, F.try_divide(f"_last_{c}", "_first") - 1).alias(c) for c in ends],
         F.when(F.col("_n_dd") >= 2, F.col("_mdd")).alias("fwd_maxdd"))
 
 

@@ -34,7 +34,7 @@ def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-null rows and share per feature (A28), one partial aggregate."""
     agg = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in cols])
     return (agg.unpivot("n", list(cols), "feature", "non_null")
-            .select("feature", "n", "non_null", (F.col("non_null") / F.col("n")).alias("coverage")))
+            .select("feature", "n", "non_null", F.try_divide("non_null", "n").alias("coverage")))
 
 
 def fundamentals_gate(df: DataFrame, cols: Sequence[str] = FUNDAMENTAL_CORE, min_cov: float = 0.10, limit: int = 3) -> None:

@@ -142,7 +142,7 @@ def silhouette_points(points: DataFrame, pcs: Sequence[str], by: Sequence[str] =
     sums = (left.groupBy(*tiles).cogroup(right.groupBy(*tiles))
             .applyInPandas(kernels.cluster_sums(ids, list(pcs)),
                            f"{key_schema(rows, ids)}, cluster {cluster_type}, other {cluster_type}, dist double, m long"))
-    mean = sums.groupBy(*ids, "cluster", "other").agg((F.sum("dist") / F.sum("m")).alias("d"), F.sum("m").alias("m"))
+    mean = sums.groupBy(*ids, "cluster", "other").agg(F.try_divide(F.sum("dist"), F.sum("m")).alias("d"), F.sum("m").alias("m"))
     same = F.col("cluster") == F.col("other")
     per = mean.groupBy(*ids, "cluster").agg(F.max(F.when(same & (F.col("m") > 0), F.col("d"))).alias("a"),
                                             F.min(F.when(~same, F.col("d"))).alias("b"))
@@ -166,7 +166,7 @@ def calinski(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = ()) -> D
     within = sum((F.col(f"w_{p}") for p in pcs), F.lit(0.0))
     agg = per.join(whole, keys).groupBy(*keys).agg(
         F.sum(between).alias("b"), F.sum(within).alias("inertia"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
-    ch = F.when(F.col("inertia") > 0, (F.col("b") / (F.col("k") - 1)) / (F.col("inertia") / (F.col("n") - F.col("k"))))
+    ch = F.when(F.col("inertia") > 0, F.try_divide(F.try_divide("b", F.col("k") - 1), F.try_divide("inertia", F.col("n") - F.col("k"))))
     out = agg.select(*keys, "n", "k", "inertia", ch.alias("calinski_harabasz"))
     return out if by else out.drop(ONE)
 
@@ -191,9 +191,9 @@ def separation(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = ()) ->
     apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
     pairs = F.flatten(F.transform("cs", lambda a: F.transform(F.filter("cs", lambda b: b["cluster"] > a["cluster"]),
                                                                lambda b: apart(a["c"], b["c"]))))
-    mean = F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / F.size(pairs)
+    mean = F.try_divide(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v), F.size(pairs))
     out = (arr.select(*keys, mean.alias("between")).join(inside, keys)
-           .withColumn("ratio", F.col("between") / F.col("within")).withColumn("weak", F.col("ratio") < 1.5))
+           .withColumn("ratio", F.try_divide("between", "within")).withColumn("weak", F.col("ratio") < 1.5))
     return out if by else out.drop(ONE)
 
 
@@ -205,9 +205,9 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> Data
     both = cells.groupBy(*keys).agg(F.sum(c2(F.col("m"))).alias("ij"), F.sum("m").alias("n"))
     side = lambda c, name: (cells.groupBy(*keys, c).agg(F.sum("m").alias("m")).groupBy(*keys).agg(F.sum(c2(F.col("m"))).alias(name)))
     j = both.join(side(a, "ai"), keys).join(side(b, "bj"), keys)
-    expected = F.col("ai") * F.col("bj") / c2(F.col("n"))
+    expected = F.try_divide(F.col("ai") * F.col("bj"), c2(F.col("n")))
     top, bottom = F.col("ij") - expected, (F.col("ai") + F.col("bj")) / 2 - expected
-    out = j.select(*keys, F.when(bottom == 0, F.lit(1.0)).otherwise(top / bottom).alias("ari"))
+    out = j.select(*keys, F.when(bottom.isNull() | (bottom == 0), F.lit(1.0)).otherwise(F.try_divide(top, bottom)).alias("ari"))
     return out if by else out.drop(ONE)
 
 
@@ -237,7 +237,7 @@ def risk_rank(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> Dat
     flipped = [(-F.col(c) if RISK_DIRECTION.get(c, 1) == -1 else F.col(c)) for c in cols]
     total = sum((F.coalesce(f, F.lit(0.0)) for f in flipped[1:]), F.coalesce(flipped[0], F.lit(0.0)))
     n = sum((f.isNotNull().cast("int") for f in flipped[1:]), flipped[0].isNotNull().cast("int"))
-    risk = z.withColumn("_r", total / n).groupBy(*by, "cluster").agg(F.avg("_r").alias("risk"))
+    risk = z.withColumn("_r", F.try_divide(total, n)).groupBy(*by, "cluster").agg(F.avg("_r").alias("risk"))
     w = W.partitionBy(*by).orderBy("risk", "cluster")              # one row per cluster
     return risk.withColumn("risk_rank", F.row_number().over(w) - 1)
 

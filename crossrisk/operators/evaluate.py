@@ -124,6 +124,7 @@ def roc(panel: DataFrame, points: int = 60) -> DataFrame:
         (F.col("pos_total") - F.col("pos_below")).alias("tp"),
         (F.col("n") - F.col("pos_total") - (F.col("below") - F.col("pos_below"))).alias("fp"),
         F.col("pos_total").alias("p"), (F.col("n") - F.col("pos_total")).alias("q"))
+    steps = steps.where("p > 0 AND q > 0")        # a single class has no curve
     ordered = row_numbers(steps, [F.col("composite_score").desc()], "rn")
     following = ordered.select((F.col("rn") - 1).alias("rn"), F.col("pos").alias("pos2"), F.col("neg").alias("neg2"))
     corner = (F.col("rn") == 1) | F.col("pos2").isNull() | (F.col("pos") != F.col("pos2")) | (F.col("neg") != F.col("neg2"))
@@ -238,7 +239,7 @@ def equity_curve(rets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     w = W.partitionBy(*by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     out = rets.where(F.col("ret").isNotNull()).withColumn("equity", F.product(1 + F.col("ret")).over(w))
     peak = F.max("equity").over(w)
-    return out.withColumn("drawdown", (peak - F.col("equity")) / peak)
+    return out.withColumn("drawdown", F.try_divide(peak - F.col("equity"), peak))
 
 
 def equity_stats(rets: DataFrame, by: Sequence[str] = (), per_year: int = 4) -> DataFrame:

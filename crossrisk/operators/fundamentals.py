@@ -89,8 +89,9 @@ def altman_z() -> Column:
     mcap = F.coalesce(_positive_or_null("market_cap"),
                       F.coalesce(_positive_or_null("current_price"), _positive_or_null("regular_price"))
                       * _positive_or_null("shares_outstanding"))
-    parts = [1.2 * (F.col("current_assets") - F.col("current_liabilities")) / ta, 1.4 * F.col("retained_earnings") / ta,
-             3.3 * F.col("ebit") / ta, 0.6 * mcap / tl, 1.0 * F.col("revenue") / ta]
+    parts = [F.try_divide(1.2 * (F.col("current_assets") - F.col("current_liabilities")), ta),
+             F.try_divide(1.4 * F.col("retained_earnings"), ta), F.try_divide(3.3 * F.col("ebit"), ta),
+             F.try_divide(0.6 * mcap, tl), F.try_divide("revenue", ta)]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
     n = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
     return F.when(~F.col("is_financial") & (ta > 0) & (tl > 0) & (mcap != 0) & (n >= 3), total)
@@ -105,7 +106,7 @@ def net_debt_to_ebitda() -> Column:
     parts = F.coalesce("long_term_debt", F.lit(0.0)) + F.coalesce("short_term_debt", F.lit(0.0))
     some = (F.coalesce("long_term_debt", F.lit(0.0)) != 0) | (F.coalesce("short_term_debt", F.lit(0.0)) != 0)
     debt = F.coalesce(F.col("total_debt"), F.when(some, parts))
-    ratio = (debt - F.coalesce("cash", F.lit(0.0))) / F.col("ebitda_ttm")
+    ratio = F.try_divide(debt - F.coalesce("cash", F.lit(0.0)), "ebitda_ttm")
     return (F.when(debt.isNull(), F.lit(None).cast("double"))
             .when(F.col("ebitda_ttm").isNull() | (F.col("ebitda_ttm") <= 0), F.lit(20.0))
             .otherwise(clamp(ratio, -20.0, 20.0)))
@@ -144,7 +145,7 @@ def earnings_negative() -> Column:
 def ev_to_ebitda() -> Column:
     """The given multiple, else EV over trailing EBITDA; not positive counts as 50, cap 50 (F8)."""
     given = F.col("ev_multiple")
-    built = _positive_or_null("enterprise_value") / F.col("ebitda_ttm")
+    built = F.try_divide(_positive_or_null("enterprise_value"), "ebitda_ttm")
     capped = lambda c: F.when(c <= 0, F.lit(50.0)).otherwise(clamp(c, float("-inf"), 50.0))
     no_ev = _positive_or_null("enterprise_value").isNull() | F.col("ebitda_ttm").isNull()
     return (F.when(given.isNotNull(), capped(given)).when(no_ev, F.lit(None).cast("double"))

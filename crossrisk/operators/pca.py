@@ -162,7 +162,8 @@ def split_half(returns: DataFrame, k: int) -> DataFrame:
     common = _varying(first).join(_varying(second), "entity", "left_semi")
     a = corr_pca(first.join(common, "entity", "left_semi"), k)[0].withColumnRenamed("loading", "_a")
     b = corr_pca(second.join(common, "entity", "left_semi"), k)[0].withColumnRenamed("loading", "_b")
-    cos = F.abs(F.sum(F.col("_a") * F.col("_b"))) / F.sqrt(F.sum(F.col("_a") * F.col("_a")) * F.sum(F.col("_b") * F.col("_b")))
+    size = F.sqrt(F.sum(F.col("_a") * F.col("_a")) * F.sum(F.col("_b") * F.col("_b")))
+    cos = F.try_divide(F.abs(F.sum(F.col("_a") * F.col("_b"))), size)
     return (a.join(b, ["entity", "pc"]).groupBy("pc").agg(cos.alias("cosine"))
             .withColumn("verdict", F.when(F.col("cosine") > 0.7, "robust").when(F.col("cosine") < 0.5, "noise").otherwise("weak")))
 
@@ -280,7 +281,7 @@ def factor_pca(factors: DataFrame, series: DataFrame, candidates: Sequence[str],
     scores = project(rows, model, cols, (), k, keep=["date"])
     pcs = [f"PC{i + 1}" for i in range(k)]
     spread = scores.agg(F.struct(*[F.stddev_pop(p).alias(p) for p in pcs])).scalar()
-    unit = scores.withColumn("_s", spread).select("date", *[(F.col(p) / F.col(f"_s.{p}")).alias(p) for p in pcs])
+    unit = scores.withColumn("_s", spread).select("date", *[F.try_divide(F.col(p), F.col(f"_s.{p}")).alias(p) for p in pcs])
     fits = regress.ols_hac(series.join(unit, "date"), "ret", pcs, ["which"], lags)
     top2 = top_k(model, ["pc"], [F.abs("loading").desc(), F.col("feature")], 2)
     shown = F.create_map(*[F.lit(v) for kv in (names or {c: c for c in cols}).items() for v in kv])

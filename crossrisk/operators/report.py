@@ -52,7 +52,7 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
     """Equal-width bins between minimum and maximum."""
     span = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
     width = (F.col("_s.hi") - F.col("_s.lo")) / bins
-    slot = F.least(F.floor((F.col(value) - F.col("_s.lo")) / width), F.lit(bins - 1))
+    slot = F.least(F.floor(F.try_divide(F.col(value) - F.col("_s.lo"), width)), F.lit(bins - 1))      # null when flat
     return (df.where(F.col(value).isNotNull()).withColumn("_s", span)
             .groupBy(F.coalesce(slot, F.lit(0)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
@@ -61,7 +61,7 @@ def headline(scores: DataFrame, holdings: DataFrame, by: Sequence[str]) -> DataF
     """Weighted mean score and count of the top tier among holdings."""
     held = scores.join(holdings, "entity").where(F.col("composite_score").isNotNull())
     return held.groupBy(*by).agg(
-        (F.sum(F.col("weight") * F.col("composite_score")) / F.sum("weight")).alias("weighted_score"),
+        F.try_divide(F.sum(F.col("weight") * F.col("composite_score")), F.sum("weight")).alias("weighted_score"),
         F.count_if(F.col("risk_tier") == "Elevated").alias("n_elevated"), F.count(F.lit(1)).alias("n_held"))
 
 

@@ -21,7 +21,7 @@ def simple_returns(prices: DataFrame, pad: bool = False) -> DataFrame:
     else:
         prices = prices.where(F.col("adj_close").isNotNull())
     prev = F.lag("adj_close").over(_by_date())
-    return (prices.select("entity", "date", (F.col("adj_close") / prev - 1).alias("ret"))
+    return (prices.select("entity", "date", (F.try_divide("adj_close", prev) - 1).alias("ret"))
             .where(F.col("ret").isNotNull()))
 
 
@@ -35,7 +35,7 @@ def transform(kind: str, value: str = "value", key: str = "factor") -> Column:
     if kind == "log_return":
         return F.when((x > 0) & (prev > 0), F.ln(x / prev))
     if kind == "pct_change":
-        return x / prev - 1
+        return F.try_divide(x, prev) - 1
     raise ValueError(f"unknown transform {kind!r}")
 
 
@@ -57,7 +57,7 @@ def price_signals(prices: DataFrame) -> DataFrame:
     calendar_w = W.partitionBy("entity").orderBy(day)
     n = F.row_number().over(_by_date())
     prev = F.lag("adj_close").over(_by_date())
-    base = prices.withColumn("_n", n).withColumn("_ret", F.col("adj_close") / prev - 1)
+    base = prices.withColumn("_n", n).withColumn("_ret", F.try_divide("adj_close", prev) - 1)
 
     def momentum(days: int) -> Column:
         then = F.last("adj_close").over(calendar_w.rangeBetween(W.unboundedPreceding, -days))
@@ -114,7 +114,7 @@ def portfolio_returns(returns: DataFrame, weights: DataFrame) -> DataFrame:
     earned = (returns.join(held, "entity")
               .groupBy("date").agg(F.sum(F.col("weight") * F.coalesce("ret", F.lit(0.0))).alias("_wr")))
     return (calendar_rows.join(earned, "date", "left")
-            .select("date", (F.coalesce("_wr", F.lit(0.0)) / total).alias("ret")))
+            .select("date", F.try_divide(F.coalesce("_wr", F.lit(0.0)), total).alias("ret")))
 
 
 def excess_returns(returns: DataFrame, annual_pct: DataFrame, limit: int = 5) -> DataFrame:

@@ -230,12 +230,13 @@ def auc(spark, sf_dir):
                    lead(pos) OVER w AS pos2, lead(neg) OVER w AS neg2, row_number() OVER w AS rn
             FROM steps WINDOW w AS (ORDER BY s DESC)),
     kept AS (SELECT *, row_number() OVER (ORDER BY s DESC) AS j, count(*) OVER () AS n FROM cum
-             WHERE rn = 1 OR pos2 IS NULL OR pos <> pos2 OR neg <> neg2),
+             WHERE p > 0 AND q > 0 AND (rn = 1 OR pos2 IS NULL OR pos <> pos2 OR neg <> neg2)),
     pick AS (SELECT DISTINCT (i * n) // (k - 1) AS j FROM (SELECT n, least(60, n + 1) AS k, unnest(range(0, 60)) AS i
              FROM (SELECT max(n) AS n FROM kept)) WHERE i < k)
     SELECT CAST(j AS BIGINT) AS idx, round(fp / q, 6) AS fpr, round(tp / p, 6) AS tpr, round(s, 6) AS threshold
     FROM kept WHERE j IN (SELECT j FROM pick)
-    UNION ALL SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE)""")
+    UNION ALL SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE)
+    WHERE EXISTS (SELECT 1 FROM kept)""")
 def roc(spark, sf_dir):
     """Points with collinear ones dropped, sixty at most."""
     return E.roc(panel(spark, sf_dir)).select("idx", r6("fpr"), r6("tpr"), r6("threshold"))

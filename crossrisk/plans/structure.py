@@ -268,6 +268,8 @@ def factor_themes(spark, sf_dir):
     d = M.sample(spark, sf_dir)
     long = d.withColumn("active", F.col("port") - F.col("bench")).unpivot("date", ["port", "bench", "active"], "which", "ret")
     out = pca.factor_pca(M.factors(spark, sf_dir), long, V.FACTORS)
+    if out is None:                                  # too little history for themes
+        return spark.createDataFrame([], "which string, factor string, label string, beta double, p_value double, r2 double")
     return (out["fits"].where("factor <> 'const'").join(out["labels"], out["fits"]["factor"] == out["labels"]["pc"])
             .select("which", "factor", "label", r6("beta"), r6("p_value"), r6("r2")))
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, packing, quality
-from .arrow import documents
+from . import byte_bpe, licenses, packing, quality, toxicity
+from .arrow import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,50 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir))
+
+
+_PAIRS = ", ".join(str(r).replace("True", "true").replace("False", "false") for r in licenses.templates())
+
+
+@query("op1_license_scan", rf"""
+WITH tpl(t, label, phrase, n_pairs, pos, a, b) AS (VALUES {_PAIRS}),
+w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
+  FROM documents),
+pairs AS (
+  SELECT doc_id, p - 1 AS p, ws[p] AS a, ws[p + 1] AS b
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS p FROM w WHERE len(ws) > 1)),
+votes AS (
+  SELECT doc_id, t, label, phrase, n_pairs, p - pos AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high
+  FROM pairs JOIN tpl USING (a, b) GROUP BY ALL),
+marked AS (
+  SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o > {licenses.SHIFT}, true) THEN 1 ELSE 0 END AS apart
+  FROM votes WINDOW o AS (PARTITION BY doc_id, t ORDER BY diagonal)),
+numbered AS (
+  SELECT *, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM marked),
+spans AS (
+  SELECT doc_id, t, label, phrase, n_pairs, span, sum(votes) AS votes, min(diagonal) AS start, min(low) AS low, max(high) AS high
+  FROM numbered GROUP BY ALL),
+judged AS (
+  SELECT doc_id, label, start, phrase AND votes = n_pairs AS base, least(votes, high - low + 1) / n_pairs AS covered, phrase FROM spans),
+found AS (
+  SELECT *, CASE WHEN phrase THEN base ELSE covered >= {licenses.COVER} END AS hit FROM judged),
+per_doc AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (hit)), ',') AS labels,
+         max(least(covered, 1.0)) FILTER (hit) AS score
+  FROM found GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN per_doc USING (doc_id)""")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

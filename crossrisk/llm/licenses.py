@@ -65,7 +65,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES, shift: int = SHIFT,
     hashes = F.concat(F.array(F.lit(0).cast("long")), F.transform(places, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1))))
     rolled = (texts(docs).select("doc_id", F.monotonically_increasing_id().alias("row"), words.alias("w"))
               .select("doc_id", "row", "w", hashes.alias("h"))
-              .select("doc_id", "row", "w", F.size("w").cast("long").alias("n_words"), F.posexplode("h").alias("p", "hash")))
+              .select("doc_id", "row", "w", F.size("w").cast("long").alias("n_words"), F.posexplode_outer("h").alias("p", "hash")))
     same = (F.col("t") < 0) & (F.col("p") == 0) | (F.col("t") >= 0) & (F.get("w", F.col("p") - 1) == F.col("a")) & (
         F.get("w", F.col("p")) == F.col("b"))
     key = ["row", "doc_id", "n_words", "t", "label", "phrase", "pairs"]

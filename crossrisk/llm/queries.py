@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, licenses, packing, quality, toxicity
+from . import byte_bpe, licenses, order_minhash, packing, quality, toxicity
 from .arrow import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("quality.kept").alias("kept"))
 
 
+@query("op4_order_minhash")
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(documents(spark, sf_dir))
+
+
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, licenses, order_minhash, packing, quality, toxicity
+from . import byte_bpe, chat, hmm, licenses, order_minhash, packing, quality, toxicity
 from .arrow import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(documents(spark, sf_dir))
 
 
+@query("op5_hmm_score")
+def op5_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir))
+
+
 @query("op6_chat_windows")
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"

@@ -178,7 +178,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str |
     own = F.lit(-1) - F.monotonically_increasing_id()
     full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": own, "offset": F.lit(0).cast("long")})
     rest = cut.where(F.col("length") < capacity)
-    shards = max(8, -(-rest.count() // SHARD_ITEMS))
+    shards = max(1, -(-rest.count() // SHARD_ITEMS))
     first = cut_lineage(_packed(rest, shards, capacity, 1))
     again = _packed(first.where(F.col("space") >= LOOSE), -(-shards // 64), capacity, 2).drop("space")
     return full.unionByName(first.where(F.col("space") < LOOSE).drop("space")).unionByName(again)

@@ -7,6 +7,7 @@ runs first and is not counted.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +28,8 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("crossrisk-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crossrisk-bench-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     catalog.QUERIES["rebalance_calendar"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     took = {}

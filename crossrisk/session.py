@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir`` or ``setCheckpointDir``.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (tests on one machine) gets a
-    fresh local folder.
+    Only a session on one machine (``local`` or ``local[n]``) without either gets a fresh folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="crossrisk-")
+        sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the cluster's shared folder."""
+    sc = df.sparkSession.sparkContext
+    folder = checkpoint_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            configured = tempfile.mkdtemp(prefix="crossrisk-")
-        sc.setCheckpointDir(configured)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and lets later readers prune columns."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def split_count(spark: SparkSession) -> int:
     """How many value ranges a group is split into so that no group becomes one task."""
     return max(8, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))

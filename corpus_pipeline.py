@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crossrisk.llm import jaccard, packing, quality, suffix_dedup, toxicity
-from crossrisk.llm.arrow import written
+from crossrisk.session import written
 
 #: the token-level and near-duplicate stages have no SQL form; the tests compare them with brute force
 ORACLE_SQL = None

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,20 +41,3 @@ def groups(offsets: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int,
 def crc_rest(column: str, modulus: int):
     """Remainder of the CRC-32 of the id written in decimal digits."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares for intermediate tables."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = spark.sparkContext.getCheckpointDir()
-    if base is None:
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and lets later readers prune columns."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import crc_rest, raw, texts, written
+from ..session import written
+from .arrow import crc_rest, raw, texts
 
 STATES = 6
 CLASSES = 4096

@@ -25,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import raw, texts, written
+from ..session import written
+from .arrow import raw, texts
 from .induced import Disk, repeated
 from .shingles import PRIME, _powers, mix
 

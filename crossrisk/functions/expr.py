@@ -105,3 +105,10 @@ def humanize_drivers(text: str | Column) -> Column:
 def percent_text(c: Column, digits: int = 1) -> Column:
     """Percent string, null-safe."""
     return F.coalesce(F.format_string(f"%.{digits}f%%", c * 100), F.lit("n/a"))
+
+
+
+
+def first_rule(rules: list[tuple[str, str]]) -> Column:
+    """The text of the first rule whose SQL condition on the columns at hand holds, null if none does."""
+    return F.coalesce(*[F.when(F.expr(condition), F.lit(text)) for condition, text in rules])

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..config import N_PCS, PC_FAMILIES
+from ..config import COMPONENT_RULES, FACTOR_MIN_COVERAGE, FRENCH_COLUMNS, N_PCS, PC_FAMILIES, SECTOR_LABEL_MIN, UNLABELLED
 from ..functions import kernels
+from ..functions.expr import first_rule
 from ..session import bounded_rows, cut_lineage
 from . import regress
 from .gram import ONE, key_schema, keyed, moments
@@ -185,27 +186,27 @@ def join_factors(french: DataFrame, sectors: DataFrame, benchmark: DataFrame) ->
 
 
 def label_by_factors(corr: DataFrame, sectors: Sequence[str]) -> DataFrame:
-    """Ordered rules of thumb on the correlations."""
-    have = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) if c in corr.columns else F.lit(0.0)
-    mkt, smb, hml, mom, rmw, bench = (have(c) for c in ("Mkt-RF", "SMB", "HML", "Mom", "RMW", "Benchmark"))
-    out = (F.when((F.abs(mkt) > 0.7) | (F.abs(bench) > 0.7), "Market Beta")
-           .when((F.abs(hml) > 0.4) & (F.abs(mkt) < 0.5), "Value/Growth")
-           .when(F.abs(mom) > 0.4, "Momentum")
-           .when(F.abs(rmw) > 0.4, "Quality/Profitability")
-           .when((F.abs(smb) > 0.4) & (F.abs(mkt) < 0.5), "Size (within small-cap)"))
-    there = [c for c in sectors if c in corr.columns]
-    if there:
-        best = F.array_max(F.array(*[F.struct(F.abs(F.col(c)).alias("a"), F.col(c).alias("v"), F.lit(c).alias("name")) for c in there]))
-        name = F.concat(F.lit("Sector: "), F.when(best["v"] > 0, F.lit("")).otherwise(F.lit("Short ")), best["name"])
-        out = out.when(best["a"] > 0.5, name)
-    return corr.withColumn("label", out.otherwise("Unclassified (inspect loadings)"))
+    """Names of components from their correlations with the factor columns."""
+    known = [*FRENCH_COLUMNS, "Benchmark"]
+    filled = corr.select("*", F.struct(*[(F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) if c in corr.columns else F.lit(0.0)).alias(c)
+                                         for c in known]).alias("_known"))
+    named = filled.select("pc", "_known.*").select("pc", first_rule(COMPONENT_RULES).alias("_rule"))
+    options = [F.struct(F.abs(F.col(f"`{c}`")).alias("size"), F.col(f"`{c}`").alias("corr"), F.lit(c).alias("name"))
+               for c in sectors if c in corr.columns]
+    largest = F.array_max(F.array(*options)) if options else F.lit(None).cast("struct<size:double,corr:double,name:string>")
+    sector = corr.select("pc", largest.alias("s")).select("pc", F.when(F.col("s.size") > SECTOR_LABEL_MIN, F.concat(
+        F.lit("Sector: "), F.when(F.col("s.corr") > 0, "").otherwise("Short "), F.col("s.name"))).alias("_sector"))
+    return (corr.join(named, "pc").join(sector, "pc")
+            .withColumn("label", F.coalesce("_rule", "_sector", F.lit(UNLABELLED))).drop("_rule", "_sector"))
 
 
 # ---- portfolio projection ---------------------------------------------------------------------
 
 def align_weights(weights: DataFrame, universe: DataFrame) -> DataFrame:
-    """Weights of names in the universe, renormalized."""
+    """Weights of names in the universe, renormalized (R6); none in the universe is an error."""
     kept = weights.join(universe.select("entity").distinct(), "entity", "left_semi")
+    if kept.isEmpty():
+        raise ValueError("no weighted name is in the universe")
     total = kept.agg(F.sum("weight")).scalar()
     return kept.withColumn("_t", total).select("entity", (F.col("weight") / F.col("_t")).alias("weight"))
 
@@ -249,7 +250,7 @@ def rolling_loadings(portfolio: DataFrame, scores: DataFrame, window: int = 60)
 
 # ---- factor library ---------------------------------------------------------------------------
 
-def usable_factors(factors: DataFrame, candidates: Sequence[str], min_cov: float = 0.70) -> list[str]:
+def usable_factors(factors: DataFrame, candidates: Sequence[str], min_cov: float = FACTOR_MIN_COVERAGE) -> list[str]:
     """Columns with enough values and some variance (P8), from one aggregate row."""
     row = factors.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"`{c}`").alias(f"c{i}") for i, c in enumerate(candidates)],
                       *[F.stddev_samp(f"`{c}`").alias(f"s{i}") for i, c in enumerate(candidates)]).first()

@@ -11,8 +11,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..config import CONTROL_FACTORS, CURATED_FACTORS, SHOCKS, factor_registry
+from ..config import (CONTROL_FACTORS, CURATED_FACTORS, FFILL_ROWS, MIN_OBS, SHOCKS, THREE_WAY_RULES, TWO_WAY_RULES,
+                      factor_registry)
 from ..functions import kernels
+from ..functions.expr import first_rule
 from .gram import ONE, key_schema, keyed, moments
 
 EST = ("factor string, beta double, std_err double, t_stat double, p_value double, ci_low double, ci_high double, "
@@ -36,16 +38,19 @@ def fit(rows: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], min_obs
 
 
 def ols_hac(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), lags: int = 5, date: str = "date",
-            min_obs: int = 30) -> DataFrame:
+            min_obs: int = MIN_OBS) -> DataFrame:
     """OLS with intercept and Bartlett HAC errors, normal inference (G2, G3, G4); one row per (group, estimate).
 
     With s_t = x_t e_t and u_t = sum_l w_l s_{t-l}, the meat is the sum of s s' + s u' + u s', so the lags cost one
-    window and no more products than the plain case.  Groups below ``min_obs`` rows have no estimates.
+    window and no more products than the plain case.  Groups below ``min_obs`` complete rows have no estimates; a
+    single fit (no ``by``) below it is an error.
     """
     rows, keys = keyed(df.dropna(subset=[y, *xs]), by)
     rows = rows.select(*keys, F.col(date).alias("_date"), F.col(y).alias("_y"),
                        *[F.col(f"`{x}`").cast("double").alias(a) for x, a in zip(xs, _safe(xs))])
     names = _safe(xs)
+    if not by and (n := rows.limit(min_obs).count()) < min_obs:
+        raise ValueError(f"{n} complete rows, at least {min_obs} are needed")
     coef = fit(rows, "_y", names, keys, min_obs)
     joined = rows.join(coef.select(*keys, F.col("beta").alias("_b")), keys)
     fitted = sum((F.col("_b")[i + 1] * F.col(x) for i, x in enumerate(names)), F.col("_b")[0])
@@ -96,7 +101,7 @@ def residuals(df: DataFrame, controls: Sequence[str], xs: Sequence[str], by: Seq
 
 
 def residualized(df: DataFrame, y: str, controls: Sequence[str], xs: Sequence[str], by: Sequence[str] = (),
-                 lags: int = 5, min_obs: int = 30) -> DataFrame:
+                 lags: int = 5, min_obs: int = MIN_OBS) -> DataFrame:
     """Two-stage regression: factors residualized on the controls, then y on both with HAC errors.
 
     Contributions use the residual columns and are therefore zero up to rounding; attribution uses raw sums.
@@ -121,11 +126,13 @@ def factor_panel(levels: DataFrame, meta: DataFrame | None = None, curated: Sequ
     meta = meta if meta is not None else spark.createDataFrame(
         [{k: v for k, v in r.items() if k in ("factor", "transform", "frequency")} for r in factor_registry()],
         "factor string, transform string, frequency string")
-    limit = F.when(F.col("frequency") == "weekly", 7).when(F.col("frequency") == "monthly", 31).otherwise(1)
-    tagged = levels.join(F.broadcast(meta.select("factor", "transform", limit.alias("limit"))), "factor")
-    dense = asof.reindex_ffill(tagged, "factor", "value", F.col("limit"), 31, carry=["transform", "limit"])
+    limit = F.coalesce(*[F.when(F.col("frequency") == f, F.lit(n)) for f, n in FFILL_ROWS.items()], F.lit(FFILL_ROWS["daily"]))
+    tagged = levels.join(meta.select("factor", "transform", limit.alias("limit")), "factor")
+    dense = asof.reindex_ffill(tagged, "factor", "value", F.col("limit"), max(FFILL_ROWS.values()), carry=["transform", "limit"])
     moved = returns.transform_by_kind(dense)
-    names = [r["factor"] for r in levels.select("factor").distinct().orderBy("factor").limit(1000).collect()]
+    # the result has a column for each registered factor with data, so their names are known to the caller anyway
+    names = [r["factor"] for r in meta.join(levels.select("factor").distinct(), "factor", "left_semi")
+             .select("factor").distinct().orderBy("factor").collect()]
     wide = moved.groupBy("date").agg(*[F.max(F.when(F.col("factor") == f, F.col("value"))).alias(f) for f in names])
     for r in factor_registry():
         if r["legs"] and all(leg in names for leg in r["legs"]):
@@ -155,43 +162,24 @@ def factor_validation(long: DataFrame) -> DataFrame:
 
 # ---- comparisons ------------------------------------------------------------------------------
 
-def two_way_note(raw: Column, res: Column, p: Column) -> Column:
-    """What the change between raw and residualized means; ordered rules."""
-    return (F.when(res.isNull(), F.lit(""))
-            .when((F.abs(raw) > 0.3) & (F.abs(res) < 0.1) & (p > 0.10),
-                  "Raw beta was risk-sentiment artifact (residualized → no real exposure)")
-            .when(F.abs(raw - res) < 0.05, "Genuine factor exposure (robust to risk-sentiment control)")
-            .when((raw > 0) != (res > 0), "Sign flipped after residualization (severe contamination)")
-            .when(F.abs(raw - res) > 0.2, "Substantial risk-sentiment contamination")
-            .otherwise("Partial risk-sentiment contamination"))
-
-
-def three_way_note(raw: Column, v2: Column, p2: Column) -> Column:
-    """Progression from raw over one control to all controls; ordered rules."""
-    return (F.when(v2.isNull(), F.lit(""))
-            .when((F.abs(v2) < 0.05) & (p2 > 0.10),
-                  "Common-factor artifact (no real exposure after multi-factor control)")
-            .when(F.abs(raw - v2) < 0.05, "Robust exposure (stable across all residualization approaches)")
-            .when(F.abs(raw) > F.abs(v2) * 2,
-                  "Substantial common-factor contamination (multi-factor reveals smaller true exposure)")
-            .when((raw > 0) != (v2 > 0), "Sign reversal (raw OLS picked up wrong direction; multi-resid corrects)")
-            .otherwise("Modest contamination (multi-resid materially changes magnitude)"))
+def _noted(rows: DataFrame, rules: list[tuple[str, str]], raw: str, res: str, p: str) -> DataFrame:
+    """``rows`` with what the change between raw and residualized betas means."""
+    named = rows.withColumns({"raw": F.col(raw), "res": F.col(res), "p": F.col(p)})
+    return named.withColumn("interpretation", first_rule(rules)).drop("raw", "res", "p")
 
 
 def compare_two(raw: DataFrame, res: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     a = raw.where("factor <> 'const'").select(*by, "factor", F.col("beta").alias("raw_beta"), F.col("p_value").alias("raw_p"))
     b = res.select(*by, "factor", F.col("beta").alias("residualized_beta"), F.col("p_value").alias("residualized_p"))
-    return (a.join(b, [*by, "factor"], "left")
-            .withColumn("delta", F.col("residualized_beta") - F.col("raw_beta"))
-            .withColumn("interpretation", two_way_note(F.col("raw_beta"), F.col("residualized_beta"),
-                                                       F.col("residualized_p"))))
+    both = a.join(b, [*by, "factor"], "left").withColumn("delta", F.col("residualized_beta") - F.col("raw_beta"))
+    return _noted(both, TWO_WAY_RULES, "raw_beta", "residualized_beta", "residualized_p")
 
 
 def compare_three(raw: DataFrame, v1: DataFrame, v2: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     keys = [*by, "factor"]
     pick = lambda d, p: d.select(*keys, F.col("beta").alias(f"{p}_beta"), F.col("p_value").alias(f"{p}_p"))
     out = pick(raw.where("factor <> 'const'"), "raw").join(pick(v1, "v1"), keys, "left").join(pick(v2, "v2"), keys, "left")
-    return out.withColumn("interpretation", three_way_note(F.col("raw_beta"), F.col("v2_beta"), F.col("v2_p")))
+    return _noted(out, THREE_WAY_RULES, "raw_beta", "v2_beta", "v2_p")
 
 
 def index_vs_active(index: DataFrame, total: DataFrame, active: DataFrame) -> DataFrame:

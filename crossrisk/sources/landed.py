@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..config import MIN_FRESH_COVERAGE, MIN_UNIVERSE_ROWS, STALE_DAYS
+from ..config import HEADER_WORDS, MIN_FRESH_COVERAGE, MIN_UNIVERSE_ROWS, STALE_DAYS
 from ..functions.expr import normalize_key
 from .schema import to_number
 
@@ -14,14 +14,10 @@ from .schema import to_number
 # ---- keys and universe ------------------------------------------------------------------------
 
 def _canonical_header(name: str) -> str | None:
-    low = name.lower()
-    if "symbol" in low or "ticker" in low:
-        return "entity"
-    if "security" in low or "company" in low:
-        return "name"
-    if "sector" in low and "sub" not in low:
-        return "sector"
-    return "industry" if "industry" in low else None
+    """The column that a header stands for: the first entry of the table whose words fit."""
+    def fits(words: tuple[str, ...]) -> bool:
+        return any(w in name.lower() for w in words)
+    return next((column for column, some, none in HEADER_WORDS if fits(some) and not fits(none)), None)
 
 
 def load_universe(spark: SparkSession, path: str, min_rows: int = MIN_UNIVERSE_ROWS) -> DataFrame:
@@ -36,7 +32,8 @@ def load_universe(spark: SparkSession, path: str, min_rows: int = MIN_UNIVERSE_R
         raise ValueError(f"no key column in {raw.columns}")
     cols = [(F.col(f"`{taken[t]}`") if t in taken else F.lit(None).cast("string")).alias(t)
             for t in ("entity", "name", "sector", "industry")]
-    seq = F.monotonically_increasing_id()
+    # position in the files: the reader numbers the rows of a split in order, and splits begin at their block's offset
+    seq = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
     rows = raw.select(*cols, seq.alias("_seq")).withColumn("entity", normalize_key("entity"))
     first = F.min_by(F.struct("name", "sector", "industry"), "_seq").alias("r")
     out = rows.where(F.col("entity").isNotNull()).groupBy("entity").agg(first).select("entity", "r.*")
@@ -201,7 +198,7 @@ def parse_daily_block(lines: DataFrame) -> DataFrame:
     """First contiguous block of ``YYYYMMDD,…`` rows as ``date, factor, value`` in decimals.
 
     ``lines`` has ``value`` and an increasing ``line``.  The block ends at the first other line; the header is the
-    last complete line before it.  Missing numbers are null and all-null rows disappear in long form.
+    last complete line before it; a header shorter than a row names none of its columns (they are F0, F1, …).  Missing numbers are null and all-null rows disappear in long form.
     """
     parts = F.transform(F.split("value", ","), lambda p: F.trim(p))
     toks = lines.select("line", parts.alias("p")).withColumn("is_day", F.col("p")[0].rlike(r"^\d{8}$"))
@@ -213,17 +210,17 @@ def parse_daily_block(lines: DataFrame) -> DataFrame:
     rows = (marked.withColumn("_stop", stop).withColumn("_header", header)
             .where(F.col("is_day") & (F.col("_stop").isNull() | (F.col("line") < F.col("_stop")))))
     named = rows.select(F.try_to_date(F.col("p")[0], "yyyyMMdd").alias("date"),
-                        F.posexplode("p").alias("pos", "v"), "_header").where("pos > 0")
-    name = F.coalesce(F.get("_header", F.col("pos")), F.concat(F.lit("F"), (F.col("pos") - 1).cast("string")))
-    return (named.select("date", F.when(name != "", name).otherwise(F.concat(F.lit("F"), (F.col("pos") - 1).cast("string")))
-                         .alias("factor"), (to_number("v") / 100).alias("value"))
+                        F.size("p").alias("_width"), F.posexplode("p").alias("pos", "v"), "_header").where("pos > 0")
+    number = F.concat(F.lit("F"), (F.col("pos") - 1).cast("string"))
+    name = F.when(F.size("_header") >= F.col("_width"), F.get("_header", F.col("pos")))
+    return (named.select("date", F.when(name != "", name).otherwise(number).alias("factor"), (to_number("v") / 100).alias("value"))
             .where(F.col("value").isNotNull()))
 
 
 def read_daily_block(spark: SparkSession, path: str) -> DataFrame:
     """One text file of the kind above; lines keep file order through the block offset and the reader's sequence."""
     raw = spark.read.text(path).select(
-        "value", F.struct(F.col("_metadata.file_block_start").alias("b"),
+        "value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
                           F.monotonically_increasing_id().alias("i")).alias("line"))
     return parse_daily_block(raw)
 

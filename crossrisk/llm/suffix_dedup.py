@@ -9,8 +9,8 @@ are collapsed, with a list of where they stand, first inside a batch of texts, t
 of a shard are one text for the external induced suffix sort (``induced``), whose common prefixes tell which strings start
 at two places.  Strings of collapsed segments repeat anyway.
 
-A shard's segments arrive sorted and go to a file; its memory is bounded by the sort's limit, not by its size.  Places come
-back as ranges of starts, and the texts are cut by them.
+A shard's segments arrive sorted and go to a file, and the sort keeps its queues on disk beyond a limit.  An anchor all of whose
+segments stand at several places needs no sort.  Places come back as ranges of starts, and the texts are cut by them.
 
 A null or empty text has no byte.  Repeated rows repeat each other's strings.  Rows with one id are treated together when
 anchors are chosen and apart when bytes are removed; each row of an id loses the same places as in its own text only, because
@@ -33,6 +33,7 @@ from .shingles import PRIME, _powers, mix
 SIZE = 200
 ANCHOR = 32
 PIECE = 2 << 20
+SHARD_BYTES = 8 << 20  # sorted at once, except for an anchor that has more
 MOST_BROADCAST = 200_000
 SEGMENT = "hash long, segment binary, doc_ids array<long>, digests array<long>, starts array<long>"
 
@@ -156,67 +157,126 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _sorted_shard(segments: DataFrame) -> DataFrame:
-    """Suffix-sort each partition's distinct segments; give back ranges of repeated starts wherever a segment stands."""
-    names = ["key", "digest", "begin", "end"]
+class Shard:
+    """Distinct segments of some anchors in a file, suffix-sorted when enough have come; gives back ranges of starts.
+
+    An anchor needs the sort only if a segment of it stands at one place and has other segments to be compared with.
+    """
+
+    def __init__(self):
+        self.disk = Disk()
+        self.text = open(self.disk.path(), "w+b")
+        self.owner = open(self.disk.path(), "w+b")
+        self.size, self.ends, self.counts = 0, [], []
+        self.begin = (0, 0, 0)  # of the open anchor: segments, bytes and owners before it
+        self.out, self.held = [[], [], [], []], 0
+
+    def add(self, code: int, segment: bytes, owners: np.ndarray, new: bool):
+        """``owners``: rows of key, digest and start; ``new``: not the segment of the call before."""
+        if new:
+            self.text.write(segment)
+            self.text.write(b"\0")
+            self.size += len(segment) + 1
+            self.ends.append(self.size)
+            self.counts.append(0)
+        self.counts[-1] += len(owners)
+        self.owner.write(owners.tobytes())
+
+    def _give(self, own: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        self.out[0].append(np.repeat(own[:, 0], len(x)))
+        self.out[1].append(np.repeat(own[:, 1], len(x)))
+        self.out[2].append((own[:, 2][:, None] + x).ravel())
+        self.out[3].append((own[:, 2][:, None] + y - 1 + SIZE).ravel())
+        self.held += len(self.out[0][-1])
+
+    def _owners(self, first: int, count: int) -> np.ndarray:
+        self.owner.flush()
+        self.owner.seek(first * 24)
+        rows = np.frombuffer(self.owner.read(count * 24), np.int64).reshape(-1, 3)
+        self.owner.seek(0, 2)
+        return rows
+
+    def _lengths(self, lo: int) -> np.ndarray:
+        return np.diff(np.array([self.ends[lo - 1] if lo else 0, *self.ends[lo:]])) - 1
+
+    def close_group(self) -> None:
+        """At the end of an anchor: what stands at several places repeats; drop the anchor's text if that is all."""
+        lo, size, owners = self.begin
+        counts = self.counts[lo:]
+        if len(counts) == 1 or min(counts, default=2) > 1:
+            at = owners
+            for n, length in zip(counts, self._lengths(lo)):
+                if n > 1:
+                    self._give(self._owners(at, n), np.array([0]), np.array([length - SIZE + 1]))
+                at += n
+            del self.ends[lo:], self.counts[lo:]
+            self.size = size
+            for file, end in ((self.text, size), (self.owner, owners * 24)):
+                file.flush()
+                file.seek(end)
+                file.truncate()
+        self.begin = (len(self.ends), self.size, self.owner.tell() // 24)
+
+    def sort(self) -> None:
+        """Suffix-sort what has come."""
+        if not self.ends:
+            return
+        self.text.flush()
+        work = Disk()
+        try:
+            letters = work.array(self.size + 1, np.int16)  # 0 ends the shard, 1 ends a segment, bytes follow
+            source = np.memmap(self.text.name, np.uint8, "r", shape=(self.size,))
+            for a in range(0, self.size, PIECE):
+                letters[a:min(a + PIECE, self.size)] = source[a:a + PIECE].astype(np.int16) + 2
+            ends = np.array(self.ends)
+            letters[ends - 1] = 1
+            flags = repeated(letters, SIZE, work)
+            at = 0
+            for k, (length, n) in enumerate(zip(self._lengths(0), self.counts)):
+                starts, begin = int(length) - SIZE + 1, int(ends[k] - 1 - length)  # windows of the segment
+                x, y = (np.array([0]), np.array([starts])) if n > 1 else _spans(np.asarray(flags[begin:begin + starts]))
+                if len(x):
+                    self._give(self._owners(at, n), x, y)
+                at += n
+        finally:
+            work.close()
+        self.ends, self.counts, self.size, self.begin = [], [], 0, (0, 0, 0)
+        for file in (self.text, self.owner):
+            file.seek(0)
+            file.truncate()
 
+    def taken(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in self.out], names=["key", "digest", "begin", "end"])
+        self.out, self.held = [[], [], [], []], 0
+        return batch
+
+    def close(self) -> None:
+        self.text.close()
+        self.owner.close()
+        self.disk.close()
+
+
+def _sorted_shard(segments: DataFrame) -> DataFrame:
+    """Ranges of repeated starts wherever a segment stands."""
     def run(batches):
-        disk = Disk()
-        text = open(disk.path(), "w+b")
-        owner = open(disk.path(), "w+b")
-        ends, counts = [], []
+        shard, last = Shard(), None
         try:
-            last, size = None, 0
             for batch in batches:
-                cells = [c.to_pylist() for c in batch.columns]
-                for code, segment, ids, digests, starts in zip(*cells):
-                    if (code, segment) != last:
-                        text.write(segment)
-                        text.write(b"\0")
-                        size += len(segment) + 1
-                        ends.append(size)
-                        counts.append(0)
-                        last = (code, segment)
-                    counts[-1] += len(ids)
-                    owner.write(np.array([ids, digests, starts], np.int64).T.tobytes())
-            if not ends:
-                return
-            text.flush()
-            owner.flush()
-            ends, counts = np.array(ends), np.array(counts)
-            letters = disk.array(size + 1, np.int16)  # 0 ends the shard, 1 ends a segment, bytes follow
-            source = np.memmap(text.name, np.uint8, "r", shape=(size,))
-            for a in range(0, size, PIECE):
-                letters[a:min(a + PIECE, size)] = source[a:a + PIECE].astype(np.int16) + 2
-            letters[ends - 1] = 1
-            flags = repeated(letters, SIZE, disk)
-            owners = np.memmap(owner.name, np.int64, "r", shape=(int(counts.sum()), 3))
-            begins, at = np.append(0, ends[:-1]), np.append(0, np.cumsum(counts))
-            out = [[], [], [], []]
-            held = 0
-            for k in range(len(ends)):
-                starts = int(ends[k] - 1 - begins[k]) - SIZE + 1  # windows of the segment
-                if counts[k] > 1:
-                    x, y = np.array([0]), np.array([starts])
-                else:
-                    x, y = _spans(np.asarray(flags[begins[k]:begins[k] + starts]))
-                if not len(x):
-                    continue
-                own = np.asarray(owners[at[k]:at[k + 1]])
-                out[0].append(np.repeat(own[:, 0], len(x)))
-                out[1].append(np.repeat(own[:, 1], len(x)))
-                out[2].append((own[:, 2][:, None] + x).ravel())
-                out[3].append((own[:, 2][:, None] + y - 1 + SIZE).ravel())
-                held += len(out[0][-1])
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-                    out, held = [[], [], [], []], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+                for code, segment, ids, digests, starts in zip(*[c.to_pylist() for c in batch.columns]):
+                    if last is not None and code != last[0]:
+                        shard.close_group()
+                        if shard.size >= SHARD_BYTES:
+                            shard.sort()
+                        if shard.held > 100_000:
+                            yield shard.taken()
+                    shard.add(code, segment, np.array([ids, digests, starts], np.int64).T, (code, segment) != last)
+                    last = (code, segment)
+            shard.close_group()
+            shard.sort()
+            if shard.held:
+                yield shard.taken()
         finally:
-            text.close()
-            owner.close()
-            disk.close()
+            shard.close()
     ordered = segments.repartition("hash").sortWithinPartitions("hash", "segment")
     return ordered.mapInArrow(run, "key long, digest long, begin long, end long")
 

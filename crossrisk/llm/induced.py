@@ -11,7 +11,7 @@ procedure on the names; up to ``DIRECT`` names the recursion ends with prefix do
 does not matter, so it is left open.
 
 Common prefixes are carried through both inductions, up to the length that is asked for.  Those of neighbouring S* suffixes are
-read off the text.
+read off the text, by running hashes.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import numpy as np
 MEMORY = 1 << 23
 BLOCK = 1 << 17
 DIRECT = 1 << 22
+PRIME = 0x9E3779B97F4A7C15
 
 
 class Disk:
@@ -272,7 +273,7 @@ def _doubling(names: np.ndarray, depth: int) -> np.ndarray:
             return order
         place = order[slots]
         after = np.where(place + step < n, rank[np.minimum(place + step, n - 1)] + 1, 0)
-        sort = np.lexsort((after, rank[place]))
+        sort = np.argsort(rank[place] * (n + 1) + after)
         place, after = place[sort], after[sort]
         order[slots] = place
         group = rank[place]
@@ -361,23 +362,39 @@ def _left_order(names, types, stars, disk: Disk) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def _shared(text: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes, up to ``cap``, of neighbours in ``order``; 0 for the first."""
-    out = np.zeros(len(order), np.uint8)
+def _shared(text: np.ndarray, order: np.ndarray, cap: int, disk: Disk) -> np.ndarray:
+    """Common prefixes, up to ``cap``, of neighbours in ``order``; 0 for the first.
+
+    Stretches are compared by a 64-bit running hash, of halving lengths.
+    """
     n = len(text)
-    for lo in range(1, len(order), BLOCK):
-        a, b = order[lo - 1:lo - 1 + BLOCK], order[lo:lo + BLOCK]
-        a = a[:len(b)]
-        live, size = np.arange(len(b)), np.zeros(len(b), np.int64)
-        for k in range(cap):
-            x, y = a[live] + k, b[live] + k
-            inside = (x < n) & (y < n)
-            live, x, y = live[inside], x[inside], y[inside]
-            live = live[text[x] == text[y]]
-            if not len(live):
-                break
-            size[live] = k + 1
-        out[lo:lo + len(b)] = size
+    numbers = np.random.default_rng(13).integers(1, 1 << 63, int(text.max()) + 1, np.int64).astype(np.uint64)
+    sums, powers = disk.array(n + 1, np.uint64), disk.array(n + 1, np.uint64)
+    prime, power, total = np.uint64(PRIME), np.uint64(1), np.uint64(0)
+    with np.errstate(over="ignore"):
+        for lo in range(0, n + 1, BLOCK):
+            size = min(BLOCK, n + 1 - lo)
+            powers[lo:lo + size] = power * np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, prime)))
+            power = powers[lo + size - 1] * prime
+            own = np.cumsum(numbers[text[lo:lo + size]] * powers[lo:lo + size][:len(text[lo:lo + size])], dtype=np.uint64) + total
+            sums[lo + 1:lo + 1 + len(own)] = own
+            total = own[-1] if len(own) else total
+        out = np.zeros(len(order), np.uint8)
+        for lo in range(1, len(order), BLOCK):
+            b = order[lo:lo + BLOCK]
+            a = order[lo - 1:lo - 1 + len(b)]
+            size = np.zeros(len(b), np.int64)
+            step = 1 << (cap.bit_length() - 1)
+            while step:
+                x, y = a + size, b + size
+                fits = (size + step <= cap) & (np.maximum(x, y) + step <= n)
+                x, y = np.where(fits, x, 0), np.where(fits, y, 0)
+                end = np.where(fits, step, 0)
+                # each side moved to the other's power
+                same = (sums[x + end] - sums[x]) * powers[y] == (sums[y + end] - sums[y]) * powers[x]
+                size += np.where(fits & same, step, 0)
+                step >>= 1
+            out[lo:lo + len(b)] = size
     return out
 
 
@@ -390,7 +407,7 @@ def repeated(text: np.ndarray, size: int, disk: Disk) -> np.ndarray:
     types = disk.array(len(text), bool)
     _types(text, types)
     stars = _sorted_stars(text, types, disk, size)
-    shared = _shared(text, stars, size)
+    shared = _shared(text, stars, size, disk)
     near = np.flatnonzero(shared >= size)
     flags[stars[near]] = True
     flags[stars[near - 1]] = True

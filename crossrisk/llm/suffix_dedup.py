@@ -183,16 +183,16 @@ class Shard:
         self.owner.write(owners.tobytes())
 
     def _give(self, own: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-        self.out[0].append(np.repeat(own[:, 0], len(x)))
-        self.out[1].append(np.repeat(own[:, 1], len(x)))
-        self.out[2].append((own[:, 2][:, None] + x).ravel())
-        self.out[3].append((own[:, 2][:, None] + y - 1 + SIZE).ravel())
-        self.held += len(self.out[0][-1])
+        """Owners with the first and the end of their repeated starts in the segment."""
+        for column, values in zip(self.out, (own[:, 0], own[:, 1], own[:, 2] + x, own[:, 2] + y - 1 + SIZE)):
+            column.append(values)
+        self.held += len(own)
 
-    def _owners(self, first: int, count: int) -> np.ndarray:
+    def _owners(self, first: int) -> np.ndarray:
+        """All owners from ``first`` on."""
         self.owner.flush()
         self.owner.seek(first * 24)
-        rows = np.frombuffer(self.owner.read(count * 24), np.int64).reshape(-1, 3)
+        rows = np.frombuffer(self.owner.read(), np.int64).reshape(-1, 3)
         self.owner.seek(0, 2)
         return rows
 
@@ -204,11 +204,8 @@ class Shard:
         lo, size, owners = self.begin
         counts = self.counts[lo:]
         if len(counts) == 1 or min(counts, default=2) > 1:
-            at = owners
-            for n, length in zip(counts, self._lengths(lo)):
-                if n > 1:
-                    self._give(self._owners(at, n), np.array([0]), np.array([length - SIZE + 1]))
-                at += n
+            if min(counts, default=0) > 1:
+                self._give(self._owners(owners), np.int64(0), np.repeat(self._lengths(lo) - SIZE + 1, counts))
             del self.ends[lo:], self.counts[lo:]
             self.size = size
             for file, end in ((self.text, size), (self.owner, owners * 24)):
@@ -231,13 +228,19 @@ class Shard:
             ends = np.array(self.ends)
             letters[ends - 1] = 1
             flags = repeated(letters, SIZE, work)
-            at = 0
-            for k, (length, n) in enumerate(zip(self._lengths(0), self.counts)):
-                starts, begin = int(length) - SIZE + 1, int(ends[k] - 1 - length)  # windows of the segment
-                x, y = (np.array([0]), np.array([starts])) if n > 1 else _spans(np.asarray(flags[begin:begin + starts]))
-                if len(x):
-                    self._give(self._owners(at, n), x, y)
-                at += n
+            counts, lengths = np.array(self.counts), self._lengths(0)
+            begins, starts = ends - 1 - lengths, lengths - SIZE + 1  # a segment's windows
+            change = np.zeros(len(flags) + 1, np.int32)  # +2 inside windows, +3 if the segment stands at several places
+            np.add.at(change, begins, np.where(counts > 1, 3, 2))
+            np.add.at(change, begins + starts, -np.where(counts > 1, 3, 2))
+            inside = np.cumsum(change)[:len(flags)]
+            first, end = _spans((inside == 3) | (inside == 2) & flags)
+            segment = np.searchsorted(begins, first, "right") - 1
+            times = counts[segment]
+            at = np.cumsum(counts) - counts
+            row = np.repeat(at[segment] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            if len(row):
+                self._give(self._owners(0)[row], np.repeat(first - begins[segment], times), np.repeat(end - begins[segment], times))
         finally:
             work.close()
         self.ends, self.counts, self.size, self.begin = [], [], 0, (0, 0, 0)

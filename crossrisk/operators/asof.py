@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def calendar(dates: DataFrame, column: str = "date") -> Column:
@@ -24,10 +24,56 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: str | Column, keep:
     return df.groupBy(*keys).agg(pick).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in keep])
 
 
-def expand_dates(df: DataFrame, dates: Column, keep: Column | None = None, test=None, out: str = "as_of") -> DataFrame:
-    """One row per (row, date of the calendar passing ``test``)."""
-    return (df.withColumn("_dates", dates)
-            .withColumn(out, F.explode(F.filter("_dates", test))).drop("_dates"))
+class DateIndex:
+    """The requested dates as an array with the number of dates before every day between the first and the last.
+
+    The dates inside any interval are then one slice, found without looking at the other dates.  Both arrays are bounded by
+    the calendar.
+    """
+
+    def __init__(self, spark: SparkSession, dates: Column):
+        asked = spark.range(1).select(F.explode(dates).alias("day")).distinct()
+        span = asked.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a IS NOT NULL")
+        days = span.select(F.explode(F.sequence("a", "b")).alias("day")).join(asked.withColumn("asked", F.lit(1)), "day", "left")
+        before = F.count("asked").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+        rows = days.select("day", "asked", before.cast("int").alias("before"))
+        self.table = rows.agg(F.struct(
+            F.array_sort(F.collect_list(F.when(F.col("asked").isNotNull(), F.col("day")))).alias("dates"),
+            F.min("day").alias("first"), F.max("day").alias("last"),
+            F.transform(F.array_sort(F.collect_list(F.struct("day", "before"))), lambda x: x["before"]).alias("before")).alias("index")).scalar()
+
+    def before(self, day: Column, index: Column) -> Column:
+        """How many dates are before ``day``."""
+        return (F.when(day <= index["first"], F.lit(0)).when(day > index["last"], F.size(index["dates"]))
+                .otherwise(F.get(index["before"], F.date_diff(day, index["first"]))))
+
+
+def expand_dates(df: DataFrame, dates: Column, since: Column | None = None, until: Column | None = None, test=None,
+                 out: str = "as_of") -> DataFrame:
+    """One row per (row, requested date) with ``since <= date < until``; a null bound is open.
+
+    ``test`` is a further condition for the dates of that slice.
+    """
+    index = DateIndex(df.sparkSession, dates)
+    i = F.col("_index")
+    low = F.lit(0) if since is None else F.when(since.isNull(), F.lit(0)).otherwise(index.before(since, i))
+    high = F.size(i["dates"]) if until is None else F.when(until.isNull(), F.size(i["dates"])).otherwise(index.before(until, i))
+    part = F.slice(i["dates"], low + 1, F.greatest(high - low, F.lit(0)))
+    return (df.withColumn("_index", index.table)
+            .withColumn(out, F.explode(F.filter(part, test) if test else part)).drop("_index"))
+
+
+def one_per_day(prices: DataFrame, order: str | Column | None = None, keep: Sequence[str] = ("adj_close",)) -> DataFrame:
+    """One price row per (entity, day): the one with the greatest ``order`` (W31), by default with the greatest values.
+
+    Rows are dealt by entity, so that later windows and aggregates by entity and date need no further shuffle.
+    """
+    by = F.struct(*keep) if order is None else order
+    return last_per_key(prices.repartition("entity"), ["entity", "date"], by, keep)
+
+
+def _unique_days(prices: DataFrame) -> DataFrame:
+    return one_per_day(prices, keep=[c for c in prices.columns if c not in ("entity", "date")])
 
 
 def features_asof(facts: DataFrame, dates: Column, entity: str = "entity", date: str = "date",
@@ -35,8 +81,7 @@ def features_asof(facts: DataFrame, dates: Column, entity: str = "entity", date:
     """Newest fact per entity with ``date <= as_of`` (J6); the fact's own date stays as ``src``."""
     nxt = F.lead(date).over(W.partitionBy(entity).orderBy(date))
     lives = facts.withColumn("_until", nxt)
-    inside = lambda d: (d >= F.col(date)) & (F.col("_until").isNull() | (d < F.col("_until")))
-    return (expand_dates(lives, dates, test=inside, out=out)
+    return (expand_dates(lives, dates, F.col(date), F.col("_until"), out=out)
             .withColumnRenamed(date, src).drop("_until"))
 
 
@@ -50,22 +95,21 @@ def snapshot_asof(facts: DataFrame, dates: Column, date: str = "date", out: str
     days = facts.select(date).distinct()            # calendar bounded
     nxt = F.lead(date).over(W.orderBy(date))
     lives = days.withColumn("_until", nxt)
-    inside = lambda d: (d >= F.col(date)) & (F.col("_until").isNull() | (d < F.col("_until")))
-    return (facts.join(expand_dates(lives, dates, test=inside, out=out).drop("_until"), date)
+    return (facts.join(expand_dates(lives, dates, F.col(date), F.col("_until"), out=out).drop("_until"), date)
             .withColumnRenamed(date, "src_date"))
 
 
 def price_on_or_before(prices: DataFrame, dates: Column) -> DataFrame:
     """Last price at or before each date per entity."""
-    return features_asof(prices, dates, src="px_date")
+    return features_asof(_unique_days(prices), dates, src="px_date")
 
 
 def price_on_or_after(prices: DataFrame, dates: Column) -> DataFrame:
     """First price at or after each date per entity."""
     prev = F.lag("date").over(W.partitionBy("entity").orderBy("date"))
-    lives = prices.withColumn("_since", prev)
-    inside = lambda d: (d <= F.col("date")) & (F.col("_since").isNull() | (d > F.col("_since")))
-    return (expand_dates(lives, dates, test=inside).withColumnRenamed("date", "px_date").drop("_since"))
+    lives = _unique_days(prices).withColumn("_since", prev)
+    return (expand_dates(lives, dates, F.date_add("_since", 1), F.date_add("date", 1))
+            .withColumnRenamed("date", "px_date").drop("_since"))
 
 
 def rebalance_dates(df: DataFrame, cadence: str = "Q", start: str | None = None, end: str | None = None,
@@ -91,14 +135,15 @@ def step_back(as_of: Column, n: int, step_days: int) -> Column:
     return F.array(*[F.date_sub(as_of, step_days * k) for k in range(n)])
 
 
-def delisting_adjusted(prices: DataFrame, delistings: DataFrame | None) -> DataFrame:
-    """Price path that ends with the terminal value on the delisting date.
+def delisting_adjusted(prices: DataFrame, delistings: DataFrame | None, order: str | Column | None = None) -> DataFrame:
+    """Price path of one row per day that ends with the terminal value on the delisting date.
 
     A window reaching past the delisting keeps the rows up to it and the terminal value wins on its date; a window
     ending before it has no later rows anyway.  So one adjusted path serves every window.
     """
+    prices = one_per_day(prices, order)
     if delistings is None:
-        return prices.select("entity", "date", "adj_close")
+        return prices
     ends = delistings.select("entity", "delist_date", F.coalesce("final_value", F.lit(0.0)).alias("final_value"))
     before = (prices.select("entity", "date", "adj_close").join(ends.drop("final_value"), "entity", "left")
               .where(F.col("delist_date").isNull() | (F.col("date") < F.col("delist_date"))).drop("delist_date"))
@@ -106,14 +151,20 @@ def delisting_adjusted(prices: DataFrame, delistings: DataFrame | None) -> DataF
                                           F.col("final_value").alias("adj_close")))
 
 
-def forward_windows(prices: DataFrame, dates: Column, months: int, delistings: DataFrame | None = None) -> DataFrame:
+def _about(months: int | Column) -> Column:
+    """A day that no window of so many months before ``date`` begins ahead of (month ends are clipped by up to three days)."""
+    return F.date_sub(F.add_months("date", -months), 3)
+
+
+def forward_windows(prices: DataFrame, dates: Column, months: int, delistings: DataFrame | None = None,
+                    order: str | Column | None = None) -> DataFrame:
     """Rows of every window [as_of, as_of + months], calendar months, month ends clipped.
 
     Each price row is copied to the windows containing it (about months / cadence of them); no join.
     """
-    path = delisting_adjusted(prices, delistings)
-    inside = lambda d: (d <= F.col("date")) & (F.col("date") <= F.add_months(d, months))
-    return expand_dates(path, dates, test=inside)
+    path = delisting_adjusted(prices, delistings, order)
+    return expand_dates(path, dates, _about(months), F.date_add("date", 1),
+                        test=lambda d: F.col("date") <= F.add_months(d, months))
 
 
 def rebalance_periods(dates: DataFrame) -> DataFrame:
@@ -125,21 +176,24 @@ def rebalance_periods(dates: DataFrame) -> DataFrame:
 
 
 def forward_stats(prices: DataFrame, dates: DataFrame, horizons: Sequence[int], dd_months: int,
-                  delistings: DataFrame | None = None) -> DataFrame:
+                  delistings: DataFrame | None = None, order: str | Column | None = None) -> DataFrame:
     """Forward returns per horizon, maximum drawdown and return to the next rebalance, from one expansion.
 
     (W10, W11, W14.)  ``dates`` holds the rebalance dates.  The running peak needs an ordered window per
     (entity, as_of): at most one row per day of the longest horizon.
     """
     longest = max([*horizons, dd_months])
-    spans = rebalance_periods(dates).select(F.struct(
-        F.col("date").alias("d"), F.add_months("date", F.col("period_months")).alias("period_end"),
-        F.greatest(F.add_months("date", longest), F.add_months("date", F.col("period_months"))).alias("until")).alias("s"))
-    spans = spans.agg(F.collect_list("s")).scalar()     # calendar bounded
-    rows = (delisting_adjusted(prices, delistings).withColumn("_spans", spans)
-            .withColumn("_s", F.explode(F.filter("_spans", lambda s: (s["d"] <= F.col("date"))
-                                                 & (F.col("date") <= s["until"]))))
-            .select("entity", "date", "adj_close", F.col("_s.d").alias("as_of"), F.col("_s.period_end").alias("_pe")))
+    periods = rebalance_periods(dates)
+    # months of each period by its date, and the longest window of all: bounded by the calendar
+    table = periods.agg(F.struct(
+        F.map_from_entries(F.collect_list(F.when(F.col("period_months").isNotNull(), F.struct("date", "period_months")))).alias("months"),
+        F.greatest(F.coalesce(F.max("period_months"), F.lit(0)), F.lit(longest)).alias("longest")).alias("t")).scalar()
+    path = delisting_adjusted(prices, delistings, order).withColumn("_t", table)
+    rows = expand_dates(path, calendar(dates), F.date_sub(F.add_months("date", -F.col("_t.longest")), 3), F.date_add("date", 1))
+    months = F.try_element_at("_t.months", "as_of")
+    until = F.greatest(F.add_months("as_of", longest), F.add_months("as_of", months))
+    rows = (rows.where(F.col("date") <= until)
+            .select("entity", "date", "adj_close", "as_of", F.add_months("as_of", months).alias("_pe")))
     w = W.partitionBy("entity", "as_of").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
     peak = F.max("adj_close").over(w)
     rows = rows.withColumn("_dd", F.try_divide(peak - F.col("adj_close"), peak))

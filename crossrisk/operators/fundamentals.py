@@ -170,8 +170,8 @@ def trailing_event_count(filings: DataFrame, known: DataFrame, dates: Column, da
     Events are counted per day before anything is expanded, so a hot entity moves one row per day.
     """
     daily = filings.where(F.col("form") == form).groupBy("entity", "filed").agg(F.count(F.lit(1)).alias("k"))
-    inside = lambda d: (F.col("filed") <= d) & (F.col("filed") >= F.date_sub(d, days))
-    counts = asof.expand_dates(daily, dates, test=inside).groupBy("entity", "as_of").agg(F.sum("k").alias("n"))
+    inside = asof.expand_dates(daily, dates, F.col("filed"), F.date_add("filed", days + 1))
+    counts = inside.groupBy("entity", "as_of").agg(F.sum("k").alias("n"))
     spine = known.select("entity").withColumn("_d", dates).withColumn("as_of", F.explode("_d")).drop("_d")
     return spine.join(counts, ["entity", "as_of"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 

@@ -72,8 +72,16 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+#: tables of which the last row of a key counts, and the column with a row's position in the files, if a table has it
+KEEP_LAST = ("prices", "universe", "holdings")
+ORDER = "_order"
+
+
 def validated(df: DataFrame, name: str) -> DataFrame:
-    """Normalize names, keys, dates and numbers of a store table and raise on any violation."""
+    """Normalize names, keys, dates and numbers of a store table and raise on any violation.
+
+    Of repeated (entity, date) rows of prices, universe and holdings the last one stays, by the column ``_order`` (W31).
+    """
     for old, new in _NAMES.items():
         if old in df.columns and new not in df.columns:
             df = df.withColumnRenamed(old, new)
@@ -93,6 +101,9 @@ def validated(df: DataFrame, name: str) -> DataFrame:
             raise ValueError(f"features: {found['duplicate_keys']} duplicate (date, entity) keys")
     if name == "prices":
         out = out.where(F.col("adj_close").isNotNull())
+    if name in KEEP_LAST and ORDER in out.columns:
+        rest = F.struct(*[c for c in out.columns if c not in ("entity", "date", ORDER)])
+        out = out.groupBy("entity", "date").agg(F.max_by(rest, ORDER).alias("_last")).select("entity", "date", "_last.*")
     if name == "delistings":
         out = out.withColumn("final_value", F.coalesce("final_value", F.lit(0.0)))
     if name == "universe":

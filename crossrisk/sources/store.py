@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-from .schema import SCHEMAS, validated
+from .schema import ORDER, SCHEMAS, validated
 
 MANDATORY = ("features", "prices")
 
@@ -28,7 +28,8 @@ class Store:
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        rows = spark.read.parquet(path)
+        return rows.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(ORDER))
     except AnalysisException as err:
         if "PATH_NOT_FOUND" in str(err.getCondition()):
             return None
@@ -42,7 +43,7 @@ def load_store(spark: SparkSession, directory: str) -> Store:
         df = _read(spark, f"{directory}/{name}.parquet")
         if df is None and name in MANDATORY:
             raise FileNotFoundError(f"required table {name} missing under {directory}")
-        tables[name] = None if df is None else validated(df, name)
+        tables[name] = None if df is None else validated(df, name).drop(ORDER)
     return Store(**tables)
 
 

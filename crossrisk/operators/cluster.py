@@ -48,11 +48,12 @@ def _nearest(pcs: Sequence[str]) -> Column:
 
 
 def kmeans(points: DataFrame, pcs: Sequence[str], ks: Sequence[int] = (DEFAULT_K,), by: Sequence[str] = (),
-           n_init: int = 10, max_iter: int = 40, tol: float = 1e-8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+           n_init: int = 10, max_iter: int = 300, tol: float = 1e-8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Best of ``n_init`` Lloyd runs per group and k (M5): (assignments with ``k``, centroids with ``inertia``).
 
     Every run of every group advances in the same job: assignment is an expression on the point, the update one
     partial aggregate.  Starts are the k points with the smallest seeded hash.  A center that loses all points stays.
+    Runs go on until no center moves; those that have come to rest are set aside.  More than ``max_iter`` rounds are an error.
     """
     rows, keys = keyed(points, by)
     rows = cut_lineage(rows.select(*keys, "entity", *pcs).dropna())
@@ -61,19 +62,24 @@ def kmeans(points: DataFrame, pcs: Sequence[str], ks: Sequence[int] = (DEFAULT_K
     first = top_k(started, [*keys, "start"], [F.xxhash64("entity", "start", F.lit(seed)), F.col("entity")], max(ks), "_r")
     state = (first.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("_r") <= F.col("k"))
              .select(*keys, *extra, (F.col("_r") - 1).alias("cluster"), *pcs))
-    state = cut_lineage(state)
-    for _ in range(max_iter):
+    state, resting = cut_lineage(state), None
+    for i in range(max_iter):
         best = _nearest(pcs)
         hits = (_with_sets(rows, state, keys, pcs, extra)
                 .select(*keys, F.col("_s.k").alias("k"), F.col("_s.start").alias("start"), best["cluster"].alias("cluster"), *pcs))
         moved = hits.groupBy(*keys, *extra, "cluster").agg(*[F.avg(p).alias(f"_n{i}") for i, p in enumerate(pcs)])
-        new = cut_lineage(state.join(moved, [*keys, *extra, "cluster"], "left").select(
+        new = state.join(moved, [*keys, *extra, "cluster"], "left").select(
             *keys, *extra, "cluster", *[F.coalesce(f"_n{i}", p).alias(p) for i, p in enumerate(pcs)],
-            F.greatest(*[F.abs(F.coalesce(f"_n{i}", p) - F.col(p)) for i, p in enumerate(pcs)], F.lit(0.0)).alias("_shift")))
-        shift = new.agg(F.max("_shift").alias("s")).first()["s"]
-        state = new.drop("_shift")
-        if shift is None or shift <= tol:
+            F.greatest(*[F.abs(F.coalesce(f"_n{i}", p) - F.col(p)) for i, p in enumerate(pcs)], F.lit(0.0)).alias("_shift"))
+        new = cut_lineage(new.withColumn("_shift", F.max("_shift").over(W.partitionBy(*keys, *extra))))   # k rows each
+        still = new.where(F.col("_shift") <= tol).drop("_shift")
+        resting = still if resting is None else resting.unionByName(still)
+        state = new.where(F.col("_shift") > tol).drop("_shift")
+        if state.isEmpty():
             break
+    else:
+        raise RuntimeError(f"k-means still moves after {max_iter} rounds")
+    state = cut_lineage(resting)
     scored = (_with_sets(rows, state, keys, pcs, extra)
               .select(*keys, "entity", F.col("_s.k").alias("k"), F.col("_s.start").alias("start"), _nearest(pcs).alias("b")))
     inertia = scored.groupBy(*keys, *extra).agg(F.sum(F.col("b.d") * F.col("b.d")).alias("inertia"))

@@ -100,8 +100,8 @@ def threshold_metrics(panel: DataFrame) -> DataFrame:
         (precision / F.when(F.col("events") > 0, F.col("events") / F.col("n"))).alias("lift"))
 
 
-def _classes(panel: DataFrame, splits: int | None = None) -> DataFrame:
-    return value_table(labelled(panel), [], "composite_score", splits, {"pos": F.col("label").cast("long")})
+def _classes(panel: DataFrame) -> DataFrame:
+    return value_table(labelled(panel), [], "composite_score", {"pos": F.col("label").cast("long")})
 
 
 def auc(panel: DataFrame) -> DataFrame:

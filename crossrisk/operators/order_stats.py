@@ -2,10 +2,9 @@
 
 A window over ``partitionBy(group)`` puts a whole group into one task, so a date that holds a third of all rows
 becomes the job.  Everything here works on the *value table* of a group instead: one row per distinct value with
-its count and the number of rows below it.  The value table is built from partial counts, and each group is split
-into value ranges at approximate quantiles; the ranges only decide which task does the work, the counts are exact.
-The distinct counts are checkpointed once, so quantiles, offsets and positions read them instead of running the
-input again.
+its count and the number of rows below it.  The value table is built from partial counts, sorted once over ranges of
+(group, value), and written; a group is spread over as many ranges as its size asks for, a range holds pieces of groups,
+and the running counts inside a range start from the totals of the ranges before it.
 """
 
 from __future__ import annotations
@@ -14,39 +13,29 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage, split_count
+from ..session import cut_lineage
 
 
-def value_table(df: DataFrame, by: Sequence[str], value: str, splits: int | None = None,
-                sums: dict[str, Column] | None = None) -> DataFrame:
+def value_table(df: DataFrame, by: Sequence[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
     """``by, value, cnt, below, n``: exact counts per distinct non-null value, and rows below it in its group.
 
     ``sums`` adds totals of further integer columns the same way: ``x, x_below, x_total`` for every entry ``x``.
     """
     by, sums = list(by), dict(sums or {})
-    splits = splits or split_count(df.sparkSession)
     measures = {"cnt": F.count(F.lit(1)), **{k: F.sum(c) for k, c in sums.items()}}
-    counts = cut_lineage(df.where(F.col(value).isNotNull())
-                         .groupBy(*by, value).agg(*[a.alias(k) for k, a in measures.items()]))
-    probs = [i / splits for i in range(1, splits)]
-    cuts = F.percentile_approx(value, probs, splits * 20).alias("_cuts")
-    if by:
-        ranged = counts.join(counts.groupBy(*by).agg(cuts), by)
-    else:
-        ranged = counts.withColumn("_cuts", counts.agg(cuts).scalar())
-    ranged = (ranged.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
-              .drop("_cuts"))
-    per_range = ranged.groupBy(*by, "_range").agg(*[F.sum(k).alias(f"_r_{k}") for k in measures])
-    whole = W.partitionBy(*by)                    # at most `splits` rows per group
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[a.alias(k) for k, a in measures.items()])
+    ordered = cut_lineage(counts.orderBy(*by, value).withColumn("_range", F.spark_partition_id()))
+    per_range = ordered.groupBy("_range", *by).agg(*[F.sum(k).alias(f"_r_{k}") for k in measures])
+    whole = W.partitionBy(*by)                    # one row for each range that holds a piece of the group
     earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_range.select(
-        *by, "_range",
+        "_range", *by,
         *[F.coalesce(F.sum(f"_r_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in measures],
         *[F.sum(f"_r_{k}").over(whole).alias(f"_t_{k}") for k in measures])
-    inside = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_range", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     low = {k: F.col(f"_o_{k}") + F.coalesce(F.col(f"_i_{k}"), F.lit(0)) for k in measures}
-    return (ranged.select("*", *[F.sum(k).over(inside).alias(f"_i_{k}") for k in measures])
-            .join(offsets, [*by, "_range"])
+    return (ordered.select("*", *[F.sum(k).over(inside).alias(f"_i_{k}") for k in measures])
+            .join(offsets, ["_range", *by])
             .select(*by, value, "cnt", low["cnt"].alias("below"), F.col("_t_cnt").alias("n"),
                     *[c for k in sums for c in (F.col(k), low[k].alias(f"{k}_below"),
                                                 F.col(f"_t_{k}").alias(f"{k}_total"))]))

@@ -278,7 +278,7 @@ def pad_universe(spark, sf_dir):
 def unpivot_prices(spark, sf_dir):
     """A wide KEY|Field table, one key per year, back to long rows."""
     px = V.prices(spark, sf_dir)
-    years = [str(y) for y in range(1995, 2002)]
+    years = [str(r["y"]) for r in px.select(F.year("date").alias("y")).distinct().orderBy("y").collect()]  # bounded by the calendar
     wide = px.groupBy("date").agg(*[
         agg.alias(f"{y}|{f}") for y in years for f, agg in (
             ("Close", F.avg(F.when(F.year("date") == int(y), F.col("adj_close")))),

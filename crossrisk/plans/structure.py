@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FEATURES, N_PCS
+from ..config import FEATURES, K_CANDIDATES, N_PCS
 from ..operators import assess, audit, cluster, knn, pca, report, trajectory
 from ..session import cut_lineage
 from . import macro as M
@@ -15,13 +15,12 @@ from .registry import query, r6
 
 PCS = V.PCS
 
-V.SQL_VIEWS["cdist"] = (["points", "centroids"], """
-    SELECT p.entity, p.cluster AS own, c.cluster, sqrt((PC1 - c1) * (PC1 - c1) + (PC2 - c2) * (PC2 - c2)
-             + (PC3 - c3) * (PC3 - c3) + (PC4 - c4) * (PC4 - c4)) AS d FROM points p CROSS JOIN centroids c""")
-V.SQL_VIEWS["pairs"] = (["points"], """
-    SELECT a.entity, a.cluster, b.entity AS other, b.cluster AS other_cluster,
-           sqrt((a.PC1 - b.PC1) * (a.PC1 - b.PC1) + (a.PC2 - b.PC2) * (a.PC2 - b.PC2)
-             + (a.PC3 - b.PC3) * (a.PC3 - b.PC3) + (a.PC4 - b.PC4) * (a.PC4 - b.PC4)) AS d
+DIMS = V.DIMS
+
+V.SQL_VIEWS["cdist"] = (["points", "centroids"], f"""
+    SELECT p.entity, p.cluster AS own, c.cluster, sqrt({V.squared("PC{i}", "c{i}")}) AS d FROM points p CROSS JOIN centroids c""")
+V.SQL_VIEWS["pairs"] = (["points"], f"""
+    SELECT a.entity, a.cluster, b.entity AS other, b.cluster AS other_cluster, sqrt({V.squared("a.PC{i}", "b.PC{i}")}) AS d
     FROM points a JOIN points b ON a.entity <> b.entity""")
 V.SQL_VIEWS["sil"] = (["pairs"], """
     SELECT entity, cluster, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM (
@@ -42,15 +41,15 @@ def last_screen(spark, sf_dir):
 def centroid_gap(spark, sf_dir):
     """J11, M10."""
     p = V.points(spark, sf_dir)
-    return cluster.gap(p, cluster.centroids_of(p, PCS), PCS).select("entity", "cluster", r6("distance"), "nearest_other", r6("gap"))
+    return cluster.gap(p, cluster.centroids_of(p, DIMS), DIMS).select("entity", "cluster", r6("distance"), "nearest_other", r6("gap"))
 
 
 @query("borderline", "cdist", """
-    SELECT entity, round(g, 6) AS gap FROM (SELECT entity, list(d ORDER BY d, cluster)[2] - min(d) AS g FROM cdist GROUP BY entity) WHERE g < 0.02""")
+    SELECT entity, round(g, 6) AS gap FROM (SELECT entity, list(d ORDER BY d, cluster)[2] - min(d) AS g FROM cdist GROUP BY entity) WHERE g < 0.05""")
 def borderline(spark, sf_dir):
     """M11."""
     p = V.points(spark, sf_dir)
-    return cluster.borderline(cluster.gap(p, cluster.centroids_of(p, PCS), PCS), 0.02).select("entity", r6("gap"))
+    return cluster.borderline(cluster.gap(p, cluster.centroids_of(p, DIMS), DIMS), 0.05).select("entity", r6("gap"))
 
 
 @query("knn5", "pairs", """
@@ -59,42 +58,42 @@ def borderline(spark, sf_dir):
 def knn5(spark, sf_dir):
     """Every point against every point, in tiles."""
     p = V.points(spark, sf_dir)
-    return knn.nearest(p, p, PCS, 5).select("entity", "neighbour", r6("distance"), F.col("rank").cast("long").alias("rank"))
+    return knn.nearest(p, p, DIMS, 5).select("entity", "neighbour", r6("distance"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("silhouette", "sil", "SELECT entity, cluster, round(silhouette, 6) AS silhouette FROM sil")
 def silhouette(spark, sf_dir):
     """M6: per point."""
-    return cluster.silhouette_points(V.points(spark, sf_dir), PCS).select("entity", "cluster", r6("silhouette"))
+    return cluster.silhouette_points(V.points(spark, sf_dir), DIMS).select("entity", "cluster", r6("silhouette"))
 
 
 @query("silhouette_by_cluster", "sil", """
     SELECT cluster, count(*) AS n, round(avg(silhouette), 6) AS silhouette FROM sil GROUP BY cluster""")
 def silhouette_by_cluster(spark, sf_dir):
     """M6: per cluster."""
-    s = cluster.silhouette_points(V.points(spark, sf_dir), PCS)
+    s = cluster.silhouette_points(V.points(spark, sf_dir), DIMS)
     return s.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("silhouette"), "silhouette"))
 
 
-@query("calinski", "cdist points centroids", """
+@query("calinski", "cdist points centroids", f"""
     , w AS (SELECT sum(d * d) AS w FROM cdist WHERE own = cluster),
-    g AS (SELECT avg(PC1) AS g1, avg(PC2) AS g2, avg(PC3) AS g3, avg(PC4) AS g4, count(*) AS n, count(DISTINCT cluster) AS k FROM points),
-    b AS (SELECT sum(m * ((c1 - g1) ** 2 + (c2 - g2) ** 2 + (c3 - g3) ** 2 + (c4 - g4) ** 2)) AS b
+    g AS (SELECT {", ".join(f"avg(PC{i}) AS g{i}" for i in range(1, 65))}, count(*) AS n, count(DISTINCT cluster) AS k FROM points),
+    b AS (SELECT sum(m * ({V.squared("c{i}", "g{i}")})) AS b
           FROM centroids JOIN (SELECT cluster, count(*) AS m FROM points GROUP BY cluster) USING (cluster), g)
     SELECT n, k, round(w, 6) AS inertia, round((b / (k - 1)) / (w / (n - k)), 6) AS calinski_harabasz FROM w, g, b""")
 def calinski(spark, sf_dir):
     """M7."""
-    return cluster.calinski(V.points(spark, sf_dir), PCS).select("n", "k", r6("inertia"), r6("calinski_harabasz"))
+    return cluster.calinski(V.points(spark, sf_dir), DIMS).select("n", "k", r6("inertia"), r6("calinski_harabasz"))
 
 
-@query("separation", "cdist centroids", """
+@query("separation", "cdist centroids", f"""
     , w AS (SELECT avg(d) AS w FROM cdist WHERE own = cluster),
-    b AS (SELECT avg(sqrt((a.c1 - b.c1) ** 2 + (a.c2 - b.c2) ** 2 + (a.c3 - b.c3) ** 2 + (a.c4 - b.c4) ** 2)) AS b
+    b AS (SELECT avg(sqrt({V.squared("a.c{i}", "b.c{i}")})) AS b
           FROM centroids a JOIN centroids b ON a.cluster < b.cluster)
     SELECT round(b, 6) AS between_, round(w, 6) AS within_, round(b / w, 6) AS ratio, b / w < 1.5 AS weak FROM w, b""")
 def separation(spark, sf_dir):
     """M14."""
-    return cluster.separation(V.points(spark, sf_dir), PCS).select(r6("between", "between_"), r6("within", "within_"), r6("ratio"), "weak")
+    return cluster.separation(V.points(spark, sf_dir), DIMS).select(r6("between", "between_"), r6("within", "within_"), r6("ratio"), "weak")
 
 
 @query("ari", "points", """
@@ -210,20 +209,20 @@ def pc_labels(spark, sf_dir):
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
     """Every k in the same jobs."""
-    out = cluster.sweep(last_points(spark, sf_dir), PCS, (3, 4, 5), n_init=5)
+    out = cluster.sweep(last_points(spark, sf_dir), PCS, K_CANDIDATES)
     return out.select("k", r6("silhouette"), r6("smallest"), r6("largest"), r6("calinski_harabasz"), r6("inertia"))
 
 
 @query("selected_k")
 def selected_k(spark, sf_dir):
     """M8."""
-    return cluster.select_k(cluster.sweep(last_points(spark, sf_dir), PCS, (3, 4), n_init=5))
+    return cluster.select_k(cluster.sweep(last_points(spark, sf_dir), PCS, K_CANDIDATES))
 
 
 @query("clusters_by_date")
 def clusters_by_date(spark, sf_dir):
     """B1, M2, M5, M9: PCA, k-means and styles of every quarter in the same jobs."""
-    out = cluster.cluster_cross_sections(SC.screened(spark, sf_dir), FEATURES, ["date"], n_init=3)
+    out = cluster.cluster_cross_sections(SC.screened(spark, sf_dir), FEATURES, ["date"])
     return out.groupBy("date", "cluster", "cluster_style").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -414,14 +413,14 @@ def subsample_exact(spark, sf_dir):
 @query("stability")
 def stability(spark, sf_dir):
     """M16."""
-    cosine, rand = audit.stability(last_screen(spark, sf_dir), FEATURES, iterations=5, n_init=3)
+    cosine, rand = audit.stability(last_screen(spark, sf_dir), FEATURES, iterations=10)
     return cosine.select("pc", r6("mean_cosine", "value")).unionByName(rand.select(F.lit("ARI").alias("pc"), r6("mean_ari", "value")))
 
 
 @query("ablation")
 def ablation(spark, sf_dir):
     """M17."""
-    out = audit.ablation(last_screen(spark, sf_dir), FEATURES, n_init=3)
+    out = audit.ablation(last_screen(spark, sf_dir), FEATURES)
     return out.select("config", "n_features", r6("silhouette"), r6("ari"))
 
 

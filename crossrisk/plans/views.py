@@ -179,13 +179,14 @@ def filings(spark, sf_dir) -> DataFrame:
 
 
 PCS = ["PC1", "PC2", "PC3", "PC4"]
+DIMS = [f"PC{i}" for i in range(1, 65)]
 
 
 def points(spark, sf_dir) -> DataFrame:
-    """entity, cluster, PC1..PC4: the first four embedding dimensions with their label as cluster."""
+    """entity, cluster, PC1..PC64: all embedding dimensions with their label as cluster."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("entity"), F.col("label").cast("long").alias("cluster"),
-                    *[F.col("embedding")[i].cast("double").alias(pc) for i, pc in enumerate(PCS)])
+                    *[F.col("embedding")[i].cast("double").alias(pc) for i, pc in enumerate(DIMS)])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -314,15 +315,19 @@ SQL_VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT CAST(user_id AS VARCHAR) AS entity,
                CASE WHEN event_type = 'purchase' THEN '8-K' ELSE upper(event_type) END AS form,
                CAST(ts AS DATE) AS filed FROM events"""),
-    "points": ([], """
-        SELECT vec_id AS entity, CAST(label AS BIGINT) AS cluster, CAST(embedding[1] AS DOUBLE) AS PC1,
-               CAST(embedding[2] AS DOUBLE) AS PC2, CAST(embedding[3] AS DOUBLE) AS PC3,
-               CAST(embedding[4] AS DOUBLE) AS PC4 FROM embeddings"""),
-    "centroids": (["points"], """
-        SELECT cluster, avg(PC1) AS c1, avg(PC2) AS c2, avg(PC3) AS c3, avg(PC4) AS c4 FROM points GROUP BY cluster"""),
+    "points": ([], f"""
+        SELECT vec_id AS entity, CAST(label AS BIGINT) AS cluster, {", ".join(
+            f"CAST(embedding[{i + 1}] AS DOUBLE) AS {pc}" for i, pc in enumerate(DIMS))} FROM embeddings"""),
+    "centroids": (["points"], f"""
+        SELECT cluster, {", ".join(f"avg({pc}) AS c{i + 1}" for i, pc in enumerate(DIMS))} FROM points GROUP BY cluster"""),
 }
 
 
+def squared(left: str, right: str) -> str:
+    """Squared distance over all dimensions; the two sides are patterns with {i} for the number of the dimension."""
+    return " + ".join(f"({left.format(i=i)} - {right.format(i=i)}) ** 2" for i in range(1, len(DIMS) + 1))
+
+
 def oracle(needs: str, body: str) -> str:
     """Oracle query with the views it needs as common table expressions."""
     order: list[str] = []

@@ -41,11 +41,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def split_count(spark: SparkSession) -> int:
-    """How many value ranges a group is split into so that no group becomes one task."""
-    return max(8, min(256, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-
-
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table whose size is bounded by the model (components, clusters, centroids), or fail."""
     rows = df.limit(limit + 1).collect()

@@ -34,12 +34,12 @@ SIZE = 200
 ANCHOR = 32
 PIECE = 2 << 20
 SHARD_BYTES = 8 << 20  # sorted at once, except for an anchor that has more
-MOST_BROADCAST = 200_000
+MOST_BROADCAST = 1_000_000  # spans of 24 bytes
 SEGMENT = "hash long, segment binary, doc_ids array<long>, digests array<long>, starts array<long>"
 
 
 def _windows(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each 200-byte window of a block: the hash of its anchor, and the anchor's place."""
+    """Hashes of the 32-byte pieces of a block, and for each 200-byte window the place of its anchor."""
     n, k = len(block), ANCHOR
     up, down = _powers(1 << max(PIECE + SIZE, n).bit_length())
     numbers = np.random.default_rng(11).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
@@ -54,7 +54,7 @@ def _windows(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if width < want:
         least = np.minimum(least[:len(least) - (want - width)], least[want - width:])
     at = (np.uint64((1 << 24) - 1) - (least & np.uint64((1 << 24) - 1))).astype(np.int64)
-    return code[at], at
+    return code, at
 
 
 def _pieces(offsets: np.ndarray):
@@ -80,17 +80,20 @@ def ranges(data: memoryview, offsets: np.ndarray):
         if b - a < SIZE:
             continue
         code, at = _windows(np.frombuffer(data[a:b], np.uint8))
-        start = np.arange(len(at)) + a
-        row = np.searchsorted(offsets[lo:lo + rows + 1], start, "right") - 1 + lo
-        ok = start + SIZE <= offsets[row + 1]
-        start, row, code, at = start[ok], row[ok], code[ok], at[ok]
+        # rows of the windows: those that would leave their row are no windows
+        sizes = np.minimum(offsets[lo + 1:lo + rows + 1], b) - np.maximum(offsets[lo:lo + rows], a)
+        row = np.repeat(np.arange(lo, lo + rows), sizes)[:len(at)]
+        ok = np.ones(len(at), bool)
+        for end in (np.cumsum(sizes)[:-1]).tolist():
+            ok[max(end - SIZE + 1, 0):end] = False
+        start = np.flatnonzero(ok)
         if not len(start):
             continue
-        new = np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1]))
-        first = np.flatnonzero(new)
+        row, at = row[start], at[start]
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])))
         last = np.append(first[1:], len(start)) - 1
-        base = offsets[row[first]]
-        yield row[first], code[first].view(np.int64), start[first] - base, start[last] - base
+        base = offsets[row[first]] - a
+        yield row[first], code[at[first]].view(np.int64), start[first] - base, start[last] - base
 
 
 def _anchors(rows: DataFrame) -> DataFrame:
@@ -285,19 +288,29 @@ def _sorted_shard(segments: DataFrame) -> DataFrame:
 
 
 def found(rows: DataFrame) -> DataFrame:
-    """``key`` and ``spans``: for each text (id and digest) the byte ranges covered by repeated strings, not yet merged."""
+    """``key`` and ``spans``: for each text (id and digest) the byte ranges covered by repeated strings."""
     anchors = written(_anchors(rows.select("key", "text")))
     often = anchors.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash")
     lists = anchors.join(often, "hash").groupBy("key").agg(F.collect_set("hash").alias("hashes"))
     met = rows.select("key", "text").join(lists, "key")
     ranges_found = _sorted_shard(_segments(met))
-    return written(ranges_found.groupBy("key").agg(F.collect_list(F.struct("digest", "begin", "end")).alias("spans")))
+    gathered = ranges_found.groupBy("key").agg(F.collect_list(F.struct("digest", "begin", "end")).alias("spans"))
 
-
-def _merged(spans, text: bytes) -> np.ndarray:
-    """Disjoint ascending ranges of this very text."""
-    own = _digest(text)
-    pairs = np.array(sorted({(s["begin"], s["end"]) for s in spans if s["digest"] == own}), np.int64).reshape(-1, 2)
+    def run(batches):
+        for batch in batches:
+            out = []
+            for spans in batch.column("spans").to_pylist():
+                own = []
+                for digest in {x["digest"] for x in spans}:
+                    own += [{"digest": digest, "begin": x, "end": y} for x, y in _union(spans, digest).tolist()]
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, batch.schema.field("spans").type)], names=["key", "spans"])
+    return written(gathered.mapInArrow(run, gathered.schema))
+
+
+def _union(spans, digest: int) -> np.ndarray:
+    """Disjoint ascending ranges of the text with this digest."""
+    pairs = np.array(sorted({(s["begin"], s["end"]) for s in spans if s["digest"] == digest}), np.int64).reshape(-1, 2)
     if not len(pairs):
         return pairs
     reach = np.maximum.accumulate(pairs[:, 1])
@@ -324,7 +337,7 @@ def digests(docs: DataFrame) -> DataFrame:
             out = [[], [], [], []]
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
                 data = text.encode()
-                cut = _merged(spans or [], data)
+                cut = _union(spans or [], _digest(data))
                 kept = b"".join(data[a:b] for a, b in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(data)]))
                 for c, v in zip(out, (len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())):
                     c.append(v)
@@ -349,7 +362,7 @@ def keep(docs: DataFrame) -> DataFrame:
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                 if spans and text:
                     data = text.encode()
-                    cut = _merged(spans, data)
+                    cut = _union(spans, _digest(data))
                     text = b"".join(data[a:b] for a, b in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(data)])).decode(errors="ignore")
                 texts_out.append(text)
             columns = [batch.column(i) for i in range(len(names))]

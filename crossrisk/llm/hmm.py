@@ -33,7 +33,7 @@ STATES = 6
 CLASSES = 4096
 ROUNDS = 6
 SEGMENT = 128
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 BATCH = 2048
 END = b" "  # no word holds a space
 SMOOTH = 0.1

@@ -85,7 +85,8 @@ class Model:
         for lo, hi, parts in grams(data, offsets):
             row, code = distinct(parts, wanted, hi - lo)
             out[lo:hi] += np.bincount(row, self.weights[code], hi - lo)
-        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-out))
 
 
 def _sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[DataFrame, dict[int, float]]:
@@ -102,7 +103,10 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: bool) -> tuple[DataFrame,
 
 
 def _fit(rows: list, features: list, share: dict[int, float]) -> Model:
-    """Logistic regression on the log ratios, by gradient steps with one step size for each feature."""
+    """Logistic regression on the log ratios, by gradient steps with one step size for each feature.
+
+    The intercept stays at the log odds of the classes, which is the score of a text without n-grams.
+    """
     codes = np.array([f["code"] for f in features], np.int64)
     ratio = np.array([f["ratio"] for f in features])
     target = np.array([r["toxic"] for r in rows], float)
@@ -111,16 +115,14 @@ def _fit(rows: list, features: list, share: dict[int, float]) -> Model:
     row = np.repeat(np.arange(len(rows)), [len(r["codes"]) // 2 for r in rows])
     value = ratio[place]
     coef, intercept = np.zeros(len(codes)), float(np.log((weight * target).sum() / (weight * (1 - target)).sum()))
-    seen, seen0 = np.full(len(codes), 1e-8), 1e-8
+    seen = np.full(len(codes), 1e-8)
     scale = weight / weight.mean()
     for _ in range(ROUNDS):
         z = intercept + np.bincount(row, value * coef[place], len(rows))
         error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - target) * scale
         slope = np.bincount(place, value * error[row], len(codes)) + PENALTY * coef
-        slope0 = error.sum()
-        seen, seen0 = seen + slope ** 2, seen0 + slope0 ** 2
+        seen = seen + slope ** 2
         coef -= 0.1 * slope / np.sqrt(seen)
-        intercept -= 0.3 * slope0 / np.sqrt(seen0)
     weights = np.zeros(1 << BITS, np.float32)
     weights[codes] = ratio * coef
     return Model(weights, intercept)

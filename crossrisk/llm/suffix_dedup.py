@@ -320,14 +320,16 @@ def _union(spans, digest: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with the spans of their id; rows without an id share the key of the least number."""
+    """``docs`` with the spans of their id as a last column; rows without an id share the key of the least number."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     spans = found(rows)
     size = spans.agg(F.sum(F.size("spans")).alias("n")).first()["n"] or 0
     side = F.broadcast(spans) if size <= MOST_BROADCAST else spans
-    renamed = side.select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    return docs.withColumn("__own", key).join(renamed, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any name there is
+    own, other, found_spans = free, free + "k", free + "s"
+    renamed = side.select(F.col("key").alias(other), F.col("spans").alias(found_spans))
+    return docs.withColumn(own, key).join(renamed, F.col(own) == F.col(other), "left").select(*docs.columns, found_spans)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -335,7 +337,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [[], [], [], []]
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
                 cut = _union(spans or [], _digest(data))
                 kept = b"".join(data[a:b] for a, b in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(data)]))
@@ -343,7 +345,7 @@ def digests(docs: DataFrame) -> DataFrame:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(
                 out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-    return _with_spans(texts(docs)).select("doc_id", "text", "__spans").mapInArrow(
+    return _with_spans(texts(docs)).mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

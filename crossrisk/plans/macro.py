@@ -30,9 +30,12 @@ V.SQL_VIEWS["fac"] = (["moved"], "SELECT * FROM (SELECT date, " + ", ".join(
 V.SQL_VIEWS["reg"] = (["fac", "port", "bench"], """
     SELECT f.*, p.ret AS port, b.ret AS bench FROM fac f JOIN port p USING (date) JOIN bench b USING (date)""")
 V.SQL_VIEWS["ereg"] = (["fac", "rets"], "SELECT r.entity, r.ret, f.* FROM rets r JOIN fac f USING (date)")
-V.SQL_VIEWS["ebeta"] = (["ereg"], """
-    SELECT entity, count(*) AS n, regr_slope(ret, A_F) AS beta, regr_intercept(ret, A_F) AS alpha
-    FROM ereg GROUP BY entity HAVING count(*) >= 30""")
+_ALL = ", ".join(V.FACTORS)
+V.SQL_VIEWS["xreg"] = (["ereg"], f"SELECT * FROM (UNPIVOT ereg ON {_ALL} INTO NAME factor VALUE x)")
+V.SQL_VIEWS["sreg"] = (["reg"], f"SELECT * FROM (UNPIVOT reg ON {_ALL} INTO NAME factor VALUE x)")
+V.SQL_VIEWS["ebeta"] = (["xreg"], """
+    SELECT entity, factor, count(*) AS n, regr_slope(ret, x) AS beta, regr_intercept(ret, x) AS alpha
+    FROM xreg GROUP BY entity, factor HAVING count(*) >= 30""")
 
 
 def _meta(spark):
@@ -58,9 +61,20 @@ def entity_sample(spark, sf_dir):
     return returns.simple_returns(V.prices(spark, sf_dir)).join(factors(spark, sf_dir), "date")
 
 
+def each_factor(df, y, by=(), lags=5):
+    """One-factor fits for every factor at once: the factor is a group key."""
+    ids = [c for c in df.columns if c not in V.FACTORS]
+    fits = R.ols_hac(df.unpivot(ids, V.FACTORS, "which", "x"), y, ["x"], [*by, "which"], lags)
+    return fits.withColumn("factor", F.when(F.col("factor") == "x", F.col("which")).otherwise(F.col("factor")))
+
+
 @V.stored
 def entity_betas(spark, sf_dir):
-    return R.ols_hac(entity_sample(spark, sf_dir), "ret", ["A_F"], ["entity"])
+    return each_factor(entity_sample(spark, sf_dir), "ret", ["entity"])
+
+
+def slopes(fits):
+    return fits.where("factor <> 'const'").drop("which")
 
 
 @query("factor_panel", "fac", "SELECT date, " + ", ".join(f"round({f}, 6) AS {f}" for f in V.FACTORS) + " FROM fac")
@@ -95,18 +109,18 @@ _HAC = """
 def _hac(y, x, src, key=None, lags=5):
     over = f"OVER ({'PARTITION BY ' + key if key else ''} ORDER BY date)"
     terms = " + ".join(f"CAST({1 - k / (lags + 1)!r} AS DOUBLE) * coalesce(lag(s, {k}) {over}, 0)" for k in range(1, lags + 1))
-    return _HAC.format(g=f"{key}," if key else "", s=f"t.{key}," if key else "", y=y, x=x, src=src,
+    return _HAC.format(g=f"{key}," if key else "", s=f"{key}," if key else "", y=y, x=x, src=src,
                        group=f"GROUP BY {key}" if key else "", join=f"JOIN b USING ({key})" if key else ", b", lags=terms)
 
 
-@query("ols_hac_single", "reg", _hac("port", "A_F", "reg") + """
-    SELECT b.n, round(b.beta, 6) AS beta, round(b.alpha, 6) AS alpha, round(sqrt(m.meat) / b.sxx, 6) AS std_err,
-           round(b.beta / (sqrt(m.meat) / b.sxx), 6) AS t_stat FROM b, m""")
+@query("ols_hac_single", "sreg", _hac("port", "x", "sreg", "factor") + """
+    SELECT factor, b.n, round(b.beta, 6) AS beta, round(b.alpha, 6) AS alpha, round(sqrt(m.meat) / b.sxx, 6) AS std_err,
+           round(b.beta / (sqrt(m.meat) / b.sxx), 6) AS t_stat FROM b JOIN m USING (factor)""")
 def ols_hac_single(spark, sf_dir):
-    """Slope with HAC error."""
-    fits = R.ols_hac(sample(spark, sf_dir), "port", ["A_F"])
-    slope, const = fits.where("factor = 'A_F'"), fits.where("factor = 'const'").agg(F.max("beta")).scalar()
-    return slope.select("n", r6("beta"), r6(const, "alpha"), r6("std_err"), r6("t_stat"))
+    """Slope with HAC error, every factor alone."""
+    fits = each_factor(sample(spark, sf_dir), "port")
+    const = fits.where("factor = 'const'").select("which", r6("beta", "alpha"))
+    return fits.where("factor <> 'const'").join(const, "which").select("factor", "n", r6("beta"), "alpha", r6("std_err"), r6("t_stat"))
 
 
 @query("ols_two_factors", "reg", """
@@ -121,13 +135,12 @@ def ols_two_factors(spark, sf_dir):
     return R.ols_hac(sample(spark, sf_dir), "port", ["A_F", "N_F"]).select("factor", "n", r6("beta"), r6("r2"), r6("vif"))
 
 
-@query("per_entity_betas", "ereg", _hac("ret", "A_F", "ereg", "entity") + """
-    SELECT entity, b.n, round(b.beta, 6) AS beta, round(sqrt(m.meat) / b.sxx, 6) AS std_err
-    FROM b JOIN m USING (entity) WHERE b.n >= 30""")
+@query("per_entity_betas", "xreg", _hac("ret", "x", "xreg", "entity, factor") + """
+    SELECT entity, factor, b.n, round(b.beta, 6) AS beta, round(sqrt(m.meat) / b.sxx, 6) AS std_err
+    FROM b JOIN m USING (entity, factor) WHERE b.n >= 30""")
 def per_entity_betas(spark, sf_dir):
-    """Every entity in one plan."""
-    fits = R.ols_hac(entity_sample(spark, sf_dir), "ret", ["A_F"], ["entity"])
-    return fits.where("factor = 'A_F'").select("entity", "n", r6("beta"), r6("std_err"))
+    """Every entity and factor in one plan."""
+    return slopes(each_factor(entity_sample(spark, sf_dir), "ret", ["entity"])).select("entity", "factor", "n", r6("beta"), r6("std_err"))
 
 
 @query("multi_factor_betas")
@@ -138,15 +151,16 @@ def multi_factor_betas(spark, sf_dir):
                        X.stars("p_value").alias("stars"), "significant_05", r6("bonferroni_threshold"))
 
 
-@query("residualized_betas", "reg", """
-    , g AS (SELECT regr_slope(A_F, bench) AS gf, regr_intercept(A_F, bench) AS cf, regr_slope(port, bench) AS mb FROM reg),
-    r AS (SELECT port, bench, A_F - cf - gf * bench AS rf FROM reg, g)
-    SELECT round(regr_slope(port - (SELECT mb FROM g) * bench, rf), 6) AS beta, round((SELECT mb FROM g), 6) AS market_beta FROM r""")
+@query("residualized_betas", "sreg", """
+    , g AS (SELECT factor, regr_slope(x, bench) AS gf, regr_intercept(x, bench) AS cf, regr_slope(port, bench) AS mb FROM sreg GROUP BY factor),
+    r AS (SELECT factor, port - mb * bench AS rest, x - cf - gf * bench AS rf, mb FROM sreg JOIN g USING (factor))
+    SELECT factor, round(regr_slope(rest, rf), 6) AS beta, round(any_value(mb), 6) AS market_beta FROM r GROUP BY factor""")
 def residualized_betas(spark, sf_dir):
-    """One control, one factor; slopes equal the partialled-out forms."""
-    fits = R.residualized(sample(spark, sf_dir), "port", ["bench"], ["A_F"])
+    """One control, every factor alone; slopes equal the partialled-out forms."""
+    long = sample(spark, sf_dir).unpivot(["date", "port", "bench"], V.FACTORS, "which", "x")
+    fits = R.residualized(long, "port", ["bench"], ["x"], ["which"])
     pick = lambda f: F.max(F.when(F.col("factor") == f, F.col("beta")))
-    return fits.agg(r6(pick("A_F"), "beta"), r6(pick("bench"), "market_beta"))
+    return fits.groupBy(F.col("which").alias("factor")).agg(r6(pick("x"), "beta"), r6(pick("bench"), "market_beta"))
 
 
 @query("raw_vs_residualized")
@@ -162,18 +176,19 @@ def raw_vs_residualized(spark, sf_dir):
 
 
 @query("weekly_betas", "port factor_levels", f"""
-    , chg AS (SELECT factor, date, {S._CHANGE} AS chg FROM factor_levels WHERE factor IN ('A_F')),
-    x AS (SELECT date + CAST((12 - isodow(date)) % 7 AS INT) AS week, coalesce(sum(chg), 0) AS x FROM chg GROUP BY 1),
+    , chg AS (SELECT factor, date, {S._CHANGE} AS chg FROM factor_levels),
+    x AS (SELECT factor, date + CAST((12 - isodow(date)) % 7 AS INT) AS week, coalesce(sum(chg), 0) AS x FROM chg GROUP BY 1, 2),
     y AS (SELECT date + CAST((12 - isodow(date)) % 7 AS INT) AS week, product(1 + ret) - 1 AS y FROM port GROUP BY 1)
-    SELECT count(*) AS n, round(regr_slope(y, x / 1000), 6) AS beta, round(regr_r2(y, x / 1000), 6) AS r2 FROM x JOIN y USING (week)""")
+    SELECT factor, count(*) AS n, round(regr_slope(y, x / 1000), 6) AS beta, round(regr_r2(y, x / 1000), 6) AS r2
+    FROM x JOIN y USING (week) GROUP BY factor HAVING count(*) >= 30""")
 def weekly_betas(spark, sf_dir):
     """Weekly bars, at most two lags."""
     port = S.portfolio(spark, sf_dir).withColumn("entity", F.lit("p"))
     y = returns.weekly_returns(port).select("week", F.col("ret").alias("y"))
-    chg = V.factor_levels(spark, sf_dir).where("factor = 'A_F'").withColumn("value", returns.transform("level_change"))
-    x = returns.weekly_sums(chg).select("week", (F.col("value") / 1000).alias("x"))
-    fits = R.ols_hac(x.join(y, "week"), "y", ["x"], lags=2, date="week")
-    return fits.where("factor = 'x'").select("n", r6("beta"), r6("r2"))
+    chg = V.factor_levels(spark, sf_dir).withColumn("value", returns.transform("level_change"))
+    x = returns.weekly_sums(chg).select(F.col("factor").alias("which"), "week", (F.col("value") / 1000).alias("x"))
+    fits = R.ols_hac(x.join(y, "week"), "y", ["x"], ["which"], lags=2, date="week")
+    return fits.where("factor = 'x'").select(F.col("which").alias("factor"), "n", r6("beta"), r6("r2"))
 
 
 @query("rolling_beta", "reg", """
@@ -184,49 +199,52 @@ def rolling_beta(spark, sf_dir):
     return R.rolling_beta(sample(spark, sf_dir), "port", "bench").select("date", r6("beta"))
 
 
-@query("rolling_ols", "reg", """
-    SELECT date, 'A_F' AS factor, round(covar_pop(port, A_F) OVER w / var_pop(A_F) OVER w, 6) AS beta
-    FROM reg WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 60""")
+@query("rolling_ols", "sreg", """
+    SELECT date, factor, round(covar_pop(port, x) OVER w / var_pop(x) OVER w, 6) AS beta
+    FROM sreg WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 60""")
 def rolling_ols(spark, sf_dir):
     """G9."""
-    return R.rolling_betas(sample(spark, sf_dir), "port", ["A_F"]).select("date", "factor", r6("beta"))
+    long = sample(spark, sf_dir).unpivot(["date", "port"], V.FACTORS, "which", "x")
+    return R.rolling_betas(long, "port", ["x"], by=["which"]).select("date", F.col("which").alias("factor"), r6("beta"))
 
 
-@query("timeframe_betas", "ereg", """
-    , tf AS (SELECT 'ytd' AS timeframe, CAST(date_trunc('year', max(date)) AS DATE) AS start FROM ereg
-           UNION ALL SELECT '6m', CAST(max(date) - INTERVAL 6 MONTH AS DATE) FROM ereg
-           UNION ALL SELECT '1y', CAST(max(date) - INTERVAL 12 MONTH AS DATE) FROM ereg
-           UNION ALL SELECT '2y', CAST(max(date) - INTERVAL 24 MONTH AS DATE) FROM ereg
+@query("timeframe_betas", "xreg", """
+    , tf AS (SELECT 'ytd' AS timeframe, CAST(date_trunc('year', max(date)) AS DATE) AS start FROM xreg
+           UNION ALL SELECT '6m', CAST(max(date) - INTERVAL 6 MONTH AS DATE) FROM xreg
+           UNION ALL SELECT '1y', CAST(max(date) - INTERVAL 12 MONTH AS DATE) FROM xreg
+           UNION ALL SELECT '2y', CAST(max(date) - INTERVAL 24 MONTH AS DATE) FROM xreg
            UNION ALL SELECT 'max', DATE '1900-01-01')
-    SELECT timeframe, entity, count(*) AS n, round(regr_slope(ret, A_F), 6) AS beta FROM tf JOIN ereg ON date >= start
-    GROUP BY 1, 2 HAVING count(*) >= 30""")
+    SELECT timeframe, entity, factor, count(*) AS n, round(regr_slope(ret, x), 6) AS beta FROM tf JOIN xreg ON date >= start
+    GROUP BY 1, 2, 3 HAVING count(*) >= 30""")
 def timeframe_betas(spark, sf_dir):
     """Timeframe and entity as group keys of one fit."""
     rows = returns.by_timeframe(entity_sample(spark, sf_dir), TIMEFRAMES)
-    fits = R.ols_hac(rows, "ret", ["A_F"], ["timeframe", "entity"])
-    return fits.where("factor = 'A_F'").select("timeframe", "entity", "n", r6("beta"))
+    return slopes(each_factor(rows, "ret", ["timeframe", "entity"])).select("timeframe", "entity", "factor", "n", r6("beta"))
 
 
 @query("scenarios", "ebeta", """
-    SELECT entity, 'A_F' AS factor, '-10% A_F' AS label, round(beta * -0.1, 6) + 0.0 AS impact FROM ebeta""")
+    SELECT entity, factor, '-10% ' || factor AS label, round(beta * -0.1, 6) + 0.0 AS impact FROM ebeta
+    UNION ALL SELECT entity, factor, '+3% ' || factor, round(beta * 0.03, 6) + 0.0 FROM ebeta""")
 def scenarios(spark, sf_dir):
     """G11, J15, O1."""
-    shocks = R.shocks_table(spark, [("A_F", "-10% A_F", -0.10), ("B_X", "unused", 1.0)])
+    shocks = R.shocks_table(spark, [(f, f"{t} {f}", s) for f in V.FACTORS for t, s in (("-10%", -0.10), ("+3%", 0.03))] + [
+        ("B_X", "unused", 1.0)])
     return R.scenarios(entity_betas(spark, sf_dir), shocks).select("entity", "factor", "label", r6("impact"))
 
 
-@query("attribution", "reg", """
-    , b AS (SELECT count(*) AS n, regr_slope(port - bench, A_F) AS beta, sum(A_F) AS mv, sum(port - bench) AS total FROM reg)
-    SELECT 'A_F' AS factor, n, round(beta * mv, 6) AS contribution, round(total, 6) AS total_active, round(total - beta * mv, 6) AS selection FROM b""")
+@query("attribution", "sreg", """
+    , b AS (SELECT factor, count(*) AS n, regr_slope(port - bench, x) AS beta, sum(x) AS mv, sum(port - bench) AS total FROM sreg GROUP BY factor)
+    SELECT factor, n, round(beta * mv, 6) AS contribution, round(total, 6) AS total_active, round(total - beta * mv, 6) AS selection FROM b""")
 def attribution(spark, sf_dir):
     """G12, G4."""
-    return R.attribution(sample(spark, sf_dir), "port", "bench", ["A_F"]).select(
-        "factor", "n", r6("contribution"), r6("total_active"), r6("selection"))
+    long = sample(spark, sf_dir).unpivot(["date", "port", "bench"], V.FACTORS, "which", "x")
+    return R.attribution(long, "port", "bench", ["x"], ["which"]).select(
+        F.col("which").alias("factor"), "n", r6("contribution"), r6("total_active"), r6("selection"))
 
 
 @query("weighted_beta", "ebeta holdings", """
-    SELECT 'A_F' AS factor, round(sum(weight * beta) / (SELECT sum(weight) FROM holdings), 6) AS zero_filled,
-           round(sum(weight * beta) / sum(weight), 6) AS renormalized FROM holdings JOIN ebeta USING (entity)""")
+    SELECT factor, round(sum(weight * beta) / (SELECT sum(weight) FROM holdings), 6) AS zero_filled,
+           round(sum(weight * beta) / sum(weight), 6) AS renormalized FROM holdings JOIN ebeta USING (entity) GROUP BY factor""")
 def weighted_beta(spark, sf_dir):
     """G16, both variants."""
     b, w = entity_betas(spark, sf_dir), V.holdings(spark, sf_dir)
@@ -235,75 +253,81 @@ def weighted_beta(spark, sf_dir):
 
 
 @query("whatif", "ebeta holdings", """
-    , p AS (SELECT sum(weight * beta) / sum(weight) AS before FROM holdings JOIN ebeta USING (entity))
-    SELECT entity, 'A_F' AS factor, round(before, 6) AS before, round(before * 0.95 + beta * 0.05, 6) AS after,
-           round(before * 0.95 + beta * 0.05 - before, 6) + 0.0 AS delta FROM ebeta, p""")
+    , p AS (SELECT factor, sum(weight * beta) / sum(weight) AS before FROM holdings JOIN ebeta USING (entity) GROUP BY factor)
+    SELECT entity, factor, round(before, 6) AS before, round(before * 0.95 + beta * 0.05, 6) AS after,
+           round(before * 0.95 + beta * 0.05 - before, 6) + 0.0 AS delta FROM ebeta JOIN p USING (factor)
+    QUALIFY row_number() OVER (PARTITION BY entity ORDER BY abs(before * 0.95 + beta * 0.05 - before) DESC, factor) <= 4""")
 def whatif(spark, sf_dir):
     """G17."""
-    out = R.largest_shifts(R.what_if(entity_betas(spark, sf_dir), V.holdings(spark, sf_dir), 0.05))
+    out = R.largest_shifts(R.what_if(entity_betas(spark, sf_dir), V.holdings(spark, sf_dir), 0.05), 4)
     return out.select("entity", "factor", r6("before"), r6("after"), r6("delta"))
 
 
-@query("versus_index", "ebeta reg", """
-    SELECT entity, round(beta - (SELECT regr_slope(bench, A_F) FROM reg), 6) AS gap FROM ebeta""")
+@query("versus_index", "ebeta sreg", """
+    SELECT entity, factor, round(beta - i, 6) AS gap FROM ebeta JOIN (SELECT factor, regr_slope(bench, x) AS i FROM sreg GROUP BY factor) USING (factor)""")
 def versus_index(spark, sf_dir):
     """G18."""
-    index = R.ols_hac(sample(spark, sf_dir), "bench", ["A_F"])
-    return R.versus_index(entity_betas(spark, sf_dir), index).select("entity", r6("gap"))
+    return R.versus_index(entity_betas(spark, sf_dir), each_factor(sample(spark, sf_dir), "bench")).select("entity", "factor", r6("gap"))
 
 
-@query("index_vs_active", "reg", """
-    SELECT 'A_F' AS factor, round(regr_slope(bench, A_F), 6) AS index_beta, round(regr_slope(port, A_F), 6) AS total_beta,
-           round(regr_slope(port - bench, A_F), 6) AS active_beta FROM reg""")
+@query("index_vs_active", "sreg", """
+    SELECT factor, round(regr_slope(bench, x), 6) AS index_beta, round(regr_slope(port, x), 6) AS total_beta,
+           round(regr_slope(port - bench, x), 6) AS active_beta FROM sreg GROUP BY factor""")
 def index_vs_active(spark, sf_dir):
     """The three series are one fit with the series as group key."""
     d = sample(spark, sf_dir).withColumn("active", F.col("port") - F.col("bench"))
-    long = d.unpivot(["date", "A_F"], ["bench", "port", "active"], "which", "y")
-    fits = R.ols_hac(long, "y", ["A_F"], ["which"])
-    part = lambda n: fits.where(F.col("which") == n).drop("which")
+    long = d.unpivot(["date", *V.FACTORS], ["bench", "port", "active"], "series", "y")
+    fits = each_factor(long, "y", ["series"])
+    part = lambda n: fits.where(F.col("series") == n)
     return R.index_vs_active(part("bench"), part("port"), part("active")).select(
         "factor", r6("index_beta"), r6("total_beta"), r6("active_beta"))
 
 
 @query("factor_contributors", "ebeta holdings", """
-    SELECT entity, round(weight * beta, 6) AS weighted, rank FROM (
-      SELECT *, row_number() OVER (ORDER BY abs(weight * beta) DESC, entity) AS rank FROM holdings JOIN ebeta USING (entity)) WHERE rank <= 3""")
+    , t AS (SELECT factor, sum(weight * beta) AS total FROM holdings JOIN ebeta USING (entity) GROUP BY factor)
+    SELECT factor, entity, round(weight * beta, 6) AS weighted, round(weight * beta / total, 4) AS share, rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY factor ORDER BY abs(weight * beta) DESC, entity) AS rank FROM holdings JOIN ebeta USING (entity) JOIN t USING (factor))
+    WHERE rank <= 3""")
 def factor_contributors(spark, sf_dir):
-    """G19, W24; the factor is passed as significant."""
-    total = spark.range(1).select(F.lit("A_F").alias("factor"), F.lit(1.0).alias("beta"), F.lit(0.0).alias("p_value"))
-    out = R.contributors(entity_betas(spark, sf_dir).where("factor = 'A_F'").select("entity", "factor", "beta"),
-                         V.holdings(spark, sf_dir), total)
-    return out.select("entity", r6("weighted"), F.col("rank").cast("long").alias("rank"))
+    """Shares of the summed weighted beta; every factor is taken for significant."""
+    b, w = slopes(entity_betas(spark, sf_dir)).select("entity", "factor", "beta"), V.holdings(spark, sf_dir)
+    total = b.join(w, "entity").groupBy("factor").agg(F.sum(F.col("weight") * F.col("beta")).alias("beta")).withColumn("p_value", F.lit(0.0))
+    out = R.contributors(b, w, total)
+    return out.select("factor", "entity", r6("weighted"), (F.round("share", 4) + F.lit(0.0)).alias("share"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("beta_scale", "ebeta", """
-    SELECT 'A_F' AS factor, round(greatest(max(m) FILTER (rn = pos + 1), 1e-6), 6) AS scale FROM (
+    SELECT factor, round(greatest(max(m) FILTER (rn = pos + 1), 1e-6), 6) AS scale FROM (
       SELECT *, least(CAST(floor(0.95 * n) AS BIGINT), n - 1) AS pos FROM (
-        SELECT abs(beta) AS m, row_number() OVER (ORDER BY abs(beta)) AS rn, count(*) OVER () AS n FROM ebeta WHERE abs(beta) > 0))""")
+        SELECT factor, abs(beta) AS m, row_number() OVER (PARTITION BY factor ORDER BY abs(beta)) AS rn, count(*) OVER (PARTITION BY factor) AS n
+        FROM ebeta WHERE abs(beta) > 0)) GROUP BY factor""")
 def beta_scale(spark, sf_dir):
     """A27."""
-    b = entity_betas(spark, sf_dir).where("factor = 'A_F'")
+    b = slopes(entity_betas(spark, sf_dir))
     return report.positive_scale(b).select("factor", r6("scale"))
 
 
-@query("beta_pivot", "ebeta", "SELECT entity, round(alpha, 6) AS const, round(beta, 6) AS A_F FROM ebeta")
+@query("beta_pivot", "ebeta", "SELECT entity, " + ", ".join(
+    f"round(max(beta) FILTER (factor = '{f}'), 6) AS {f}" for f in V.FACTORS) + " FROM ebeta GROUP BY entity")
 def beta_pivot(spark, sf_dir):
     """O8."""
-    return R.pivot_betas(entity_betas(spark, sf_dir), ["const", "A_F"]).select("entity", r6("const"), r6("A_F"))
+    return R.pivot_betas(entity_betas(spark, sf_dir), V.FACTORS).select("entity", *[r6(f) for f in V.FACTORS])
 
 
 @query("beta_arrays", "ebeta", """
-    SELECT entity, round_even(beta, 4) AS b0, CAST(NULL AS DOUBLE) AS b1, CAST(2 AS BIGINT) AS size FROM ebeta""")
+    SELECT entity, round_even(max(beta) FILTER (factor = 'A_F'), 4) AS b0, round_even(max(beta) FILTER (factor = 'N_F'), 4) AS b1,
+           CAST(NULL AS DOUBLE) AS b2, CAST(3 AS BIGINT) AS size FROM ebeta GROUP BY entity""")
 def beta_arrays(spark, sf_dir):
     """K5: fixed factor order, missing factors null, four decimals."""
-    arr = sinks.beta_arrays(entity_betas(spark, sf_dir), ["A_F", "Z_Z"])
-    return arr.select("entity", F.get("beta", F.lit(0)).alias("b0"), F.get("beta", F.lit(1)).alias("b1"),
+    arr = sinks.beta_arrays(slopes(entity_betas(spark, sf_dir)), ["A_F", "N_F", "Z_Z"])
+    return arr.select("entity", *[F.get("beta", F.lit(i)).alias(f"b{i}") for i in range(3)],
                       F.size("beta").cast("long").alias("size"))
 
 
-@query("macro_summary", "reg", """
-    SELECT count(*) AS n, round(regr_r2(port, A_F), 6) AS r2, round(regr_intercept(port, A_F) * 252, 6) AS alpha_annual,
-           CAST(1 AS DOUBLE) AS max_vif FROM reg""")
+@query("macro_summary", "sreg", """
+    SELECT factor, count(*) AS n, round(regr_r2(port, x), 6) AS r2, round(regr_intercept(port, x) * 252, 6) AS alpha_annual,
+           CAST(1 AS DOUBLE) AS max_vif FROM sreg GROUP BY factor""")
 def macro_summary(spark, sf_dir):
     """T4."""
-    return R.summary(R.ols_hac(sample(spark, sf_dir), "port", ["A_F"])).select("n", r6("r2"), r6("alpha_annual"), r6("max_vif"))
+    fits = R.summary(each_factor(sample(spark, sf_dir), "port"), ["which"])
+    return fits.select(F.col("which").alias("factor"), "n", r6("r2"), r6("alpha_annual"), r6("max_vif"))

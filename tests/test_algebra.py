@@ -157,3 +157,32 @@ def test_assessment_flags_and_unknown(spark, blobs):
     assert out["??"]["status"] == "not in universe" and out["59"]["recommendation"] == "AVOID"
     assert out["5"]["n_held"] == 5 and out["5"]["similarity"].startswith("highly") and out["5"]["recommendation"] == "PROCEED WITH CAVEATS"
     assert len(out["59"]["bullets"]) == 4
+
+
+def test_factor_panel_keeps_more_than_a_thousand_factors(spark):
+    from pyspark.sql import functions as F
+    from crossrisk.operators import regress
+    names = spark.range(1005).select(F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("factor"))
+    days = F.explode(F.array(*[F.lit(d).cast("date") for d in ("2020-01-02", "2020-01-03", "2020-01-06")])).alias("date")
+    levels = names.select("factor", days).withColumn("value", F.day("date").cast("double"))
+    meta = names.select("factor", F.lit("log_return").alias("transform"), F.lit("daily").alias("frequency"))
+    assert len(regress.factor_panel(levels, meta, []).columns) == 1006
+
+
+def test_short_sample_and_empty_weights_are_errors(spark):
+    import pytest
+    from crossrisk.operators import pca, regress
+    rows = spark.createDataFrame([(i, float(i), float(i * i)) for i in range(20)], "date int, y double, x double")
+    with pytest.raises(ValueError, match="complete rows"):
+        regress.ols_hac(rows, "y", ["x"])
+    with pytest.raises(ValueError, match="universe"):
+        pca.align_weights(spark.createDataFrame([("A", 1.0)], "entity string, weight double"), spark.createDataFrame([("B",)], "entity string"))
+
+
+def test_doubled_price_day_has_no_forward_return(spark):
+    import datetime as dt
+    from crossrisk.operators import asof
+    day = dt.date(2020, 1, 2)
+    prices = spark.createDataFrame([("A", day, 1.0), ("A", day, 1.0)], "entity string, date date, adj_close double")
+    row = asof.forward_stats(prices, spark.createDataFrame([(day,)], "date date"), [1], 6).first()
+    assert row["fwd_ret_1m"] is None and row["fwd_maxdd"] is None

@@ -117,3 +117,22 @@ def test_factor_panel_spread_and_frequency(spark):
     assert all(r["growth_CYCDEF"] == pytest.approx(r["growth_XLI"]) for r in out)
     assert [r["financial_conditions_NFCI"] for r in out if r["date"] == days[7]] == [1.0]
     assert len([r for r in factor_registry() if r["curated"]]) == 12
+
+
+@pytest.mark.parametrize("header, names", [(",A,B,C,D", ["A", "B", "C"]), (",A,B,C", ["A", "B", "C"]), (",A,B", ["F0", "F1", "F2"]), ("A,B,C", ["F0", "F1", "F2"])])
+def test_daily_block_headers_of_other_widths(spark, tmp_path, header, names):
+    f = tmp_path / "block.txt"
+    f.write_text(f"Preamble\n{header}\n20200102,1,2,3\n20200103,4,5,6\n")
+    rows = landed.read_daily_block(spark, str(f)).where("date = '2020-01-02'").collect()
+    assert sorted((r["factor"], round(r["value"], 4)) for r in rows) == [(n, (i + 1) / 100) for i, n in enumerate(names)]
+
+
+def test_store_keeps_the_last_price_of_a_day(spark, tmp_path):
+    from crossrisk.sources.store import load_store
+    schema_ = "entity string, date date, adj_close double, volume double"
+    px = spark.createDataFrame([("A", D(2020, 1, 2), 1.0, 1.0), ("A", D(2020, 1, 2), 2.0, 1.0), ("A", D(2020, 1, 3), 3.0, 1.0)], schema_)
+    px.coalesce(1).write.parquet(str(tmp_path / "prices.parquet"))
+    spark.createDataFrame([("A", D(2020, 1, 2), "s")], "entity string, date date, sector string").write.parquet(
+        str(tmp_path / "features.parquet"))
+    got = {r["date"]: r["adj_close"] for r in load_store(spark, str(tmp_path)).prices.collect()}
+    assert got == {D(2020, 1, 2): 2.0, D(2020, 1, 3): 3.0}

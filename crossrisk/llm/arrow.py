@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from .shingles import PRIME, _powers, mix
 
 SIZE = 200
 ANCHOR = 32
-PIECE = 2 << 20
+PIECE = 1 << 19
 SHARD_BYTES = 8 << 20  # sorted at once, except for an anchor that has more
 MOST_BROADCAST = 1_000_000  # spans of 24 bytes
 SEGMENT = "hash long, segment binary, doc_ids array<long>, digests array<long>, starts array<long>"

@@ -213,23 +213,19 @@ def entity_loadings(basis: np.ndarray, pcs: list[str]):
     return run
 
 
-def gram_partial(width: int):
-    """Sum of outer products of the vectors of one partition, one output row per matrix row."""
+def gram_times(block: np.ndarray):
+    """Z'(Z V) over the vectors of one partition, as cells of the day x columns result."""
     def run(batches):
-        g = np.zeros((width, width))
+        out = np.zeros(block.shape)
         for pdf in batches:
             if len(pdf):
                 z = np.stack([np.asarray(v, dtype=float) for v in pdf["z"]])
-                g += z.T @ z
-        yield pd.DataFrame({"i": np.arange(width), "row": list(g)})
+                out += z.T @ (z @ block)
+        i, j = np.indices(block.shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": out.ravel()})
     return run
 
 
-def add_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Element-wise sum of the partial rows of one matrix row."""
-    return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "row": [np.sum(np.stack(list(pdf["row"])), axis=0)]})
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by direct differences, one column at a time to bound memory."""
     out = np.zeros((a.shape[0], b.shape[0]))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..config import COMPONENT_RULES, FACTOR_MIN_COVERAGE, FRENCH_COLUMNS, N_PCS, PC_FAMILIES, SECTOR_LABEL_MIN, UNLABELLED
 from ..functions import kernels
 from ..functions.expr import first_rule
-from ..session import bounded_rows, cut_lineage
+from ..session import cut_lineage
 from . import regress
 from .gram import ONE, key_schema, keyed, moments
 from .scoring import top_k
@@ -97,12 +97,9 @@ def top_bottom(loadings: DataFrame, k: int = 10, name: str = "entity") -> DataFr
 
 # ---- return space -----------------------------------------------------------------------------
 
-MAX_DAYS = 5000             # the date x date matrix is the only thing solved in one place
-
-
 def _calendar_days(returns: DataFrame) -> list[int]:
-    day = returns.select(F.unix_date("date").alias("d")).distinct().orderBy("d")
-    return [r["d"] for r in bounded_rows(day, MAX_DAYS, "return calendar")]
+    """The distinct days; as many as the calendar has."""
+    return [r["d"] for r in returns.select(F.unix_date("date").alias("d")).distinct().orderBy("d").collect()]
 
 
 def _standard_vectors(returns: DataFrame, days: list[int]) -> DataFrame:
@@ -114,11 +111,49 @@ def _standard_vectors(returns: DataFrame, days: list[int]) -> DataFrame:
     return rows.mapInPandas(kernels.standard_vectors(days), f"entity {kind}, z array<double>")
 
 
+def _leading(vectors: DataFrame, t: int, k: int, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenpairs of the sum of z z' over all vectors, by block Krylov steps.
+
+    A step multiplies the sum with a few day vectors in one job: partial products per partition, added up by Spark.  The driver
+    holds days x (a few columns per step), never the day x day matrix.  Steps go on until the pairs no longer move.
+    """
+    width = min(t, k + 8)
+
+    def times(block: np.ndarray) -> np.ndarray:
+        out = np.zeros(block.shape)
+        cells = vectors.select("z").mapInPandas(kernels.gram_times(block), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+        for r in cells.collect():                   # days x columns of the block
+            out[r["i"], r["j"]] = r["v"]
+        return out
+
+    basis = np.linalg.qr(np.random.default_rng(0).standard_normal((t, width)))[0]
+    product = times(basis)
+    last = product
+    while True:
+        small = basis.T @ product
+        val, vec = np.linalg.eigh((small + small.T) / 2)
+        top = np.argsort(val)[::-1][:min(k, t)]
+        val, vec = val[top], vec[:, top]
+        pairs = basis @ vec
+        off = np.linalg.norm(product @ vec - pairs * val, axis=0)
+        if off.max() <= tol * max(val[0], 1e-300) or basis.shape[1] >= t:
+            return np.clip(val, 0, None), pairs
+        for _ in range(2):                          # twice, for orthogonality to rounding
+            last = last - basis @ (basis.T @ last)
+        q, r = np.linalg.qr(last)
+        q = q[:, np.abs(np.diag(r)) > 1e-12 * max(val[0], 1e-300)][:, :t - basis.shape[1]]
+        if not q.shape[1]:
+            return np.clip(val, 0, None), pairs
+        q = np.linalg.qr(q - basis @ (basis.T @ q))[0]
+        last = times(q)
+        basis, product = np.hstack([basis, q]), np.hstack([product, last])
+
+
 def corr_pca(returns: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Principal components of the entity correlation matrix: (loadings, scores, variance).
 
-    Entities are many and days are few, so the day x day matrix is summed over entities in parallel and decomposed;
-    the entity loadings follow from it as a distributed product.  The entity x entity matrix never exists.
+    Entities are many and days are few, so the leading day vectors are found first; the entity loadings follow from them as a
+    distributed product.  Neither the entity x entity nor the day x day matrix exists.
     """
     spark = returns.sparkSession
     days = _calendar_days(returns)
@@ -126,14 +161,8 @@ def corr_pca(returns: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFram
     n_entities, t = vectors.count(), len(days)
     if k > n_entities:
         raise ValueError(f"{k} components asked of {n_entities} entities")
-    partial = vectors.select("z").mapInPandas(kernels.gram_partial(t), "i int, row array<double>")
-    summed = partial.groupBy("i").applyInPandas(kernels.add_rows, "i int, row array<double>")
-    g = np.zeros((t, t))
-    for r in bounded_rows(summed, MAX_DAYS, "day matrix"):
-        g[r["i"]] = r["row"]
-    val, vec = np.linalg.eigh(g)
-    order = np.argsort(val)[::-1][:min(k, t)]
-    val, vec = np.clip(val[order], 0, None), vec[:, order]
+    val, vec = _leading(vectors, t, k)
+    order = range(len(val))
     pcs = [f"PC{i + 1}" for i in range(len(order))]
     scale = np.where(val > 0, np.sqrt(np.where(val > 0, val, 1.0)), np.inf)
     kind = returns.schema["entity"].dataType.simpleString()

@@ -226,10 +226,16 @@ def clusters_by_date(spark, sf_dir):
     return out.groupBy("date", "cluster", "cluster_style").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("return_pca")
-def return_pca(spark, sf_dir):
-    """Entity correlation structure from the day x day matrix of the last year."""
-    rets = _last_year(spark, sf_dir)
+def recent_returns(spark, sf_dir, months: int | None = 12):
+    """Returns of the look-back window; None: the whole history."""
+    from ..operators import returns
+    rets = returns.simple_returns(V.prices(spark, sf_dir))
+    if months is None:
+        return rets
+    return rets.withColumn("_e", rets.agg(F.max("date")).scalar()).where(F.col("date") > F.add_months("_e", -months)).drop("_e")
+
+
+def _return_pca(rets):
     loads, scores, var = pca.corr_pca(rets, 5)
     size = loads.groupBy("pc").agg(F.count(F.lit(1)).alias("n_entities"), r6(F.sum(F.col("loading") ** 2), "norm"))
     days = scores.groupBy("pc").agg(F.count(F.lit(1)).alias("n_days"))
@@ -238,22 +244,28 @@ def return_pca(spark, sf_dir):
                     r6(pca.marchenko_pastur(F.col("n_entities"), F.col("n_days")), "noise_edge")))
 
 
-def _last_year(spark, sf_dir):
-    from ..operators import returns
-    rets = returns.simple_returns(V.prices(spark, sf_dir))
-    return rets.withColumn("_e", rets.agg(F.max("date")).scalar()).where(F.col("date") > F.add_months("_e", -12)).drop("_e")
+@query("return_pca")
+def return_pca(spark, sf_dir):
+    """Entity correlation structure of the look-back window."""
+    return _return_pca(recent_returns(spark, sf_dir))
+
+
+@query("return_pca_all")
+def return_pca_all(spark, sf_dir):
+    """The same over the whole history."""
+    return _return_pca(recent_returns(spark, sf_dir, None))
 
 
 @query("split_half")
 def split_half(spark, sf_dir):
     """R3, O11."""
-    return pca.split_half(_last_year(spark, sf_dir), 3).select("pc", r6("cosine"), "verdict")
+    return pca.split_half(recent_returns(spark, sf_dir, None), 3).select("pc", r6("cosine"), "verdict")
 
 
 @query("portfolio_projection")
 def portfolio_projection(spark, sf_dir):
     """Weights on components, tilt and variance shares."""
-    rets, held = _last_year(spark, sf_dir), V.holdings(spark, sf_dir)
+    rets, held = recent_returns(spark, sf_dir), V.holdings(spark, sf_dir)
     loads, _, var = pca.corr_pca(rets, 5)
     loads = cut_lineage(loads)
     shares = pca.variance_decomposition(loads, var, held, rets).select("pc", "share")

@@ -39,11 +39,3 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Collect a table whose size is bounded by the model (components, clusters, centroids), or fail."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows, too many for the driver")
-    return rows

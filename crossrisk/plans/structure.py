@@ -200,6 +200,34 @@ def pca_total_variance(spark, sf_dir):
     return model.groupBy("pc").agg(F.max("eigenvalue").alias("e")).agg(r6(F.sum("e"), "total"))
 
 
+V.SQL_VIEWS["long_screen"] = (["screen"], f"""
+    SELECT date, entity, feature, x, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s
+    FROM (UNPIVOT screen ON {", ".join(FEATURES)} INTO NAME feature VALUE x) WINDOW w AS (PARTITION BY date, feature)""")
+
+
+@query("pca_rebuilt_correlation", "long_screen", """
+    SELECT a.date, a.feature AS left_feature, b.feature AS right_feature,
+           round(avg(CASE WHEN a.s > 0 AND b.s > 0 THEN (a.x - a.m) / a.s * ((b.x - b.m) / b.s) ELSE 0 END), 6) + 0.0 AS correlation
+    FROM long_screen a JOIN long_screen b ON a.date = b.date AND a.entity = b.entity AND a.feature < b.feature GROUP BY 1, 2, 3""")
+def pca_rebuilt_correlation(spark, sf_dir):
+    """M2: all components of every quarter; eigenvalues and loadings give the correlations back."""
+    model = cut_lineage(pca.fit(SC.screened(spark, sf_dir), FEATURES, ["date"], len(FEATURES)))
+    left = model.select("date", "pc", F.col("feature").alias("left_feature"), "eigenvalue", F.col("loading").alias("a"))
+    right = model.select("date", "pc", F.col("feature").alias("right_feature"), F.col("loading").alias("b"))
+    both = left.join(right, ["date", "pc"]).where("left_feature < right_feature")
+    return both.groupBy("date", "left_feature", "right_feature").agg(r6(F.sum(F.col("eigenvalue") * F.col("a") * F.col("b")), "correlation"))
+
+
+@query("pca_score_norms", "long_screen", """
+    SELECT date, entity, round(sum(CASE WHEN s > 0 THEN ((x - m) / s) ** 2 ELSE 0 END), 6) AS norm FROM long_screen GROUP BY date, entity""")
+def pca_score_norms(spark, sf_dir):
+    """M3: scores on all components have the length of the standardized row."""
+    rows = SC.screened(spark, sf_dir)
+    model = pca.fit(rows, FEATURES, ["date"], len(FEATURES))
+    scores = pca.project(rows, model, FEATURES, ["date"], len(FEATURES))
+    return scores.select("date", "entity", r6(sum((F.col(f"PC{i + 1}") ** 2 for i in range(len(FEATURES))), F.lit(0.0)), "norm"))
+
+
 @query("pc_labels")
 def pc_labels(spark, sf_dir):
     """M4."""

@@ -23,6 +23,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 def raw(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes of a string column without nulls, and the n + 1 offsets of its rows in them."""
+    pa.default_memory_pool().release_unused()  # of the batches before
     column = pc.cast(column, pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]

@@ -33,7 +33,8 @@ from .shingles import PRIME, _powers, mix
 SIZE = 200
 ANCHOR = 32
 PIECE = 1 << 19
-SHARD_BYTES = 8 << 20  # sorted at once, except for an anchor that has more
+SHARD_BYTES = 2 << 20  # sorted at once, except for an anchor that has more
+HELD_BYTES = 8 << 20  # segments collapsed before they are sent
 MOST_BROADCAST = 1_000_000  # spans of 24 bytes
 SEGMENT = "hash long, segment binary, doc_ids array<long>, digests array<long>, starts array<long>"
 
@@ -119,7 +120,14 @@ def _digest(text: bytes) -> int:
 
 
 def _segments(met: DataFrame) -> DataFrame:
-    """The segments of repeated anchors; equal ones of a batch are one row."""
+    """The segments of repeated anchors; equal ones of some texts are one row."""
+    def sent(found: dict) -> pa.RecordBatch:
+        owners = list(found.values())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()),
+             *(pa.array([[o[j] for o in own] for own in owners], pa.list_(pa.int64())) for j in range(3))],
+            names=["hash", "segment", "doc_ids", "digests", "starts"])
+
     def run(batches):
         for batch in batches:
             data, offsets = raw(batch.column("text"))
@@ -133,24 +141,25 @@ def _segments(met: DataFrame) -> DataFrame:
             cut = np.searchsorted(wanted_row, np.arange(len(keys) + 1))
             digests: dict[int, int] = {}
             found: dict[tuple[int, bytes], list] = {}
+            held = 0
             for row, code, first, last in ranges(data, offsets):
                 for r in np.unique(row).tolist():
-                    own = np.flatnonzero(row == r) if len(row) < 64 else np.arange(*np.searchsorted(row, [r, r + 1]))
+                    own = np.arange(*np.searchsorted(row, [r, r + 1]))
                     known = flat[cut[r]:cut[r + 1]]
                     at = np.minimum(np.searchsorted(known, code[own]), len(known) - 1)
                     own = own[known[at] == code[own]]
                     if not len(own):
                         continue
+                    begin = int(offsets[r])
                     if r not in digests:
-                        digests[r] = _digest(data[offsets[r]:offsets[r + 1]])
+                        digests[r] = _digest(data[begin:offsets[r + 1]])
                     for c, x, y in zip(code[own].tolist(), first[own].tolist(), last[own].tolist()):
-                        at = int(offsets[r])
-                        found.setdefault((c, bytes(data[at + x:at + y + SIZE])), []).append((keys[r], digests[r], x))
-            owners = list(found.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.int64()), pa.array([k[1] for k in found], pa.binary()),
-                 *(pa.array([[o[j] for o in own] for own in owners], pa.list_(pa.int64())) for j in range(3))],
-                names=["hash", "segment", "doc_ids", "digests", "starts"])
+                        found.setdefault((c, bytes(data[begin + x:begin + y + SIZE])), []).append((keys[r], digests[r], x))
+                        held += y - x + SIZE
+                if held >= HELD_BYTES:
+                    yield sent(found)
+                    found, held = {}, 0
+            yield sent(found)
     return met.mapInArrow(run, SEGMENT)
 
 

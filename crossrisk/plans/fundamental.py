@@ -139,3 +139,42 @@ def valuation(spark, sf_dir):
     return features(spark, sf_dir).select("entity", r6("pe_ratio"), "earnings_negative", r6("ev_to_ebitda"), r6("short_pct_float"), "sector")
 
 
+
+
+# ---- statements of suppliers, so that every branch has values -----------------------------------
+
+V.SQL_VIEWS["supplier_quarter"] = ([], """
+    SELECT CAST(l_suppkey AS VARCHAR) AS entity, last_day(CAST(date_trunc('quarter', l_shipdate) AS DATE) + INTERVAL 2 MONTH) AS period_end,
+           CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) AS revenue, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) * 100000 AS cash,
+           CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) * 100000 AS interest, CAST(count(*) AS DOUBLE) AS shares
+    FROM lineitem GROUP BY 1, 2""")
+
+
+def supplier_statements(spark, sf_dir):
+    """entity, statement, period_end, item, value of every supplier and quarter; every fifth supplier pays no interest."""
+    end = F.last_day(F.add_months(F.trunc(F.to_date("l_shipdate"), "quarter"), 2))
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
+    rows = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("entity"), end.alias("period_end")).agg(
+        cents("l_extendedprice").alias("revenue"), (F.sum(F.col("l_quantity").cast("long")).cast("double") * 100000).alias("cash"),
+        (cents("l_tax") * 100000).alias("interest"), F.count(F.lit(1)).cast("double").alias("shares"))
+    pays = F.when(F.col("entity").cast("long") % 5 != 0, F.col("interest"))
+    items = [("income", "Net Income", F.col("revenue")), ("income", "EBIT", F.col("cash")), ("income", "Interest Expense", -pays),
+             ("cashflow", "Operating Cash Flow", F.col("cash")), ("balance", "Total Assets", F.col("revenue")),
+             ("balance", "Ordinary Shares Number", F.col("shares"))]
+    long = F.explode(F.array(*[F.struct(F.lit(s).alias("statement"), F.lit(i).alias("item"), v.alias("value")) for s, i, v in items]))
+    return rows.select("entity", "period_end", long.alias("r")).select("entity", "r.statement", "period_end", "r.item", "r.value")
+
+
+@query("accruals_growth", "supplier_quarter", """
+    , q AS (SELECT *, sum(cash) OVER w AS ocf, sum(revenue) OVER w AS ni, count(*) OVER w AS n, lag(revenue, 4) OVER o AS ta4, lag(shares, 4) OVER o AS sh4
+            FROM supplier_quarter WINDOW o AS (PARTITION BY entity ORDER BY period_end), w AS (o ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+    SELECT entity, period_end, CASE WHEN n >= 4 AND abs(ni) >= 1e6 THEN round(greatest(-1, least(3, ocf / ni)), 6) END AS accruals_ratio,
+           CASE WHEN ta4 > 0 AND revenue <> 0 THEN round(greatest(-0.5, least(1, (revenue - ta4) / ta4)), 6) + 0.0 END AS asset_growth_yoy,
+           CASE WHEN sh4 > 0 AND shares <> 0 THEN round(greatest(-0.3, least(0.5, (shares - sh4) / sh4)), 6) + 0.0 END AS net_issuance_yoy FROM q""")
+def accruals_growth(spark, sf_dir):
+    """Every supplier and quarter."""
+    items = FU.canonical(supplier_statements(spark, sf_dir))
+    part = lambda s: items.where(F.col("statement") == s)
+    rows = (FU.income_measures(part("income")).join(FU.cashflow_measures(part("cashflow")), ["entity", "period_end"])
+            .join(FU.balance_measures(part("balance")).select("entity", "period_end", "asset_growth_yoy", "net_issuance_yoy"), ["entity", "period_end"]))
+    return rows.select("entity", "period_end", r6(FU.accruals_ratio(), "accruals_ratio"), r6("asset_growth_yoy"), r6("net_issuance_yoy"))

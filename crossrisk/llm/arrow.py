@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +24,32 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+@lru_cache(1)
+def _libc():
+    name = ctypes.util.find_library("c")
+    return ctypes.CDLL(name) if name else None
+
+
+def release() -> None:
+    """Give memory that is no longer used back, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def tidy(run):
+    """A task function over batches that leaves no unused memory behind."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return wrapped
+
+
 def raw(column: pa.Array) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes of a string column without nulls, and the n + 1 offsets of its rows in them."""
-    pa.default_memory_pool().release_unused()  # of the batches before
+    release()
     column = pc.cast(column, pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = column.buffers()[2]

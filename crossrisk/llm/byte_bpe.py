@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import groups, raw, texts
+from .arrow import groups, raw, texts, tidy
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 NEVER = 1 << 40
@@ -124,7 +124,7 @@ class Codec:
     """
 
     SLOT_BITS = 19
-    MOST_POOLED = 8 << 20
+    MOST_POOLED = 2 << 20
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
                  pa.array([np.cumsum(sizes[x]) for x in ids], pa.list_(pa.int64()))], names=["doc_id", "ids", "ends"])
-    return texts(docs).mapInArrow(run, "doc_id long, ids array<int>, ends array<long>")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>, ends array<long>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -308,7 +308,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             out = [own.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -328,4 +328,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(written, pa.string()),
                  pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -25,7 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import raw
+from .arrow import raw, tidy
 from .byte_bpe import RANK_FILE, codec
 
 BUDGET = 1024
@@ -73,7 +73,7 @@ def formatted(conversations: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("conv_id", "turn", "role", "text")), whole, pa.array([len(h) for h in heads], pa.int32()),
                  pa.array(tokens, pa.int64())], names=["conv_id", "turn", "role", "text", "written", "head", "tokens"])
-    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, written string, head int, tokens long")
+    return rows.mapInArrow(tidy(run), "conv_id long, turn long, role string, text string, written string, head int, tokens long")
 
 
 class Windows:
@@ -156,7 +156,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         yield from _batches(made(), schema)
     ordered = (formatted(conversations, path).repartition("conv_id")
                .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text"))
-    return ordered.select("conv_id", "role", "written", "head", "tokens").mapInArrow(run, WINDOW)
+    return ordered.select("conv_id", "role", "written", "head", "tokens").mapInArrow(tidy(run), WINDOW)
 
 
 def digests(made: DataFrame) -> DataFrame:
@@ -187,4 +187,4 @@ def digests(made: DataFrame) -> DataFrame:
                 yield (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
         yield from _batches(read(), schema)
     return made.select("conv_id", "text", "repeated", "loss").mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+        tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .arrow import crc_rest, raw, texts
+from .arrow import crc_rest, raw, texts, tidy
 
 STATES = 6
 CLASSES = 4096
@@ -92,7 +92,7 @@ def encoded(docs: DataFrame) -> DataFrame:
                     chunk, number = Chunk(), number + 1
         if chunk.docs:
             yield chunk.row(number)
-    return rows.mapInArrow(run, CHUNK)
+    return rows.mapInArrow(tidy(run), CHUNK)
 
 
 @dataclass
@@ -218,7 +218,7 @@ def baum_welch(chunks: DataFrame, share: np.ndarray, states: int = STATES, round
                     sums += np.concatenate([p.ravel() for p in parts[:4]])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["cell", "value"])
-        cells = (chunks.select("lengths", "held", "seq", "classes").mapInArrow(run, "cell long, value double")
+        cells = (chunks.select("lengths", "held", "seq", "classes").mapInArrow(tidy(run), "cell long, value double")
                  .groupBy("cell").agg(F.sum("value").alias("value")).collect())  # at most one row for each cell of the model
         sums = np.zeros(2 * k + k * k + m * k)
         for c in cells:
@@ -266,4 +266,4 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
                      pa.array(np.full(len(lengths), tokens, np.int64)), pa.array(summed(base)), pa.array(latent + summed(given))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return (chunks.select("chunk", "docs", "held", "lengths", "seq", "classes").join(back, "chunk").drop("chunk")
-            .mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
+            .mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))

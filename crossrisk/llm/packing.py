@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .arrow import raw, texts
+from .arrow import raw, texts, tidy
 from .byte_bpe import RANK_FILE, codec
 
 CAPACITY = 1024
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
-    return texts(docs).mapInArrow(run, ITEM)
+    return texts(docs).mapInArrow(tidy(run), ITEM)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

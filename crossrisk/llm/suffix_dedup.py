@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import written
-from .arrow import raw, texts
+from .arrow import raw, texts, tidy
 from .induced import Disk, repeated
 from .shingles import PRIME, _powers, mix
 
@@ -112,7 +112,7 @@ def _anchors(rows: DataFrame) -> DataFrame:
             count = np.diff(at, append=len(row))
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row[at])), pa.array(code[at]), pa.array(count)],
                                              names=["key", "hash", "n"])
-    return rows.mapInArrow(run, "key long, hash long, n long")
+    return rows.mapInArrow(tidy(run), "key long, hash long, n long")
 
 
 def _digest(text: bytes) -> int:
@@ -160,7 +160,7 @@ def _segments(met: DataFrame) -> DataFrame:
                     yield sent(found)
                     found, held = {}, 0
             yield sent(found)
-    return met.mapInArrow(run, SEGMENT)
+    return met.mapInArrow(tidy(run), SEGMENT)
 
 
 def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +293,7 @@ def _sorted_shard(segments: DataFrame) -> DataFrame:
         finally:
             shard.close()
     ordered = segments.repartition("hash").sortWithinPartitions("hash", "segment")
-    return ordered.mapInArrow(run, "key long, digest long, begin long, end long")
+    return ordered.mapInArrow(tidy(run), "key long, digest long, begin long, end long")
 
 
 def found(rows: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def found(rows: DataFrame) -> DataFrame:
                     own += [{"digest": digest, "begin": x, "end": y} for x, y in _union(spans, digest).tolist()]
                 out.append(own)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, batch.schema.field("spans").type)], names=["key", "spans"])
-    return written(gathered.mapInArrow(run, gathered.schema))
+    return written(gathered.mapInArrow(tidy(run), gathered.schema))
 
 
 def _union(spans, digest: int) -> np.ndarray:
@@ -355,7 +355,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(
                 out, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
     return _with_spans(texts(docs)).mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -379,4 +379,4 @@ def keep(docs: DataFrame) -> DataFrame:
             columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts_out, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
-    return _with_spans(docs).mapInArrow(run, schema)
+    return _with_spans(docs).mapInArrow(tidy(run), schema)

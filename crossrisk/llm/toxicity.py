@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import crc_rest, groups, raw, texts
+from .arrow import crc_rest, groups, raw, texts, tidy
 
 SIZES = (4, 5)
 BITS = 20
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: bool = True) -> Model:
     if not totals.get(1) or not totals.get(0):
         return Model(np.zeros(1 << BITS, np.float32), np.inf if totals.get(1) else -np.inf)
     n1, n0 = totals[1], totals[0]
-    counts = (sample.mapInArrow(count, "code long, q long, p long").groupBy("code").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = (sample.mapInArrow(tidy(count), "code long, q long, p long").groupBy("code").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
               .withColumns({"a": (F.col("p") + 1) / (n1 + 2), "b": (F.col("q") + 1) / (n0 + 2)}))
     apart = F.abs(F.col("a") - F.col("b")) / F.sqrt(F.col("a") * (1 - F.col("a")) / n1 + F.col("b") * (1 - F.col("b")) / n0)
     features = (counts.select("code", F.log(F.col("a") / F.col("b")).alias("ratio"), apart.alias("apart"))
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: bool = True) -> Model:
                 place = order[code].astype("<u2")
                 found += [place[a:b].tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.binary())], names=["toxic", "codes"])
-    return _fit(sample.mapInArrow(active, "toxic int, codes binary").collect(), features, share)
+    return _fit(sample.mapInArrow(tidy(active), "toxic int, codes binary").collect(), features, share)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -177,7 +177,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = model.scores(*raw(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
-    return texts(docs).mapInArrow(run, "doc_id long, score double")
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
@@ -189,4 +189,4 @@ def keep(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
         for batch in batches:
             text = batch.column(at)
             yield batch.filter(pa.array(model.scores(*raw(text.fill_null(""))) < below))
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

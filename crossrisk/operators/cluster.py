@@ -86,8 +86,8 @@ def kmeans(points: DataFrame, pcs: Sequence[str], ks: Sequence[int] = (DEFAULT_K
     win = inertia.groupBy(*keys, "k").agg(F.min_by(F.struct("start", "inertia"), F.struct("inertia", "start")).alias("w")) \
         .select(*keys, "k", "w.start", "w.inertia")
     win = cut_lineage(win)
-    assigned = (scored.join(F.broadcast(win.drop("inertia")) if win.count() < 100_000 else win.drop("inertia"),
-                            [*keys, *extra]).select(*keys, "k", "entity", F.col("b.cluster").alias("cluster")))
+    small = win.count() * 8 * (len(keys) + 4) <= BROADCAST_BYTES
+    assigned = (scored.join(F.broadcast(win.drop("inertia")) if small else win.drop("inertia"), [*keys, *extra]).select(*keys, "k", "entity", F.col("b.cluster").alias("cluster")))
     centroids = state.join(win, [*keys, *extra]).drop("start")
     drop = () if by else (ONE,)
     return cut_lineage(assigned).drop(*drop), cut_lineage(centroids).drop(*drop)

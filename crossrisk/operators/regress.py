@@ -238,8 +238,8 @@ def shocks_table(spark, shocks=SHOCKS) -> DataFrame:
 
 
 def scenarios(betas: DataFrame, shocks: DataFrame) -> DataFrame:
-    """impact = beta x shock, largest absolute impact first (G11); the shock list is a fixed configuration table."""
-    return (betas.where("factor <> 'const'").join(F.broadcast(shocks), "factor")
+    """impact = beta x shock, largest absolute impact first."""
+    return (betas.where("factor <> 'const'").join(shocks, "factor")
             .withColumn("impact", F.col("beta") * F.col("shock")).orderBy(F.abs("impact").desc(), "factor"))
 
 

@@ -1,7 +1,8 @@
 """Best-fit packing with a swap-based local search.
 
 Whole texts become token ids and an end id; only longer documents are cut, into full pieces after a shorter first one.  A
-full piece is a sequence of its own.  The other pieces are dealt at random into shards of some ten thousand, so no key is
+full piece is a sequence of its own.  Ids are those of the tokenizer file: its added tokens are cut out of a text first, and
+what stands between two of them is encoded like a text of its own.  The other pieces are dealt at random into shards of some ten thousand, so no key is
 hot; a shard is packed by best fit decreasing and improved by local search; bins that stay loose are pooled from many
 shards and packed once more.
 
@@ -15,8 +16,12 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,24 +31,57 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
 from .arrow import raw, texts, tidy
-from .byte_bpe import RANK_FILE, codec
+from .byte_bpe import RANK_FILE, Codec, codec
 
 CAPACITY = 1024
 END = 2
+TOKENIZER_FILE = "byte_bpe_50k.json"
 SHARD_ITEMS = 20_000
 LOOSE = 16
 ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """Ids of the tokens that a tokenizer file declares besides its vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file).get("added_tokens") or []
+    for token in listed:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r}: only exact matches are supported")
+    return {token["content"].encode(): token["id"] for token in listed}
+
+
+def encode_with(own: Codec, added: dict[bytes, int], data: memoryview, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The ids of each row; added tokens, leftmost and then longest first, stand for themselves."""
+    if not added:
+        yield from own.encode(data, offsets)
+        return
+    find = re.compile(b"|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))).finditer
+    edges, marks, parts = [int(offsets[0])], [], []  # parts of all rows, the id of each or None, and how many a row has
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+        before = len(marks)
+        for match in find(data, a, b):
+            edges += match.span()
+            marks += [None, added[match.group()]]
+        edges.append(b)
+        marks.append(None)
+        parts.append(len(marks) - before)
+    encoded = zip(own.encode(data, np.array(edges, np.int64)), marks)
+    for n in parts:
+        ids = [ids if mark is None else np.array([mark], np.uint32) for ids, mark in islice(encoded, n)]
+        yield ids[0] if n == 1 else np.concatenate(ids)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:
     """One row per piece, with the CRC-32 of its ids as little-endian 32-bit numbers."""
     path = path or public_tokenizers.path(RANK_FILE)
+    added = added_tokens(public_tokenizers.path(TOKENIZER_FILE))
 
     def run(batches):
         own, last = codec(path), np.array([end], np.uint32)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode(*raw(batch.column("text")))):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_with(own, added, *raw(batch.column("text")))):
                 ids = np.concatenate([ids, last])
                 start, piece = 0, 0
                 while start < len(ids):

@@ -135,6 +135,29 @@ def test_packing_uses_the_ids_of_the_tokenizer_file(spark):
         assert at == len(ids)
 
 
+def test_packing_keeps_the_added_tokens_of_the_tokenizer_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    cases = [f"a{mark}b", mark, mark * 3, f"{mark} a  ", f"a  {mark}  b", f"don{mark}'t é{mark}", "<|endof", "text|>", "<|endoftext|", "", None,
+             f"<{mark}>", mark.upper(), f"word and the {mark}\n" * 700, "plain"]
+    random.seed(4)
+    cases += ["".join(random.choices([mark, mark, *mark, "ab", " ", "\n", "中", "'s"], k=random.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string").coalesce(2)
+    got = defaultdict(list)
+    for r in packing.pieces(docs).collect():
+        got[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for doc, text in enumerate(cases):
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        at = 0
+        for k, (piece, start, length, crc) in enumerate(sorted(got[doc])):
+            assert (piece, start) == (k, at) and (k == 0 or length == 1024)
+            assert crc == zlib.crc32(ids[at:at + length].tobytes()), text
+            at += length
+        assert at == len(ids)
+
+
 def test_quality_on_awkward_rows(awkward, empty):
     got = quality.measured(awkward).select("doc_id", "text", "score", "quality.*").collect()
     for r in got:

@@ -100,12 +100,12 @@ def holdings_report(holdings: DataFrame, scores: DataFrame, ranks: DataFrame,
     return out
 
 
-def top_sectors(members: DataFrame, k: int = 3) -> DataFrame:
+def top_sectors(members: DataFrame, k: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Most frequent sectors per cluster as text."""
-    counts = members.groupBy("cluster", "sector").agg(F.count(F.lit(1)).alias("n"))
-    top = scoring.top_k(counts, ["cluster"], [F.col("n").desc(), F.col("sector")], k)
+    counts = members.groupBy(*by, "cluster", "sector").agg(F.count(F.lit(1)).alias("n"))
+    top = scoring.top_k(counts, [*by, "cluster"], [F.col("n").desc(), F.col("sector")], k)
     items = F.array_sort(F.collect_list(F.struct("rank", "sector")))
-    return top.groupBy("cluster").agg(F.array_join(F.transform(items, lambda s: s["sector"]), ", ").alias("sectors"))
+    return top.groupBy(*by, "cluster").agg(F.array_join(F.transform(items, lambda s: s["sector"]), ", ").alias("sectors"))
 
 
 def positive_scale(betas: DataFrame, by: str = "factor", value: str = "beta", q: float = 0.95, floor: float = 1e-6):

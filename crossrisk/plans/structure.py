@@ -122,10 +122,21 @@ V.SQL_VIEWS["zclust"] = (["clustered"], "SELECT entity, cluster, " + ", ".join(
     + " FROM clustered")
 
 
+V.SQL_VIEWS["clustered_dates"] = (["screen"], "SELECT *, CAST(entity AS BIGINT) % 4 AS cluster FROM screen")
+V.SQL_VIEWS["zclust_dates"] = (["clustered_dates"], "SELECT date, entity, cluster, " + ", ".join(
+    f"({c} - avg({c}) OVER w) / CASE WHEN stddev_pop({c}) OVER w > 0 THEN stddev_pop({c}) OVER w ELSE 1 END AS {c}" for c in FEATURES)
+    + " FROM clustered_dates WINDOW w AS (PARTITION BY date)")
+
+
 def clustered(spark, sf_dir):
     return last_screen(spark, sf_dir).withColumn("cluster", F.col("entity").cast("long") % 4)
 
 
+def clustered_dates(spark, sf_dir):
+    """Every cross-section with the same fixed partition."""
+    return SC.screened(spark, sf_dir).withColumn("cluster", F.col("entity").cast("long") % 4)
+
+
 @query("cluster_profile", "clustered", " UNION ALL ".join(
     f"SELECT cluster, '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median FROM clustered GROUP BY cluster"
     for c in FEATURES))
@@ -134,6 +145,15 @@ def cluster_profile(spark, sf_dir):
     return cluster.characterize(clustered(spark, sf_dir), FEATURES).select("cluster", "feature", "n", r6("mean"), r6("median"))
 
 
+@query("cluster_profile_by_date", "clustered_dates", " UNION ALL ".join(
+    f"SELECT date, cluster, '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median "
+    f"FROM clustered_dates GROUP BY date, cluster" for c in FEATURES))
+def cluster_profile_by_date(spark, sf_dir):
+    """A3: every quarter."""
+    out = cluster.characterize(clustered_dates(spark, sf_dir), FEATURES, ["date"])
+    return out.select("date", "cluster", "feature", "n", r6("mean"), r6("median"))
+
+
 _FLIPS = {"altman_z", "current_ratio", "fcf_yield", "interest_coverage", "accruals_ratio", "momentum_30d", "momentum_90d"}
 
 
@@ -147,16 +167,32 @@ def cluster_risk_rank(spark, sf_dir):
     return out.select("cluster", r6("risk"), F.col("risk_rank").cast("long").alias("risk_rank"))
 
 
+@query("cluster_risk_rank_by_date", "zclust_dates", f"""
+    SELECT date, cluster, round(avg(r / 16), 6) + 0.0 AS risk, row_number() OVER (PARTITION BY date ORDER BY avg(r), cluster) - 1 AS risk_rank
+    FROM (SELECT date, cluster, {" + ".join(("-" if c in _FLIPS else "") + c for c in FEATURES)} AS r FROM zclust_dates) GROUP BY date, cluster""")
+def cluster_risk_rank_by_date(spark, sf_dir):
+    """Every quarter."""
+    out = cluster.risk_rank(clustered_dates(spark, sf_dir), FEATURES, ["date"])
+    return out.select("date", "cluster", r6("risk"), F.col("risk_rank").cast("long").alias("risk_rank"))
+
+
 @query("zscores", "zclust", "SELECT entity, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATURES) + " FROM zclust")
 def zscores(spark, sf_dir):
     """M1."""
     return pca.standardize(last_screen(spark, sf_dir), FEATURES, ()).select("entity", *[r6(c) for c in FEATURES])
 
 
+@query("zscores_by_date", "zclust_dates", "SELECT date, entity, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FEATURES)
+       + " FROM zclust_dates")
+def zscores_by_date(spark, sf_dir):
+    """M1: every quarter."""
+    return pca.standardize(SC.screened(spark, sf_dir), FEATURES, ["date"]).select("date", "entity", *[r6(c) for c in FEATURES])
+
+
 @query("cluster_styles")
 def cluster_styles(spark, sf_dir):
-    """M9, W28."""
-    return cluster.styles(clustered(spark, sf_dir), FEATURES)
+    """Every quarter."""
+    return cluster.styles(clustered_dates(spark, sf_dir), FEATURES, ["date"])
 
 
 @query("cluster_top_sectors", "clustered", """
@@ -168,6 +204,15 @@ def cluster_top_sectors(spark, sf_dir):
     return report.top_sectors(clustered(spark, sf_dir))
 
 
+@query("cluster_top_sectors_by_date", "clustered_dates", """
+    SELECT date, cluster, string_agg(sector, ', ' ORDER BY n DESC, sector) AS sectors FROM (
+      SELECT date, cluster, sector, count(*) AS n, row_number() OVER (PARTITION BY date, cluster ORDER BY count(*) DESC, sector) AS r
+      FROM clustered_dates GROUP BY date, cluster, sector) WHERE r <= 3 GROUP BY date, cluster""")
+def cluster_top_sectors_by_date(spark, sf_dir):
+    """Every quarter."""
+    return report.top_sectors(clustered_dates(spark, sf_dir), by=["date"])
+
+
 # ---- PCA --------------------------------------------------------------------------------------
 
 @V.stored
@@ -185,6 +230,28 @@ def last_clusters(spark, sf_dir):
     return cluster.kmeans(last_points(spark, sf_dir), PCS, (3,))[1].select("cluster", *PCS, "inertia")
 
 
+@V.stored
+def date_points(spark, sf_dir):
+    """Scores of every quarter under its own model."""
+    rows = SC.screened(spark, sf_dir)
+    return pca.project(rows, cut_lineage(pca.fit(rows, FEATURES, ["date"], N_PCS)), FEATURES, ["date"])
+
+
+@V.stored
+def date_labels(spark, sf_dir):
+    """Scores of every quarter with their clusters."""
+    p = date_points(spark, sf_dir)
+    return p.join(cluster.kmeans(p, PCS, (3,), ["date"])[0].drop("k"), ["date", "entity"])
+
+
+@V.stored
+def date_stability(spark, sf_dir):
+    """Mean cosine per component and mean adjusted Rand index (pc ``ARI``) of every quarter."""
+    cosine, rand = audit.stability(SC.screened(spark, sf_dir), FEATURES, iterations=10, by=["date"])
+    return (cosine.select("date", "pc", F.col("mean_cosine").alias("value"))
+            .unionByName(rand.select("date", F.lit("ARI").alias("pc"), F.col("mean_ari").alias("value"))))
+
+
 @query("pca_by_date")
 def pca_by_date(spark, sf_dir):
     """M2: every quarter's model from one aggregate; identities are tested with numpy."""
@@ -205,6 +272,14 @@ V.SQL_VIEWS["long_screen"] = (["screen"], f"""
     FROM (UNPIVOT screen ON {", ".join(FEATURES)} INTO NAME feature VALUE x) WINDOW w AS (PARTITION BY date, feature)""")
 
 
+@query("pca_total_variance_by_date", "long_screen", """
+    SELECT date, CAST(count(DISTINCT feature) FILTER (s > 0) AS DOUBLE) AS total FROM long_screen GROUP BY date""")
+def pca_total_variance_by_date(spark, sf_dir):
+    """M2: every quarter."""
+    model = pca.fit(SC.screened(spark, sf_dir), FEATURES, ["date"], len(FEATURES))
+    return model.groupBy("date", "pc").agg(F.max("eigenvalue").alias("e")).groupBy("date").agg(r6(F.sum("e"), "total"))
+
+
 @query("pca_rebuilt_correlation", "long_screen", """
     SELECT a.date, a.feature AS left_feature, b.feature AS right_feature,
            round(avg(CASE WHEN a.s > 0 AND b.s > 0 THEN (a.x - a.m) / a.s * ((b.x - b.m) / b.s) ELSE 0 END), 6) + 0.0 AS correlation
@@ -236,15 +311,15 @@ def pc_labels(spark, sf_dir):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
-    """Every k in the same jobs."""
-    out = cluster.sweep(last_points(spark, sf_dir), PCS, K_CANDIDATES)
-    return out.select("k", r6("silhouette"), r6("smallest"), r6("largest"), r6("calinski_harabasz"), r6("inertia"))
+    """Every k of every quarter in the same jobs."""
+    out = cluster.sweep(date_points(spark, sf_dir), PCS, K_CANDIDATES, ["date"])
+    return out.select("date", "k", r6("silhouette"), r6("smallest"), r6("largest"), r6("calinski_harabasz"), r6("inertia"))
 
 
 @query("selected_k")
 def selected_k(spark, sf_dir):
-    """M8."""
-    return cluster.select_k(cluster.sweep(last_points(spark, sf_dir), PCS, K_CANDIDATES))
+    """M8: every quarter."""
+    return cluster.select_k(cluster.sweep(date_points(spark, sf_dir), PCS, K_CANDIDATES, ["date"]), by=["date"])
 
 
 @query("clusters_by_date")
@@ -452,16 +527,15 @@ def subsample_exact(spark, sf_dir):
 
 @query("stability")
 def stability(spark, sf_dir):
-    """M16."""
-    cosine, rand = audit.stability(last_screen(spark, sf_dir), FEATURES, iterations=10)
-    return cosine.select("pc", r6("mean_cosine", "value")).unionByName(rand.select(F.lit("ARI").alias("pc"), r6("mean_ari", "value")))
+    """Every quarter."""
+    return date_stability(spark, sf_dir).select("date", "pc", r6("value"))
 
 
 @query("ablation")
 def ablation(spark, sf_dir):
-    """M17."""
-    out = audit.ablation(last_screen(spark, sf_dir), FEATURES)
-    return out.select("config", "n_features", r6("silhouette"), r6("ari"))
+    """Every quarter."""
+    out = audit.ablation(SC.screened(spark, sf_dir), FEATURES, by=["date"])
+    return out.select("date", "config", "n_features", r6("silhouette"), r6("ari"))
 
 
 @query("entity_audit")
@@ -475,11 +549,8 @@ def entity_audit(spark, sf_dir):
 
 @query("diagnostics")
 def diagnostics(spark, sf_dir):
-    """Issues of the newest clustering."""
-    p = last_points(spark, sf_dir)
-    labels = cluster.gap(p, last_clusters(spark, sf_dir).drop("inertia"), PCS).select("entity", "cluster", *PCS)
-    labels = cut_lineage(labels)
-    none = p.limit(1)
-    return audit.issues(cluster.balance(labels), cluster.silhouette(labels, PCS),
-                        none.select(F.lit("PC1").alias("pc"), F.lit(1.0).alias("mean_cosine")),
-                        none.select(F.lit(1.0).alias("mean_ari")))
+    """Issues of every quarter's clustering, with its measured stability."""
+    labels, stable = date_labels(spark, sf_dir), date_stability(spark, sf_dir)
+    return audit.issues(cluster.balance(labels, ["date"]), cluster.silhouette(labels, PCS, ["date"]),
+                        stable.where("pc <> 'ARI'").withColumnRenamed("value", "mean_cosine"),
+                        stable.where("pc = 'ARI'").withColumnRenamed("value", "mean_ari"), ["date"])

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, hmm, jaccard, licenses, order_minhash, packing, quality, suffix_dedup, toxicity
+from . import (alignment, byte_bpe, chat, hard_negatives, hmm, jaccard, licenses, order_minhash, packing, quality, secret_scan,
+               suffix_dedup, toxicity)
 from .arrow import crc_rest, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +141,90 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digests(documents(spark, sf_dir))
+
+
+def _places_sql(kind: int, pattern: str, group: int, least: int) -> str:
+    """Rows ``r, kind, start, stop, value`` of one pattern; letters in either case are spelled out, as folding differs by engine."""
+    if pattern.startswith("(?i)"):
+        name, rest = pattern[4:].split(")", 1)
+        pattern = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name) + ")" + rest
+    p = "'" + pattern.replace("'", "''") + "'"
+    return rf"""
+  SELECT r, {kind} AS kind, stop - length(whole) AS start, stop, value FROM (
+    SELECT *, sum(length(gap) + coalesce(length(whole), 0)) OVER (PARTITION BY r ORDER BY n) AS stop FROM (
+      SELECT r, unnest(string_split_regex(text, {p})) AS gap, unnest(regexp_extract_all(text, {p}, 0)) AS whole,
+             unnest(regexp_extract_all(text, {p}, {group})) AS value, unnest(range(len(string_split_regex(text, {p})))) AS n
+      FROM t WHERE regexp_matches(text, {p})))
+  WHERE length(value) >= {least}"""
+
+
+_KINDS = secret_scan.KINDS
+_KIND_NAMES = ", ".join(f"'{k}'" for k in [*(k for k, *_ in _KINDS), secret_scan.RANDOM])
+
+
+@query("op12_secret_scan", rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({" UNION ALL ".join(_places_sql(k, p, g, least) for k, (_, p, g, least) in enumerate(_KINDS))}),
+samples AS (
+  SELECT value, max(random) AS random FROM (
+    SELECT value, 1 AS random FROM base UNION ALL
+    SELECT unnest(regexp_extract_all(text, '{secret_scan.WORD}', 0)), 0 FROM t) GROUP BY value),
+letters AS (SELECT unnest(range(128)) AS c),
+chars AS (SELECT c FROM letters WHERE regexp_matches(chr(c::INT), '^[A-Za-z0-9]$')),
+steps AS (
+  SELECT random, ascii(value[p]) AS a, ascii(value[p + 1]) AS b, count(*) AS n
+  FROM (SELECT value, random, unnest(range(1, length(value))) AS p FROM samples) GROUP BY ALL),
+grid AS (
+  SELECT k.random, x.c AS a, y.c AS b, coalesce(n, 0) + 1 AS n
+  FROM (SELECT unnest([0, 1]) AS random) k CROSS JOIN chars x CROSS JOIN chars y
+  LEFT JOIN steps s ON s.random = k.random AND s.a = x.c AND s.b = y.c),
+share AS (SELECT random, a, b, n::DOUBLE / (sum(n) OVER (PARTITION BY random, a))::DOUBLE AS p FROM grid),
+model AS (
+  SELECT a, b, floor(1000 * (ln(max(p) FILTER (random = 1)) - ln(max(p) FILTER (random = 0))) + 0.5)::BIGINT AS w FROM share GROUP BY a, b),
+runs AS ({_places_sql(len(_KINDS), secret_scan.CANDIDATE, 0, 1)}),
+alone AS (
+  SELECT * FROM runs c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.start < c.stop AND b.stop > c.start)),
+judged AS (
+  SELECT r, kind, start, stop, value, sum(coalesce(w, 0)) AS ratio
+  FROM (SELECT *, unnest(range(1, length(value))) AS p FROM alone) x
+  LEFT JOIN model ON a = ascii(value[p]) AND b = ascii(value[p + 1]) GROUP BY ALL),
+spans AS (
+  SELECT r, kind, start, stop FROM base UNION ALL
+  SELECT r, kind, start, stop FROM judged WHERE ratio >= greatest({secret_scan.LEAST}, {secret_scan.LEAST_EACH} * length(value))),
+listed AS (SELECT r, kind, start, ([{_KIND_NAMES}])[kind + 1] || ':' || start || ':' || stop AS s FROM spans),
+per_doc AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < {len(_KINDS)}), '') AS base, string_agg(s, ',' ORDER BY start, kind) AS spans
+  FROM listed GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN per_doc USING (r)""")
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(documents(spark, sf_dir))
+
+
+@query("op13_hard_negatives", r"""
+WITH q AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, q.vec_id AS other, a.label = q.label AS same, list_dot_product(a.v, q.v)::BIGINT AS score
+  FROM q a, q WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, other) AS k FROM s WHERE same AND other <> anchor_id QUALIFY k <= 5)
+SELECT p.anchor_id, p.other AS positive_id, (row_number() OVER (PARTITION BY p.r, p.k ORDER BY n.score DESC, n.other))::INT AS rank,
+       n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positive p JOIN s n ON n.r = p.r AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved.cast("int")), F.col("vec_id") % 100 == 0)

@@ -4,10 +4,12 @@ Tokenizer A is byte-level BPE over a space and the text; B is a sentence-piece m
 tokenizations cover the same bytes, so tokens that overlap are linked, and offsets at which tokens of both end cut the
 links into groups.
 
-1. *Whole texts are tokenised* by both, and their joined bytes compared with the space and the text.
+1. *Whole texts are tokenised* by both.  A's ids are those of the text's own bytes; B's joined bytes are as many, and are compared
+   with A's window by window.
 2. *Anchors.*  An end shared by both, where the next token of both begins with a space, is an anchor.  Anchors cut a document
-   into windows of token ids; a window's groups and links depend on nothing but its two id tuples.
-3. *Memo.*  Groups, links and their digest text are computed once per pair of id tuples (up to ``LONGEST`` tokens) and looked up after that.
+   into windows of token ids; a window's bytes, groups and links depend on nothing but its two id tuples.
+3. *Memo.*  Groups, links and their digest text are computed once per pair of id tuples (up to ``LONGEST`` tokens) and looked up after
+   that.  Windows of a document that are not in the memo are aligned together: every end of either side closes one link.
 4. *Counts.*  A chunk of ``CHUNK_BYTES`` of text numbers its distinct id pairs and says how many of its documents hold each; the sum over chunks
    is a pair's count, its greatest over an A id is that id's best.
 5. *Answers.*  Chunks get the counts of their pairs back: pairs of very many chunks (at most ``2 ** HOT_BITS``, as their rows add up) by
@@ -52,6 +54,11 @@ CHUNK_DDL = ("chunk long, doc_id array<long>, n_a array<long>, n_b array<long>,
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+def _ranges(starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    return np.repeat(starts - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
+
+
 class Aligner:
     """Both tokenizers and the memo of window alignments.
 
@@ -69,6 +76,8 @@ class Aligner:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.size_a, self.size_b = (np.array([len(t) for t in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in own]) for own in (self.bytes_a, self.bytes_b))
+        # an id as digest text: inside a group or at the end of its side
+        self.written = [b"%d%c" % (i, sign) for own, signs in ((self.bytes_a, b",|"), (self.bytes_b, b",;")) for i in range(len(own)) for sign in signs]
         self.forget()
 
     def forget(self) -> None:
@@ -79,62 +88,65 @@ class Aligner:
         self.pairs, self.times, self.starts = array("q"), array("q"), array("q", [0])
 
     def tokens(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of both tokenizers for each row of a string column, or None where the bytes differ."""
-        listed = [s.as_py() for s in column]
-        spaced = pa.array([" " + s for s in listed], pa.large_string())
-        for s, a, b in zip(listed, self.a.encode(*raw(spaced)), self.b.encode(listed, num_threads=1)):
-            whole = b" " + s.encode()
-            joined = s and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            yield (a.astype(np.uint32), np.array(b, np.uint32)) if joined else None
-
-    def align(self, a: list[int], b: list[int]) -> int:
-        """Align one window: both lists cover the same bytes.  Gives the number of its entry."""
-        groups, links, n_links = [], {}, 0
-        i = j = i0 = j0 = 0
-        end_a, end_b = len(self.bytes_a[a[0]]), len(self.bytes_b[b[0]])
-        while True:
-            pair = a[i] << 32 | b[j]
-            links[pair] = links.get(pair, 0) + 1
-            n_links += 1
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[i0:i + 1])) + "|" + ",".join(map(str, b[j0:j + 1])))
-                i0, j0 = i + 1, j + 1
-            if step_a:
-                i += 1
-            if step_b:
-                j += 1
-            if i == len(a) or j == len(b):
-                break
-            if step_a:
-                end_a += len(self.bytes_a[a[i]])
-            if step_b:
-                end_b += len(self.bytes_b[b[j]])
-        self.n_groups.append(len(groups))
-        self.n_links.append(n_links)
-        self.digest.append(";".join(groups).encode())
-        self.pairs.extend(links.keys())
-        self.times.extend(links.values())
-        self.starts.append(len(self.pairs))
-        return len(self.n_groups) - 1
-
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[int]:
-        """The entries of a document's windows."""
+        """Ids of both tokenizers for each row of a string column, or None where the lengths of their bytes differ."""
+        listed = column.to_pylist()
+        data, offsets = raw(pa.array([" " + s for s in listed], pa.large_string()))
+        for n, a, b in zip(np.diff(offsets).tolist(), self.a.encode(data, offsets), self.b.encode(listed, num_threads=1)):
+            b = np.array(b, np.uint32)
+            yield (a.astype(np.uint32), b) if n > 1 and self.size_a[a].sum() == self.size_b[b].sum() == n else None
+
+    def align(self, a: np.ndarray, b: np.ndarray, width_a: np.ndarray, width_b: np.ndarray) -> list[int]:
+        """Align windows of ``width_a`` and ``width_b`` tokens, each equally long in bytes on both sides.
+
+        Gives the number of each window's entry, or -1 where the bytes differ.
+        """
+        n, cut_a, cut_b = len(width_a), np.cumsum(width_a), np.cumsum(width_b)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != b"".join(map(self.bytes_b.__getitem__, b.tolist())):
+            if n == 1:
+                return [-1]
+            return [self.align(a[q - w:q], b[s - v:s], np.array([w]), np.array([v]))[0] for q, s, w, v in zip(cut_a, cut_b, width_a, width_b)]
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        ends = np.union1d(end_a, end_b)
+        i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        pair, window = a[i].astype(np.int64) << 32 | b[j], np.searchsorted(cut_a, i, "right")
+        order = np.lexsort((pair, window))
+        pair, in_order = pair[order], window[order]
+        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (in_order[1:] != in_order[:-1])))
+        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        codes = np.concatenate([2 * a.astype(np.int64) + last_a, 2 * (b.astype(np.int64) + len(self.bytes_a)) + last_b])
+        codes = codes[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        pieces = list(map(self.written.__getitem__, codes.tolist()))
+        ends = (cut_a + cut_b).tolist()
+        number = len(self.n_groups)
+        self.digest += [b"".join(pieces[x:y])[:-1] for x, y in zip([0, *ends], ends)]
+        self.n_groups += np.add.reduceat(last_a.astype(np.int64), cut_a - width_a).tolist()
+        self.n_links += np.bincount(window, minlength=n).tolist()
+        self.starts.extend((len(self.pairs) + np.cumsum(np.bincount(in_order[first], minlength=n))).tolist())
+        self.pairs.extend(pair[first].tolist())
+        self.times.extend(np.diff(first, append=len(pair)).tolist())
+        return list(range(number, number + n))
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[int] | None:
+        """The entries of a document's windows, or None if the bytes of both differ somewhere."""
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         shared = np.intersect1d(end_a[:-1][self.spaced_a[a[1:]]], end_b[:-1][self.spaced_b[b[1:]]], assume_unique=True)
         cut_a = [0, *(np.searchsorted(end_a, shared) + 1).tolist(), len(a)]
         cut_b = [0, *(np.searchsorted(end_b, shared) + 1).tolist(), len(b)]
         bytes_a, bytes_b = (a | A_MARK).tobytes(), b.tobytes()
-        out, memo = [], self.memo
-        for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            key = bytes_a[4 * p:4 * q] + bytes_b[4 * r:4 * s]
-            entry = memo.get(key)
-            if entry is None:
-                entry = self.align(a[p:q].tolist(), b[r:s].tolist())
-                if len(key) <= 4 * LONGEST:
-                    memo[key] = entry
-            out.append(entry)
-        return out
+        byte_a, byte_b = [4 * x for x in cut_a], [4 * x for x in cut_b]
+        keys = [bytes_a[p:q] + bytes_b[r:s] for p, q, r, s in zip(byte_a, byte_a[1:], byte_b, byte_b[1:])]
+        out = list(map(self.memo.get, keys))
+        if None in out:
+            missed = [k for k, entry in enumerate(out) if entry is None]
+            new = list({keys[k]: k for k in missed}.values())
+            width_a, width_b = np.diff(cut_a)[new], np.diff(cut_b)[new]
+            found = self.align(a[_ranges(np.array(cut_a)[new], width_a)], b[_ranges(np.array(cut_b)[new], width_b)], width_a, width_b)
+            own = dict(zip([keys[k] for k in new], found))
+            for k in missed:
+                out[k] = own[keys[k]]
+            self.memo.update((key, entry) for key, entry in own.items() if len(key) <= 4 * LONGEST)
+        return None if -1 in out else out
 
 
 @lru_cache(1)
@@ -156,11 +168,11 @@ class _Chunk:
 
     def add(self, own: Aligner, doc, text_bytes: int, ids) -> None:
         self.size += text_bytes + 64
-        if ids is None:
+        entries = own.windows(*ids) if ids else None
+        if entries is None:
             self.rows.append((doc, 0, 0, 0, 0, ""))
             self.entries.append(np.zeros(0, np.int64))
             return
-        entries = own.windows(*ids)
         digest = hashlib.sha256(b";".join(map(own.digest.__getitem__, entries))).hexdigest()
         self.rows.append((doc, len(ids[0]), len(ids[1]), sum(map(own.n_groups.__getitem__, entries)),
                           sum(map(own.n_links.__getitem__, entries)), digest))
@@ -173,7 +185,7 @@ class _Chunk:
         doc, entry = code >> 32, code & 0xFFFFFFFF
         starts, flat, counts = (np.array(x, np.int64) for x in (own.starts, own.pairs, own.times))
         width = starts[entry + 1] - starts[entry]
-        at = np.repeat(starts[entry] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        at = _ranges(starts[entry], width)
         pairs, place = np.unique(flat[at], return_inverse=True)
         code = np.repeat(doc, width) << 32 | place
         order = np.argsort(code, kind="stable")
@@ -265,8 +277,11 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
     def run(batches):
         own = aligner(*paths)
         for batch in batches:
-            ids = [x or (np.zeros(0, np.uint32),) * 2 for x in own.tokens(batch.column("text"))]
-            groups = [";".join(own.digest[e].decode() for e in own.windows(*x)) if len(x[0]) else "" for x in ids]
+            ids, groups = [], []
+            for x in own.tokens(batch.column("text")):
+                entries = own.windows(*x) if x else None
+                ids.append((np.zeros(0, np.uint32),) * 2 if entries is None else x)
+                groups.append(b";".join(map(own.digest.__getitem__, entries or [])).decode())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array([x[k].astype(np.int32) for x in ids], pa.list_(pa.int32())) for k in (0, 1)],
                  pa.array(groups, pa.string())], names=["doc_id", "a", "b", "groups"])

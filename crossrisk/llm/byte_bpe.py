@@ -5,7 +5,7 @@ of look-ahead) is a transition function on eight states, and function compositio
 characters are composed side by side, block functions are combined by doubling, and a replay from the known start states
 marks the boundaries.  The slices between boundaries go through a cache of merged pieces.
 
-Null and empty texts give no ids; repeated rows give repeated results; other columns are ignored.
+Letters and numbers are those of Unicode 16.0, the version of the tokenizer libraries.  Null and empty texts give no ids; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,15 @@ LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 MIX_LOW, MIX_HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # fixed values: the Unicode property White_Space
 WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+# fixed values: letters and numbers that Unicode 16.0 added to 15.1, first and last code point
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7),
+    (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)]
+NEW_NUMBERS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+KNOWN_UNICODE = ("15.1.0", "16.0.0")
 
 # symbols: a letter, a number, another character, an apostrophe before a one- or two-letter ending, a space or another
 # white character before a visible one, a white character before white or the end
@@ -41,8 +50,14 @@ WIDTH = 64
 
 @lru_cache(1)
 def _classes() -> np.ndarray:
+    """The class of every code point by Unicode 16.0, whatever of the known versions this Python has."""
+    if unicodedata.unidata_version not in KNOWN_UNICODE:
+        raise RuntimeError(f"character classes are known for Unicode {KNOWN_UNICODE}, not {unicodedata.unidata_version}")
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for low, high in ranges:
+            table[low:high + 1] = kind
     table[WHITE] = LINE
     table[32] = SPACE
     return table

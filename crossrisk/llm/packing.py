@@ -3,11 +3,11 @@
 Whole texts become token ids and an end id; only longer documents are cut, into full pieces after a shorter first one.  A
 full piece is a sequence of its own.  Ids are those of the tokenizer file: its added tokens are cut out of a text first, and
 what stands between two of them is encoded like a text of its own.  The other pieces are dealt at random into shards of some ten thousand, so no key is
-hot; a shard is packed by best fit decreasing and improved by local search; bins that stay loose are pooled from many
-shards and packed once more.
+hot; a shard is packed by best fit decreasing and improved by local search; pieces of bins that stay loose are dealt anew into
+shards of the same size and packed again, until a round saves less than a thousandth of their sequences.
 
-The local search takes the emptiest bin and moves its documents, or exchanges one of them for a smaller one, or two of
-them for a smaller one, with fuller bins.  Every step shifts tokens from an emptier to a fuller bin, so the sum of squared
+The local search takes the bins from the emptiest on and moves their documents, or exchanges one of them for a smaller one, or
+two of them for a smaller one, with bins at least as full, until no bin has such a step.  Every step shifts tokens from an emptier to a fuller bin, so the sum of squared
 fills grows; a bin that has become empty disappears.
 
 Null and empty texts are the end id alone.  Repeated rows are packed once each.  Equal lengths are taken in any order.  An
@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -38,6 +39,7 @@ END = 2
 TOKENIZER_FILE = "byte_bpe_50k.json"
 SHARD_ITEMS = 20_000
 LOOSE = 16
+SAVED = 1000
 ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -118,68 +120,88 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class Search:
-    """Bins with, for each size of document, the bins that hold it and have space left."""
+    """Bins with, for each size of piece, the bins that hold it and have space left; and the open bins by space."""
 
     def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
         self.sizes, self.capacity = sizes, capacity
         self.bins = bins
         self.fill = [sum(sizes[i] for i in b) for b in bins]
-        self.open = {k for k, f in enumerate(self.fill) if 0 < f < capacity}
-        self.holds: dict[int, set[int]] = defaultdict(set)
-        for k in self.open:
-            for i in bins[k]:
-                self.holds[sizes[i]].add(k)
+        self.by_fill: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.holds: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))  # size -> space -> bins
+        for k in range(len(bins)):
+            self._list(k)
+
+    def _list(self, k: int) -> None:
+        if 0 < self.fill[k] < self.capacity:
+            self.by_fill[self.fill[k]].add(k)
+            for i in self.bins[k]:
+                self.holds[self.sizes[i]][self.capacity - self.fill[k]].add(k)
+
+    def _unlist(self, k: int) -> None:
+        if 0 < self.fill[k] < self.capacity:
+            self.by_fill[self.fill[k]].discard(k)
+            space = self.capacity - self.fill[k]
+            for size in {self.sizes[i] for i in self.bins[k]}:
+                own = self.holds[size]
+                own[space].discard(k)
+                if not own[space]:
+                    del own[space]
+                    if not own:
+                        del self.holds[size]
 
     def _change(self, k: int, out: list[int], into: list[int]) -> None:
-        for i in self.bins[k]:
-            self.holds[self.sizes[i]].discard(k)
+        self._unlist(k)
         self.bins[k] = [i for i in self.bins[k] if i not in out] + into
         self.fill[k] += sum(self.sizes[i] for i in into) - sum(self.sizes[i] for i in out)
-        self.open.discard(k)
-        if 0 < self.fill[k] < self.capacity:
-            self.open.add(k)
-            for i in self.bins[k]:
-                self.holds[self.sizes[i]].add(k)
+        self._list(k)
+
+    def _holder(self, low: int, size: int) -> tuple[int, int] | None:
+        """For ``size`` tokens out of bin ``low``: the largest smaller piece of another bin, at least as full, with the space for the difference; and that bin."""
+        for back in range(size - 1, 0, -1):
+            own = self.holds.get(back)
+            if own is None:
+                continue
+            for space, bins in own.items():
+                if size - back <= space <= self.capacity - self.fill[low]:
+                    for k in bins:
+                        if k != low:
+                            return back, k
+        return None
 
     def _step(self, low: int) -> bool:
         """One move or exchange out of bin ``low`` into a bin at least as full."""
-        fuller = [k for k in self.open if k != low and self.fill[k] >= self.fill[low]]
-        if not fuller:
-            return False
         items = sorted(self.bins[low], key=lambda i: -self.sizes[i])
-        space = {k: self.capacity - self.fill[k] for k in fuller}
-        most = max(space.values())
-        for i in items:
-            if self.sizes[i] <= most:
-                k = min((k for k in fuller if space[k] >= self.sizes[i]), key=space.get)
-                self._change(low, [i], [])
-                self._change(k, [], [i])
-                return True
-        groups = [([i], self.sizes[i]) for i in items]
-        groups += [([i, j], self.sizes[i] + self.sizes[j]) for n, i in enumerate(items[:24]) for j in items[n + 1:24]]
-        for given, size in groups:
-            for gain in range(min(most, size - 1), 0, -1):
-                for k in self.holds.get(size - gain, ()):
-                    if space.get(k, 0) >= gain:
-                        back = next(i for i in self.bins[k] if self.sizes[i] == size - gain)
-                        self._change(low, given, [back])
-                        self._change(k, [back], given)
-                        return True
+        for i in {self.sizes[i]: i for i in items}.values():
+            for fill in range(self.capacity - self.sizes[i], self.fill[low] - 1, -1):
+                k = next((k for k in self.by_fill[fill] if k != low), None)
+                if k is not None:
+                    self._change(low, [i], [])
+                    self._change(k, [], [i])
+                    return True
+        one = {self.sizes[i]: [i] for i in items}
+        two = {self.sizes[i] + self.sizes[j]: [i, j] for n, i in enumerate(items) for j in items[n + 1:]}
+        for groups in (one, two):
+            for size in sorted(groups, reverse=True):
+                found = self._holder(low, size)
+                if found:
+                    given, (size_back, k) = groups[size], found
+                    back = next(i for i in self.bins[k] if self.sizes[i] == size_back)
+                    self._change(low, given, [back])
+                    self._change(k, [back], given)
+                    return True
         return False
 
     def run(self) -> list[list[int]]:
+        """Rounds over the open bins, the emptiest first, each giving away what it can; the last round finds no step at all."""
         need = -(-sum(self.fill) // self.capacity)
-        stuck: set[int] = set()
         used = sum(1 for b in self.bins if b)
-        while used > need:
-            left = self.open - stuck
-            if not left:
-                break
-            low = min(left, key=lambda k: (self.fill[k], k))
-            if not self._step(low):
-                stuck.add(low)
-            elif not self.bins[low]:
-                used -= 1
+        moved = True
+        while moved and used > need:
+            moved = False
+            for low in [k for own in self.by_fill for k in sorted(own)]:
+                while used > need and 0 < self.fill[low] < self.capacity and self._step(low):
+                    moved = True
+                    used -= not self.bins[low]
         return [b for b in self.bins if b]
 
 
@@ -199,7 +221,7 @@ def _packed(items: DataFrame, shards: int, capacity: int, level: int) -> DataFra
             fill = sum(sizes[i] for i in members)
             for i in members:
                 order.append(i)
-                sequence.append((level << 60) + (shard << 24) + n)
+                sequence.append((level << 56) + (shard << 24) + n)
                 offset.append(at)
                 space.append(capacity - fill)
                 at += sizes[i]
@@ -216,7 +238,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str |
     own = F.lit(-1) - F.monotonically_increasing_id()
     full = cut.where(F.col("length") == capacity).withColumns({"sequence_id": own, "offset": F.lit(0).cast("long")})
     rest = cut.where(F.col("length") < capacity)
-    shards = max(1, -(-rest.count() // SHARD_ITEMS))
-    first = cut_lineage(_packed(rest, shards, capacity, 1))
-    again = _packed(first.where(F.col("space") >= LOOSE), -(-shards // 64), capacity, 2).drop("space")
-    return full.unionByName(first.where(F.col("space") < LOOSE).drop("space")).unionByName(again)
+    shards, level = max(1, -(-rest.count() // SHARD_ITEMS)), 1
+    done, loose, before = [full], rest, None
+    while True:
+        now = cut_lineage(_packed(loose, shards, capacity, level))
+        done.append(now.where(F.col("space") < LOOSE).drop("space"))
+        loose = now.where(F.col("space") >= LOOSE)
+        items, sequences = loose.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        saved = None if before is None else before - now.where("offset = 0").count()
+        if shards == 1 or not items or saved is not None and saved * SAVED < before:
+            return reduce(DataFrame.unionByName, [*done, loose.drop("space")])
+        shards, level, before = -(-items // SHARD_ITEMS), level + 1, sequences

@@ -9,7 +9,7 @@ links into groups.
 2. *Anchors.*  An end shared by both, where the next token of both begins with a space, is an anchor.  Anchors cut a document
    into windows of token ids; a window's bytes, groups and links depend on nothing but its two id tuples.
 3. *Memo.*  Groups, links and their digest text are computed once per pair of id tuples (up to ``LONGEST`` tokens) and looked up after
-   that.  Windows of a document that are not in the memo are aligned together: every end of either side closes one link.
+   that.  Windows of a chunk that are not in the memo are aligned together: every end of either side closes one link.
 4. *Counts.*  A chunk of ``CHUNK_BYTES`` of text numbers its distinct id pairs and says how many of its documents hold each; the sum over chunks
    is a pair's count, its greatest over an A id is that id's best.
 5. *Answers.*  Chunks get the counts of their pairs back: pairs of very many chunks (at most ``2 ** HOT_BITS``, as their rows add up) by
@@ -41,7 +41,7 @@ from .byte_bpe import RANK_FILE, codec
 PIECE_FILE = "piece_bpe_32k.model"
 CHUNK_BYTES = 2 << 20
 LONGEST = 64
-MEMO_ITEMS = 400_000
+MEMO_ITEMS = 800_000
 HOT_BITS = 14
 A_MARK = np.uint32(1 << 31)
 
@@ -59,6 +59,13 @@ def _ranges(starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
 
 
+def _woven(group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two sides' tokens when the groups follow each other, each with its tokens of A, then those of B."""
+    n = int(group_a[-1]) + 1 if len(group_a) else 0
+    count_a, count_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+    return (np.arange(len(group_a)) + (np.cumsum(count_b) - count_b)[group_a], np.arange(len(group_b)) + np.cumsum(count_a)[group_b])
+
+
 class Aligner:
     """Both tokenizers and the memo of window alignments.
 
@@ -106,47 +113,75 @@ class Aligner:
                 return [-1]
             return [self.align(a[q - w:q], b[s - v:s], np.array([w]), np.array([v]))[0] for q, s, w, v in zip(cut_a, cut_b, width_a, width_b)]
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.append(True, ends[1:] != ends[:-1])]
         i, j = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        pair, window = a[i].astype(np.int64) << 32 | b[j], np.searchsorted(cut_a, i, "right")
-        order = np.lexsort((pair, window))
-        pair, in_order = pair[order], window[order]
-        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (in_order[1:] != in_order[:-1])))
-        last_a, last_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+        window = np.searchsorted(cut_a, i, "right")
+        link = np.sort((window * len(self.bytes_a) + a[i]) * len(self.bytes_b) + b[j])
+        first = np.flatnonzero(np.append(True, link[1:] != link[:-1]))
+        of, link_b = np.divmod(link[first], len(self.bytes_b))
+        of, link_a = np.divmod(of, len(self.bytes_a))
+        last_a, last_b = end_b[np.searchsorted(end_b, end_a)] == end_a, end_a[np.searchsorted(end_a, end_b)] == end_b
+        # digest text: in each group the ids of A, then those of B
         group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
-        codes = np.concatenate([2 * a.astype(np.int64) + last_a, 2 * (b.astype(np.int64) + len(self.bytes_a)) + last_b])
-        codes = codes[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")]
+        codes = np.empty(len(a) + len(b), np.int64)
+        place_a, place_b = _woven(group_a, group_b)
+        codes[place_a] = 2 * a.astype(np.int64) + last_a
+        codes[place_b] = 2 * (b.astype(np.int64) + len(self.bytes_a)) + last_b
         pieces = list(map(self.written.__getitem__, codes.tolist()))
         ends = (cut_a + cut_b).tolist()
         number = len(self.n_groups)
         self.digest += [b"".join(pieces[x:y])[:-1] for x, y in zip([0, *ends], ends)]
         self.n_groups += np.add.reduceat(last_a.astype(np.int64), cut_a - width_a).tolist()
         self.n_links += np.bincount(window, minlength=n).tolist()
-        self.starts.extend((len(self.pairs) + np.cumsum(np.bincount(in_order[first], minlength=n))).tolist())
-        self.pairs.extend(pair[first].tolist())
-        self.times.extend(np.diff(first, append=len(pair)).tolist())
+        self.starts.extend((len(self.pairs) + np.cumsum(np.bincount(of, minlength=n))).tolist())
+        self.pairs.extend((link_a << 32 | link_b).tolist())
+        self.times.extend(np.diff(first, append=len(link)).tolist())
         return list(range(number, number + n))
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> list[int] | None:
-        """The entries of a document's windows, or None if the bytes of both differ somewhere."""
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        shared = np.intersect1d(end_a[:-1][self.spaced_a[a[1:]]], end_b[:-1][self.spaced_b[b[1:]]], assume_unique=True)
-        cut_a = [0, *(np.searchsorted(end_a, shared) + 1).tolist(), len(a)]
-        cut_b = [0, *(np.searchsorted(end_b, shared) + 1).tolist(), len(b)]
-        bytes_a, bytes_b = (a | A_MARK).tobytes(), b.tobytes()
-        byte_a, byte_b = [4 * x for x in cut_a], [4 * x for x in cut_b]
-        keys = [bytes_a[p:q] + bytes_b[r:s] for p, q, r, s in zip(byte_a, byte_a[1:], byte_b, byte_b[1:])]
-        out = list(map(self.memo.get, keys))
-        if None in out:
-            missed = [k for k, entry in enumerate(out) if entry is None]
-            new = list({keys[k]: k for k in missed}.values())
-            width_a, width_b = np.diff(cut_a)[new], np.diff(cut_b)[new]
-            found = self.align(a[_ranges(np.array(cut_a)[new], width_a)], b[_ranges(np.array(cut_b)[new], width_b)], width_a, width_b)
-            own = dict(zip([keys[k] for k in new], found))
-            for k in missed:
-                out[k] = own[keys[k]]
-            self.memo.update((key, entry) for key, entry in own.items() if len(key) <= 4 * LONGEST)
-        return None if -1 in out else out
+    def windows(self, ids: list[tuple[np.ndarray, np.ndarray] | None]) -> list[list[int] | None]:
+        """The entries of each document's windows; None for a document without ids or where the bytes of both differ somewhere."""
+        cuts, keys, out = [], [], []
+        for pair in ids:
+            if pair is None:
+                cuts.append(None), keys.append([]), out.append(None)
+                continue
+            a, b = pair
+            end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+            spaced = np.flatnonzero(self.spaced_a[a[1:]])
+            at = np.searchsorted(end_b, end_a[spaced])  # below the last place, as the last ends are equal
+            anchor = (end_b[at] == end_a[spaced]) & self.spaced_b[b[np.minimum(at + 1, len(b) - 1)]]
+            cut_a = np.concatenate([[0], spaced[anchor] + 1, [len(a)]])
+            cut_b = np.concatenate([[0], at[anchor] + 1, [len(b)]])
+            wide_a, wide_b = np.diff(cut_a), np.diff(cut_b)
+            number = np.arange(len(wide_a))
+            place_a, place_b = _woven(np.repeat(number, wide_a), np.repeat(number, wide_b))
+            both = np.empty(len(a) + len(b), np.uint32)
+            both[place_a], both[place_b] = a | A_MARK, b
+            whole, ends = both.tobytes(), (4 * (cut_a + cut_b)).tolist()
+            own = [whole[x:y] for x, y in zip(ends, ends[1:])]
+            cuts.append((cut_a, cut_b, wide_a, wide_b)), keys.append(own), out.append(list(map(self.memo.get, own)))
+        missed = [(d, k) for d, own in enumerate(out) if own and None in own for k, entry in enumerate(own) if entry is None]
+        if missed:
+            self._fill(ids, cuts, keys, out, missed)
+        return [None if own is None or -1 in own else own for own in out]
+
+    def _fill(self, ids, cuts, keys, out, missed) -> None:
+        """Align each missed key once, all together, and put the entries in place."""
+        new = {}
+        for d, k in missed:
+            new.setdefault(keys[d][k], (d, k))
+        by_doc: dict[int, list[int]] = {}
+        for d, k in new.values():
+            by_doc.setdefault(d, []).append(k)
+        parts = []
+        for d, own in by_doc.items():
+            (a, b), (cut_a, cut_b, wide_a, wide_b) = ids[d], cuts[d]
+            parts.append((a[_ranges(cut_a[own], wide_a[own])], b[_ranges(cut_b[own], wide_b[own])], wide_a[own], wide_b[own]))
+        found = dict(zip(new, self.align(*[np.concatenate(x) for x in zip(*parts)])))
+        for d, k in missed:
+            out[d][k] = found[keys[d][k]]
+        self.memo.update((key, entry) for key, entry in found.items() if len(key) <= 4 * LONGEST)
 
 
 @lru_cache(1)
@@ -159,27 +194,33 @@ def _paths(path_a: str | None, path_b: str | None) -> tuple[str, str]:
 
 
 class _Chunk:
-    """Documents of one chunk as they are aligned."""
+    """Documents of one chunk: first their ids, then their windows."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
-        self.entries: list[np.ndarray] = []
+        self.docs: list = []
+        self.ids: list = []
         self.size = 0
 
-    def add(self, own: Aligner, doc, text_bytes: int, ids) -> None:
+    def add(self, doc, text_bytes: int, ids) -> None:
         self.size += text_bytes + 64
-        entries = own.windows(*ids) if ids else None
-        if entries is None:
-            self.rows.append((doc, 0, 0, 0, 0, ""))
-            self.entries.append(np.zeros(0, np.int64))
-            return
-        digest = hashlib.sha256(b";".join(map(own.digest.__getitem__, entries))).hexdigest()
-        self.rows.append((doc, len(ids[0]), len(ids[1]), sum(map(own.n_groups.__getitem__, entries)),
-                          sum(map(own.n_links.__getitem__, entries)), digest))
-        self.entries.append(np.array(entries, np.int64))
+        self.docs.append(doc)
+        self.ids.append(ids)
+
+    def _align(self, own: Aligner) -> None:
+        self.rows, self.entries = [], []
+        for doc, ids, entries in zip(self.docs, self.ids, own.windows(self.ids)):
+            if entries is None:
+                self.rows.append((doc, 0, 0, 0, 0, ""))
+                self.entries.append(np.zeros(0, np.int64))
+                continue
+            digest = hashlib.sha256(b";".join(map(own.digest.__getitem__, entries))).hexdigest()
+            self.rows.append((doc, len(ids[0]), len(ids[1]), sum(map(own.n_groups.__getitem__, entries)),
+                              sum(map(own.n_links.__getitem__, entries)), digest))
+            self.entries.append(np.array(entries, np.int64))
 
     def batch(self, own: Aligner, number: int) -> pa.RecordBatch:
         """Every (document, pair) once, with its occurrences; pairs are numbered inside the chunk."""
+        self._align(own)
         doc = np.repeat(np.arange(len(self.entries)), [len(e) for e in self.entries])
         code, times = np.unique(doc << 32 | np.concatenate(self.entries), return_counts=True)
         doc, entry = code >> 32, code & 0xFFFFFFFF
@@ -211,13 +252,13 @@ def chunks(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
                 rows = batch.slice(lo, step)
                 sizes = np.diff(raw(rows.column("text"))[1])
                 for doc, size, ids in zip(rows.column("doc_id").to_pylist(), sizes.tolist(), own.tokens(rows.column("text"))):
-                    chunk.add(own, doc, size, ids)
+                    chunk.add(doc, size, ids)
                     if chunk.size >= CHUNK_BYTES:
                         yield chunk.batch(own, (part << 32) + number)
                         number, chunk = number + 1, _Chunk()
                         if len(own.n_groups) > MEMO_ITEMS:
                             own.forget()
-        if chunk.rows:
+        if chunk.docs:
             yield chunk.batch(own, (part << 32) + number)
     return texts(docs).mapInArrow(tidy(run), CHUNK_DDL)
 
@@ -278,8 +319,8 @@ def aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
         own = aligner(*paths)
         for batch in batches:
             ids, groups = [], []
-            for x in own.tokens(batch.column("text")):
-                entries = own.windows(*x) if x else None
+            tokens = list(own.tokens(batch.column("text")))
+            for x, entries in zip(tokens, own.windows(tokens)):
                 ids.append((np.zeros(0, np.uint32),) * 2 if entries is None else x)
                 groups.append(b";".join(map(own.digest.__getitem__, entries or [])).decode())
             yield pa.RecordBatch.from_arrays(

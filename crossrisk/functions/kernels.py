@@ -250,24 +250,3 @@ def cluster_sums(ids: list[str], pcs: list[str]):
                                            m=(~same[:, cols]).sum(axis=1)))
         return pd.concat(frames, ignore_index=True)
     return run
-
-
-def tile_neighbours(keys: list[str], pcs: list[str], k: int):
-    """Tile kernel: the k nearest right points of every left point, self excluded, ties by id."""
-    def run(left, right):
-        cols = [*keys, "entity", "neighbour", "distance"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=cols)
-        ids = right["entity"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        right, ids = right.iloc[order], ids[order]
-        d = _distances(left[pcs].to_numpy(float), right[pcs].to_numpy(float))
-        d[left["entity"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        take = np.take_along_axis(d, best, axis=1)
-        rep = np.repeat(np.arange(len(left)), best.shape[1])
-        out = left[[*keys, "entity"]].iloc[rep].reset_index(drop=True)
-        out["neighbour"] = ids[best.ravel()]
-        out["distance"] = take.ravel()
-        return out[np.isfinite(out["distance"])]
-    return run

@@ -10,15 +10,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..config import DEFAULT_K, RISK_DIRECTION, SILHOUETTE_TOLERANCE, STYLE_DEFAULT, STYLE_FAMILIES, STYLE_TRIGGER
+from ..config import DEFAULT_K, N_INIT, N_INIT_FINAL, RISK_DIRECTION, SILHOUETTE_TOLERANCE, STYLE_DEFAULT, STYLE_FAMILIES, STYLE_TRIGGER
 from ..functions import kernels
 from ..session import cut_lineage
 from .clean import to_long
 from .gram import ONE, key_schema, keyed
 from .pca import standardize
 from .scoring import top_k
+from .starts import oversampled
 
 BROADCAST_BYTES = 64 << 20
+MOST_PAIRWISE = 200_000
 
 
 def _distance(pcs: Sequence[str], center: Column) -> Column:
@@ -48,20 +50,17 @@ def _nearest(pcs: Sequence[str]) -> Column:
 
 
 def kmeans(points: DataFrame, pcs: Sequence[str], ks: Sequence[int] = (DEFAULT_K,), by: Sequence[str] = (),
-           n_init: int = 10, max_iter: int = 300, tol: float = 1e-8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+           n_init: int = N_INIT, max_iter: int = 300, tol: float = 1e-8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Best of ``n_init`` Lloyd runs per group and k (M5): (assignments with ``k``, centroids with ``inertia``).
 
     Every run of every group advances in the same job: assignment is an expression on the point, the update one
-    partial aggregate.  Starts are the k points with the smallest seeded hash.  A center that loses all points stays.
+    partial aggregate.  Starts are oversampled (``starts.oversampled``).  A center that loses all points stays.
     Runs go on until no center moves; those that have come to rest are set aside.  More than ``max_iter`` rounds are an error.
     """
     rows, keys = keyed(points, by)
     rows = cut_lineage(rows.select(*keys, "entity", *pcs).dropna())
     extra = ["k", "start"]
-    started = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(n_init - 1))))
-    first = top_k(started, [*keys, "start"], [F.xxhash64("entity", "start", F.lit(seed)), F.col("entity")], max(ks), "_r")
-    state = (first.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("_r") <= F.col("k"))
-             .select(*keys, *extra, (F.col("_r") - 1).alias("cluster"), *pcs))
+    state = oversampled(rows, keys, pcs, ks, n_init, seed, BROADCAST_BYTES)
     state, resting = cut_lineage(state), None
     for i in range(max_iter):
         best = _nearest(pcs)
@@ -138,10 +137,15 @@ def tiled(left: DataFrame, right: DataFrame, keys: Sequence[str], tile: int) ->
 def silhouette_points(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = (), tile: int = 2048) -> DataFrame:
     """Exact Euclidean silhouette of every point (M6); a singleton cluster scores 0.
 
-    Tiles return distance sums per (point, other cluster), which are then added up.
+    Tiles return distance sums per (point, other cluster), which are then added up.  A mean of distances is exact only
+    pairwise, so this is for cross-sections of up to MOST_PAIRWISE points; a larger one is an error, and has
+    ``squared_silhouette_points``.
     """
     rows, keys = keyed(points, by)
     rows = rows.select(*keys, "entity", "cluster", *pcs)
+    largest = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > MOST_PAIRWISE:
+        raise ValueError(f"a cross-section of {largest} points is too large for pairwise silhouettes; use squared_silhouette_points")
     left, right, tiles = tiled(rows, rows, keys, tile)
     ids = [*keys, "entity"]
     cluster_type = rows.schema["cluster"].dataType.simpleString()
@@ -162,6 +166,31 @@ def silhouette(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = (), ti
     return silhouette_points(points, pcs, by, tile).groupBy(*by).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def squared_silhouette_points(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Silhouette by squared Euclidean distances of every point, in two passes over the points; a singleton cluster scores 0.
+
+    The mean squared distance of x to a cluster is |x - mean|^2 plus the cluster's variance, so moments per cluster, which are
+    mergeable, replace all pairs.  In its own cluster of m points x is left out: times m / (m - 1).
+    """
+    rows, keys = keyed(points, by)
+    rows = rows.select(*keys, "entity", "cluster", *pcs)
+    per = rows.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("m"), F.array(*[F.avg(p) for p in pcs]).alias("c"),
+                                             sum((F.var_pop(p) for p in pcs[1:]), F.var_pop(pcs[0])).alias("v"))
+    sets = cut_lineage(per.groupBy(*keys).agg(F.collect_list(F.struct(F.col("cluster").alias("other"), "m", "c", "v")).alias("_all")))
+    size = (sets.agg(F.sum(F.size("_all"))).first()[0] or 0) * 8 * (len(pcs) + 4)
+    joined = rows.join(F.broadcast(sets) if size <= BROADCAST_BYTES else sets, keys)        # measured
+    mean = F.transform("_all", lambda o: F.struct(o["other"].alias("other"), o["m"].alias("m"), (_distance(pcs, o["c"]) ** 2 + o["v"]).alias("d")))
+    own = F.get(F.filter(mean, lambda o: o["other"] == F.col("cluster")), F.lit(0))
+    a = F.when(own["m"] > 1, own["d"] * own["m"] / (own["m"] - 1))
+    b = F.array_min(F.transform(F.filter(mean, lambda o: o["other"] != F.col("cluster")), lambda o: o["d"]))
+    s = F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0)))
+    return joined.select(*by, "entity", "cluster", s.alias("silhouette"))
+
+
+def squared_silhouette(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    return squared_silhouette_points(points, pcs, by).groupBy(*by).agg(F.avg("silhouette").alias("silhouette"))
+
+
 def calinski(points: DataFrame, pcs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Between over within dispersion, and the inertia (M7)."""
     rows, keys = keyed(points, by)
@@ -267,19 +296,23 @@ def styles(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFr
         .otherwise(F.concat("_name", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).alias("style"))
 
 
-def sweep(points: DataFrame, pcs: Sequence[str], ks: Sequence[int], by: Sequence[str] = (), n_init: int = 10) -> DataFrame:
-    """k against silhouette, dispersion and balance."""
+def sweep(points: DataFrame, pcs: Sequence[str], ks: Sequence[int], by: Sequence[str] = (), n_init: int = N_INIT,
+          score=silhouette) -> DataFrame:
+    """k against silhouette, dispersion and balance.
+
+    ``score``: ``silhouette``, pairwise, or ``squared_silhouette``, for cross-sections of any size.
+    """
     assigned, _ = kmeans(points, pcs, ks, by, n_init)
     rows = assigned.join(points.select(*by, "entity", *pcs), [*by, "entity"])
     keys = [*by, "k"]
     sizes = balance(assigned, keys).groupBy(*keys).agg(F.min("share").alias("smallest"), F.max("share").alias("largest"),
                                                        F.max("imbalance").alias("imbalance"))
     ch = calinski(rows.withColumn("k_", F.col("k")).drop("k"), pcs, [*by, "k_"]).drop("k").withColumnRenamed("k_", "k")
-    return silhouette(rows, pcs, keys).join(sizes, keys).join(ch, keys)
+    return score(rows, pcs, keys).join(sizes, keys).join(ch, keys)
 
 
 def cluster_cross_sections(df: DataFrame, cols: Sequence[str], by: Sequence[str], min_names: int = 20, k: int = DEFAULT_K,
-                           n_pcs: int = 4, n_init: int = 10) -> DataFrame:
+                           n_pcs: int = 4, n_init: int = N_INIT_FINAL) -> DataFrame:
     """PCA, k-means and style of every cross-section with at least ``min_names`` names: ``by, entity, cluster, cluster_style``.
 
     All dates go through the same jobs; smaller cross-sections have no rows, so their names keep null clusters.

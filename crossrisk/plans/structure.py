@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FEATURES, K_CANDIDATES, N_PCS
+from ..config import FEATURES, K_CANDIDATES, N_INIT_FINAL, N_PCS
 from ..operators import assess, audit, cluster, knn, pca, report, trajectory
 from ..session import cut_lineage
 from . import macro as M
@@ -56,7 +56,7 @@ def borderline(spark, sf_dir):
     SELECT entity, other AS neighbour, round(d, 6) AS distance, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY entity ORDER BY d, other) AS rank FROM pairs) WHERE rank <= 5""")
 def knn5(spark, sf_dir):
-    """Every point against every point, in tiles."""
+    """Every point against every point, by pivot cells."""
     p = V.points(spark, sf_dir)
     return knn.nearest(p, p, DIMS, 5).select("entity", "neighbour", r6("distance"), F.col("rank").cast("long").alias("rank"))
 
@@ -67,6 +67,18 @@ def silhouette(spark, sf_dir):
     return cluster.silhouette_points(V.points(spark, sf_dir), DIMS).select("entity", "cluster", r6("silhouette"))
 
 
+V.SQL_VIEWS["sil2"] = (["pairs"], """
+    SELECT entity, cluster, CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM (
+      SELECT entity, cluster, max(m) FILTER (cluster = other_cluster) AS a, min(m) FILTER (cluster <> other_cluster) AS b
+      FROM (SELECT entity, cluster, other_cluster, avg(d * d) AS m FROM pairs GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+
+
+@query("squared_silhouette", "sil2", "SELECT entity, cluster, round(silhouette, 6) + 0.0 AS silhouette FROM sil2")
+def squared_silhouette(spark, sf_dir):
+    """M6 with squared distances, per point, from cluster moments."""
+    return cluster.squared_silhouette_points(V.points(spark, sf_dir), DIMS).select("entity", "cluster", r6("silhouette"))
+
+
 @query("silhouette_by_cluster", "sil", """
     SELECT cluster, count(*) AS n, round(avg(silhouette), 6) AS silhouette FROM sil GROUP BY cluster""")
 def silhouette_by_cluster(spark, sf_dir):
@@ -227,7 +239,7 @@ def last_points(spark, sf_dir):
 
 @V.stored
 def last_clusters(spark, sf_dir):
-    return cluster.kmeans(last_points(spark, sf_dir), PCS, (3,))[1].select("cluster", *PCS, "inertia")
+    return cluster.kmeans(last_points(spark, sf_dir), PCS, (3,), n_init=N_INIT_FINAL)[1].select("cluster", *PCS, "inertia")
 
 
 @V.stored
@@ -241,7 +253,7 @@ def date_points(spark, sf_dir):
 def date_labels(spark, sf_dir):
     """Scores of every quarter with their clusters."""
     p = date_points(spark, sf_dir)
-    return p.join(cluster.kmeans(p, PCS, (3,), ["date"])[0].drop("k"), ["date", "entity"])
+    return p.join(cluster.kmeans(p, PCS, (3,), ["date"], N_INIT_FINAL)[0].drop("k"), ["date", "entity"])
 
 
 @V.stored

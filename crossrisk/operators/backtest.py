@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import FEATURES, RunConfig
 from ..session import cut_lineage
 from ..sources.store import Store
-from . import asof, clean, scoring
+from . import asof, clean, cluster, scoring
 
 
 def lookahead_rows(df: DataFrame, src: str = "src_date", as_of: str = "as_of") -> DataFrame:
@@ -36,6 +36,8 @@ def scoreable(store: Store, cfg: RunConfig) -> tuple[DataFrame, DataFrame, DataF
         if cfg.portfolio_only:
             rows = rows.join(held, ["as_of", "entity"], "left_semi")
     rows = rows.drop("src_date").withColumnRenamed("as_of", "date")
+    if cfg.gate:
+        clean.fundamentals_gate(rows)
     cols = clean.present(rows)
     return clean.impute_median(rows, cols, ["date"], "panel", cfg.min_names), dates, held
 
@@ -43,13 +45,17 @@ def scoreable(store: Store, cfg: RunConfig) -> tuple[DataFrame, DataFrame, DataF
 def build_panel(store: Store, cfg: RunConfig = RunConfig(), clusters: DataFrame | None = None) -> DataFrame:
     """One row per (date, entity): score, tier, holding, forward labels (B1).
 
-    ``clusters`` (date, entity, cluster, cluster_style) is attached when given; names without one keep null.  Rows
-    whose drawdown window reaches past the last price keep their label and carry ``window_complete = false``.
+    ``clusters`` (date, entity, cluster, cluster_style) is attached when given; names without one keep null.  With
+    ``cfg.run_clusters`` the run fits PCA, clusters and styles of every large enough date itself.  With ``cfg.gate`` it raises when
+    the core fundamentals of the members are nearly empty (P11).  Rows whose drawdown window reaches past the last price keep
+    their label and carry ``window_complete = false``.
     """
     rows, dates, held = scoreable(store, cfg)
     rows = cut_lineage(rows)
     cols = [c for c in FEATURES if c in rows.columns]
     scores = scoring.score(rows, ["date"], cols=cols, keep_ranks=False)
+    if clusters is None and cfg.run_clusters:
+        clusters = cluster.cluster_cross_sections(rows, cols, ["date"])
     fwd = (asof.forward_stats(store.prices, dates, cfg.horizons, cfg.horizon_months, store.delistings)
            .withColumnRenamed("as_of", "date"))
     panel = (rows.select("date", "entity", "sector").join(scores, ["date", "entity"])

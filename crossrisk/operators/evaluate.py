@@ -352,12 +352,16 @@ def counterfactual(panel: DataFrame, cfg: RunConfig) -> DataFrame:
 # ---- guards -----------------------------------------------------------------------------------
 
 def shuffled_scores(panel: DataFrame, seed: int = 0) -> DataFrame:
-    """Scores permuted inside each date by a seeded hash.
+    """Scores permuted inside each date by a keyed hash.
 
-    Both orders get exact ranks from value tables of their hashes, so no date is ordered in one task.
+    The row in place i by the MD5 of ``entity|seed`` gets the score of the row in place i by that of ``entity|seed + 1``: any
+    engine can repeat it.  Both orders get exact ranks from value tables of their hashes, so no date is ordered in one task.
     """
     rows = panel.where(F.col("composite_score").isNotNull())
-    hashed = rows.withColumn("_a", F.xxhash64("entity", F.lit(seed))).withColumn("_b", F.xxhash64("entity", F.lit(seed + 1)))
+
+    def keyed_hash(n: int):
+        return F.conv(F.substring(F.md5(F.concat(F.col("entity").cast("string"), F.lit(f"|{n}"))), 1, 15), 16, 10).cast("long")
+    hashed = rows.withColumn("_a", keyed_hash(seed)).withColumn("_b", keyed_hash(seed + 1))
     left = positions(hashed, ["date"], "_a", "entity", "_pos").drop("n")
     right = positions(hashed.select("date", "entity", "_b", F.col("composite_score").alias("_score")), ["date"], "_b",
                       "entity", "_pos").select("date", "_pos", "_score")

@@ -57,12 +57,16 @@ def histogram(df: DataFrame, value: str, bins: int = 40) -> DataFrame:
             .groupBy(F.coalesce(slot, F.lit(0)).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n")))
 
 
-def headline(scores: DataFrame, holdings: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Weighted mean score and count of the top tier among holdings."""
+def headline(scores: DataFrame, holdings: DataFrame, by: Sequence[str], directions: DataFrame | None = None) -> DataFrame:
+    """Weighted mean score and count of the top tier among holdings (A24); with ``directions`` also of deteriorating ones."""
     held = scores.join(holdings, "entity").where(F.col("composite_score").isNotNull())
+    more = []
+    if directions is not None:
+        held = held.join(directions.select("entity", "direction"), "entity", "left")
+        more = [F.count_if(F.col("direction") == "Deteriorating").alias("n_deteriorating")]
     return held.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("weight") * F.col("composite_score")), F.sum("weight")).alias("weighted_score"),
-        F.count_if(F.col("risk_tier") == "Elevated").alias("n_elevated"), F.count(F.lit(1)).alias("n_held"))
+        F.count_if(F.col("risk_tier") == "Elevated").alias("n_elevated"), F.count(F.lit(1)).alias("n_held"), *more)
 
 
 def sector_rollup(held: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..config import FEATURES, RunConfig
@@ -384,12 +386,32 @@ def equity_curve(spark, sf_dir):
     return E.equity_curve(rets, ["strategy"]).select("strategy", "date", r6(F.ln("equity"), "log_equity"), r6("drawdown"))
 
 
-@query("placebo")
+@query("placebo", "panel ic", """
+    , r AS (SELECT date, entity, composite_score, fwd_maxdd, row_number() OVER (PARTITION BY date ORDER BY md5(entity || '|0'), entity) AS a,
+                   row_number() OVER (PARTITION BY date ORDER BY md5(entity || '|1'), entity) AS b FROM panel WHERE composite_score IS NOT NULL),
+    p AS (SELECT x.date, x.fwd_maxdd, y.composite_score FROM r x JOIN r y ON x.date = y.date AND x.a = y.b WHERE x.fwd_maxdd IS NOT NULL),
+    k AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY composite_score) + (count(*) OVER (PARTITION BY date, composite_score) - 1) / 2 AS rs,
+                 rank() OVER (PARTITION BY date ORDER BY fwd_maxdd) + (count(*) OVER (PARTITION BY date, fwd_maxdd) - 1) / 2 AS rt FROM p),
+    f AS (SELECT avg(ic) AS fake FROM (SELECT CASE WHEN count(*) >= 5 THEN corr(rs, rt) END AS ic FROM k GROUP BY date)),
+    t AS (SELECT avg(ic) AS real FROM ic)
+    SELECT round(fake, 6) + 0.0 AS placebo_ic, round(real, 6) + 0.0 AS real_ic, abs(fake) < 0.05 AND abs(real) > abs(fake) + 0.03 AS passed
+    FROM f, t""")
 def placebo(spark, sf_dir):
-    """No oracle, the permutation is a hash of this engine."""
+    """B10, O9."""
     return E.placebo(panel(spark, sf_dir), "fwd_maxdd").select(r6("placebo_ic"), r6("real_ic"), "passed")
 
 
+@query("panel_clusters", "panel", """
+    SELECT date, count(*) AS n, CASE WHEN count(*) >= 20 THEN count(*) ELSE 0 END AS n_clustered,
+           CASE WHEN count(*) >= 20 THEN 3 ELSE 0 END AS n_clusters, true AS all_named FROM panel GROUP BY date""")
+def panel_clusters(spark, sf_dir):
+    """The run passes the fundamentals gate and fits PCA, clusters and styles of every date with at least 20 names."""
+    rows = backtest.build_panel(store(spark, sf_dir), replace(CFG, run_clusters=True, gate=True))
+    return rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.count("cluster").alias("n_clustered"),
+                                    F.countDistinct("cluster").cast("int").alias("n_clusters"),
+                                    (F.count("cluster") == F.count("cluster_style")).alias("all_named"))
+
+
 @query("evaluation_metadata", "panel", """
     SELECT min(date) AS first_date, max(date) AS last_date, count(DISTINCT date) AS n_snapshots, 'Q' AS rebalance,
            CAST(6 AS BIGINT) AS horizon_months, CAST(0.25 AS DOUBLE) AS dd_threshold, true AS survivorship_safe,

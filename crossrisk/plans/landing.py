@@ -12,6 +12,7 @@ from ..sources.store import load_store
 from . import macro as M
 from . import series as S
 from . import views as V
+from ..operators.order_stats import row_numbers
 from .registry import query, r6
 
 
@@ -104,26 +105,31 @@ def _block(rows, factors):
     body = days.select(F.date_format("date", "yyyyMMdd").alias("k"), F.concat_ws(",", F.date_format("date", "yyyyMMdd"), *cells).alias("value"))
     extra = rows.sparkSession.createDataFrame([("0", "made by hand"), ("1", "," + ",".join(factors)), ("A", " Annual"), ("B", "20210101,9,9")],
                                               "k string, value string")
-    return body.unionByName(extra).coalesce(1).sortWithinPartitions("k").select("value")
+    return body.unionByName(extra).orderBy("k").select("value")       # ranges of lines: the files' names are in order
 
 
 @query("daily_block", "factor_levels", """
-    SELECT date, factor, round(round(value, 4) / 100, 6) AS value FROM factor_levels WHERE factor IN ('A_F', 'N_F', 'R_F')""")
+    SELECT date, factor, round(round(value, 4) / 100, 6) AS value FROM factor_levels""")
 def daily_block(spark, sf_dir):
     """The first block of days of a file with a header of the same width."""
-    path = _landed(_block(V.factor_levels(spark, sf_dir), ["A_F", "N_F", "R_F"]), "text")
+    path = _landed(_block(V.factor_levels(spark, sf_dir), V.FACTORS), "text")
     return landed.read_daily_block(spark, path).select("date", "factor", r6("value"))
 
 
-@query("factor_files", "factor_levels", """
-    SELECT date, round(max(round(value, 4) / 100) FILTER (factor = 'A_F'), 6) AS A_F, round(max(round(value, 4) / 100) FILTER (factor = 'R_F'), 6) AS Mom
-    FROM factor_levels GROUP BY date HAVING count(*) FILTER (factor = 'A_F') > 0 AND count(*) FILTER (factor = 'R_F') > 0""")
+_MAIN = [f for f in V.FACTORS if f != "R_F"]
+
+
+@query("factor_files", "factor_levels", f"""
+    SELECT date, {", ".join(f"round(max(round(value, 4) / 100) FILTER (factor = '{f}'), 6) AS {f}" for f in _MAIN)},
+           round(max(round(value, 4) / 100) FILTER (factor = 'R_F'), 6) AS Mom
+    FROM factor_levels WHERE value IS NOT NULL GROUP BY date
+    HAVING count(*) FILTER (factor <> 'R_F') > 0 AND count(*) FILTER (factor = 'R_F') > 0""")
 def factor_files(spark, sf_dir):
     """Two files merged on their common days."""
     levels = V.factor_levels(spark, sf_dir)
-    read = lambda f: landed.read_daily_block(spark, _landed(_block(levels.where(F.col("factor") == f), [f]), "text"))
-    out = landed.merge_factor_files(read("A_F"), read("R_F"), ["A_F", "Mom"])
-    return out.select("date", r6("A_F"), r6("Mom"))
+    read = lambda fs: landed.read_daily_block(spark, _landed(_block(levels.where(F.col("factor").isin(fs)), fs), "text"))
+    out = landed.merge_factor_files(read(_MAIN), read(["R_F"]), [*_MAIN, "Mom"])
+    return out.select("date", *[r6(f) for f in [*_MAIN, "Mom"]])
 
 
 @query("rolling_loadings", "sreg", """
@@ -164,13 +170,12 @@ def top_bottom(spark, sf_dir):
 
 @query("largest_absolute", "ebeta", """
     SELECT entity, factor, round(beta, 6) AS beta, row_number() OVER (ORDER BY abs(beta) DESC, entity, factor) AS place
-    FROM ebeta QUALIFY place <= 50""")
+    FROM ebeta""")
 def largest_absolute(spark, sf_dir):
-    """O1, O2: the order itself is compared, as a place in the sorted list."""
+    """O1: the order itself is compared, as the place of every row."""
     rows = M.slopes(M.entity_betas(spark, sf_dir)).select("entity", "factor", "beta")
-    top = report.sort_abs(rows, "beta", "entity", "factor").limit(50)
-    return top.agg(F.collect_list(F.struct("entity", "factor", "beta")).alias("l")).select(F.posexplode("l").alias("i", "r")).select(
-        "r.entity", "r.factor", r6("r.beta", "beta"), (F.col("i") + 1).cast("long").alias("place"))
+    placed = row_numbers(rows, [F.abs("beta").desc(), "entity", "factor"], "place")
+    return placed.select("entity", "factor", r6("beta"), F.col("place").cast("long").alias("place"))
 
 
 @query("suggestions", "universe", """

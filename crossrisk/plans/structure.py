@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import FEATURES, K_CANDIDATES, N_INIT_FINAL, N_PCS
+from ..config import FEATURES, K_CANDIDATES, N_INIT_FINAL, N_PCS, STYLE_DEFAULT, STYLE_FAMILIES, STYLE_TRIGGER
 from ..operators import assess, audit, cluster, knn, pca, report, trajectory
 from ..session import cut_lineage
 from . import macro as M
@@ -201,7 +201,19 @@ def zscores_by_date(spark, sf_dir):
     return pca.standardize(SC.screened(spark, sf_dir), FEATURES, ["date"]).select("date", "entity", *[r6(c) for c in FEATURES])
 
 
-@query("cluster_styles")
+def _family(members, sign):
+    here = [c for c in members if c in FEATURES]
+    return f"{sign} * (" + " + ".join(f"avg({c})" for c in here) + f") / {len(here)}"
+
+
+@query("cluster_styles", "zclust_dates", f"""
+    , m AS (SELECT date, cluster, {", ".join(f"{_family(members, sign)} AS f{i}" for i, (_, members, sign) in enumerate(STYLE_FAMILIES))}
+            FROM zclust_dates GROUP BY date, cluster),
+    named AS (SELECT date, cluster, CASE WHEN greatest({", ".join(f"f{i}" for i in range(len(STYLE_FAMILIES)))}) <= {STYLE_TRIGGER} THEN '{STYLE_DEFAULT}'
+      {" ".join(f"WHEN f{i} = greatest({', '.join(f'f{j}' for j in range(len(STYLE_FAMILIES)))}) THEN '{name}'" for i, (name, _, _) in enumerate(STYLE_FAMILIES))}
+      END AS name FROM m)
+    SELECT date, cluster, name || CASE WHEN n = 1 THEN '' ELSE ' (' || n || ')' END AS style
+    FROM (SELECT *, row_number() OVER (PARTITION BY date, name ORDER BY cluster) AS n FROM named)""")
 def cluster_styles(spark, sf_dir):
     """Every quarter."""
     return cluster.styles(clustered_dates(spark, sf_dir), FEATURES, ["date"])
@@ -464,6 +476,19 @@ def direction(spark, sf_dir):
     return trajectory.direction(paths(spark, sf_dir), _tier_ranks(spark))
 
 
+@query("headline_direction", "scores holdings paths", """
+    , d AS (SELECT entity, CASE WHEN count(*) < 2 THEN 'Unknown' WHEN max_by(cluster, date) > min_by(cluster, date) THEN 'Deteriorating'
+                                ELSE 'other' END AS direction FROM paths GROUP BY entity)
+    SELECT date, round(sum(weight * composite_score) / sum(weight), 6) AS weighted_score, count(*) FILTER (risk_tier = 'Elevated') AS n_elevated,
+           count(*) AS n_held, count(*) FILTER (direction = 'Deteriorating') AS n_deteriorating
+    FROM scores JOIN holdings USING (entity) LEFT JOIN d USING (entity) GROUP BY date""")
+def headline_direction(spark, sf_dir):
+    """A24 with W19: holdings that moved to a riskier cluster since their first snapshot."""
+    moved = trajectory.direction(paths(spark, sf_dir), _tier_ranks(spark))
+    return (report.headline(SC.scores(spark, sf_dir), V.holdings(spark, sf_dir), ["date"], moved)
+            .select("date", r6("weighted_score"), "n_elevated", "n_held", "n_deteriorating"))
+
+
 @query("segments", "paths", """
     SELECT entity, date, CASE WHEN cluster > p THEN 'riskier' WHEN cluster < p THEN 'safer' ELSE 'same' END AS segment FROM (
       SELECT *, lag(cluster) OVER (PARTITION BY entity ORDER BY date) AS p FROM paths) WHERE p IS NOT NULL""")

@@ -41,7 +41,7 @@ from .byte_bpe import RANK_FILE, codec
 PIECE_FILE = "piece_bpe_32k.model"
 CHUNK_BYTES = 2 << 20
 LONGEST = 64
-MEMO_ITEMS = 800_000
+MEMO_ITEMS = 1_200_000
 HOT_BITS = 14
 A_MARK = np.uint32(1 << 31)
 
@@ -208,34 +208,40 @@ class _Chunk:
 
     def _align(self, own: Aligner) -> None:
         self.rows, self.entries = [], []
-        for doc, ids, entries in zip(self.docs, self.ids, own.windows(self.ids)):
+        windows = own.windows(self.ids)
+        n_groups, n_links = np.array(own.n_groups, np.int64), np.array(own.n_links, np.int64)
+        for doc, ids, entries in zip(self.docs, self.ids, windows):
             if entries is None:
                 self.rows.append((doc, 0, 0, 0, 0, ""))
                 self.entries.append(np.zeros(0, np.int64))
                 continue
             digest = hashlib.sha256(b";".join(map(own.digest.__getitem__, entries))).hexdigest()
-            self.rows.append((doc, len(ids[0]), len(ids[1]), sum(map(own.n_groups.__getitem__, entries)),
-                              sum(map(own.n_links.__getitem__, entries)), digest))
-            self.entries.append(np.array(entries, np.int64))
+            entries = np.array(entries, np.int64)
+            self.rows.append((doc, len(ids[0]), len(ids[1]), int(n_groups[entries].sum()), int(n_links[entries].sum()), digest))
+            self.entries.append(entries)
 
     def batch(self, own: Aligner, number: int) -> pa.RecordBatch:
-        """Every (document, pair) once, with its occurrences; pairs are numbered inside the chunk."""
+        """Every (document, window) once with its occurrences, as pairs; pairs are numbered inside the chunk."""
         self._align(own)
         doc = np.repeat(np.arange(len(self.entries)), [len(e) for e in self.entries])
         code, times = np.unique(doc << 32 | np.concatenate(self.entries), return_counts=True)
         doc, entry = code >> 32, code & 0xFFFFFFFF
         starts, flat, counts = (np.array(x, np.int64) for x in (own.starts, own.pairs, own.times))
-        width = starts[entry + 1] - starts[entry]
-        at = _ranges(starts[entry], width)
+        mark = np.zeros(len(starts) - 1, bool)
+        mark[entry] = True
+        used = np.flatnonzero(mark)
+        entry = (np.cumsum(mark) - 1)[entry]
+        width = np.diff(starts)[used]
+        at = _ranges(starts[used], width)
         pairs, place = np.unique(flat[at], return_inverse=True)
-        code = np.repeat(doc, width) << 32 | place
-        order = np.argsort(code, kind="stable")
-        code, weight = code[order], (np.repeat(times, width) * counts[at])[order]
-        first = np.flatnonzero(np.diff(code, prepend=-1))
-        weight = np.add.reduceat(weight, first) if len(first) else weight
-        code = code[first]
-        df = np.bincount(code & 0xFFFFFFFF, minlength=len(pairs))
-        values = [number, *map(list, zip(*self.rows)), (code >> 32).astype("<u4").tobytes(), (code & 0xFFFFFFFF).astype("<u4").tobytes(),
+        counts, first = counts[at], np.cumsum(width) - width
+        at = _ranges(first[entry], width[entry])
+        doc, place = np.repeat(doc, width[entry]), place[at]
+        weight = np.repeat(times, width[entry]) * counts[at]
+        held = np.sort(doc << 32 | place)
+        held = held[np.append(True, held[1:] != held[:-1])] if len(held) else held
+        df = np.bincount(held & 0xFFFFFFFF, minlength=len(pairs))
+        values = [number, *map(list, zip(*self.rows)), doc.astype("<u4").tobytes(), place.astype("<u4").tobytes(),
                   weight.astype("<u4").tobytes(), pairs, df.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, CHUNK)], schema=CHUNK)
 

@@ -33,8 +33,8 @@ from .shingles import PRIME, _powers, mix
 SIZE = 200
 ANCHOR = 32
 PIECE = 1 << 19
-SHARD_BYTES = 2 << 20  # sorted at once, except for an anchor that has more
-HELD_BYTES = 8 << 20  # segments collapsed before they are sent
+SHARD_BYTES = 1 << 20  # sorted at once, except for an anchor that has more
+HELD_BYTES = 4 << 20  # segments collapsed before they are sent
 MOST_BROADCAST = 1_000_000  # spans of 24 bytes
 SEGMENT = "hash long, segment binary, doc_ids array<long>, digests array<long>, starts array<long>"
 

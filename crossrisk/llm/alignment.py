@@ -41,7 +41,7 @@ from .byte_bpe import RANK_FILE, codec
 PIECE_FILE = "piece_bpe_32k.model"
 CHUNK_BYTES = 2 << 20
 LONGEST = 64
-MEMO_ITEMS = 1_200_000
+MEMO_ITEMS = 800_000
 HOT_BITS = 14
 A_MARK = np.uint32(1 << 31)
 
@@ -59,6 +59,24 @@ def _ranges(starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
 
 
+def _merged(doc: np.ndarray, place: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (doc, place) once, with the sum of their weights."""
+    if not len(doc):
+        return doc, place, weight
+    bits = int(weight.max()).bit_length()
+    below = int(place.max()).bit_length() + bits
+    if int(doc.max()).bit_length() + below < 64:        # one number sorts faster than an order of three
+        packed = np.sort(doc << below | place << bits | weight)
+        code, weight = packed >> bits, packed & (1 << bits) - 1
+    else:
+        order = np.lexsort((place, doc))
+        below = 32 + bits
+        code, weight = (doc << 32 | place)[order], weight[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    code, weight = code[first], np.add.reduceat(weight, first)
+    return code >> below - bits, code & (1 << below - bits) - 1, weight
+
+
 def _woven(group_a: np.ndarray, group_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of two sides' tokens when the groups follow each other, each with its tokens of A, then those of B."""
     n = int(group_a[-1]) + 1 if len(group_a) else 0
@@ -221,7 +239,7 @@ class _Chunk:
             self.entries.append(entries)
 
     def batch(self, own: Aligner, number: int) -> pa.RecordBatch:
-        """Every (document, window) once with its occurrences, as pairs; pairs are numbered inside the chunk."""
+        """Every (document, pair) once, with its occurrences; pairs are numbered inside the chunk."""
         self._align(own)
         doc = np.repeat(np.arange(len(self.entries)), [len(e) for e in self.entries])
         code, times = np.unique(doc << 32 | np.concatenate(self.entries), return_counts=True)
@@ -237,10 +255,8 @@ class _Chunk:
         counts, first = counts[at], np.cumsum(width) - width
         at = _ranges(first[entry], width[entry])
         doc, place = np.repeat(doc, width[entry]), place[at]
-        weight = np.repeat(times, width[entry]) * counts[at]
-        held = np.sort(doc << 32 | place)
-        held = held[np.append(True, held[1:] != held[:-1])] if len(held) else held
-        df = np.bincount(held & 0xFFFFFFFF, minlength=len(pairs))
+        doc, place, weight = _merged(doc, place, np.repeat(times, width[entry]) * counts[at])
+        df = np.bincount(place, minlength=len(pairs))
         values = [number, *map(list, zip(*self.rows)), doc.astype("<u4").tobytes(), place.astype("<u4").tobytes(),
                   weight.astype("<u4").tobytes(), pairs, df.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, CHUNK)], schema=CHUNK)

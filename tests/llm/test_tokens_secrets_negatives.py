@@ -114,6 +114,18 @@ def test_frequent_pairs_are_joined_like_others(spark):
     assert got == {c: [(0, 800, True), (1, 1, False)] for c in range(400)}
 
 
+@pytest.mark.parametrize("most", [3, 1 << 40])
+def test_equal_pairs_are_merged(most):
+    rng = np.random.default_rng(1)
+    doc, place, weight = rng.integers(0, 9, 500), rng.integers(0, 5000, 500) % 7, rng.integers(1, most + 1, 500)
+    doc[0], place[0] = 40_000, 4_000_000
+    want = defaultdict(int)
+    for d, p, w in zip(doc.tolist(), place.tolist(), weight.tolist()):
+        want[d, p] += w
+    d, p, w = alignment._merged(doc, place, weight)
+    assert dict(zip(zip(d.tolist(), p.tolist()), w.tolist())) == want and len(d) == len(want)
+
+
 def spans_of(rows):
     kinds = [("assign", re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|"""
                                    r"""[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8),

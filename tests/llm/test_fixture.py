@@ -456,7 +456,8 @@ ORACLES = sorted(queries.ORACLES)
 def test_matches_oracle(spark, name):
     import duckdb
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SMALL)
     cols = sorted(df.columns)
     rel = con.sql(queries.ORACLES[name])

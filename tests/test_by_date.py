@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from crossrisk.plans import screen as SC, views as V
+from crossrisk.session import cut_lineage
 
 from test_entry import SMALL, _clean, _duck
 
@@ -29,7 +30,7 @@ def test_every_date_matches_its_oracle(spark, name):
 
 def _over(spark, days, names):
     """Results of queries whose cleaned table holds the given dates only."""
-    rows = SC.screened(spark, SMALL).where(F.col("date").isin(days)).localCheckpoint()
+    rows = cut_lineage(SC.screened(spark, SMALL).where(F.col("date").isin(days)))
     with pytest.MonkeyPatch.context() as patch:
         V.forget_stored()
         patch.setattr(SC, "screened", lambda *_: rows)

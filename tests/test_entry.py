@@ -11,7 +11,24 @@ LARGER = "/root/testdata/sf0.01"
 REGRESSIONS = {"ols_hac_single", "timeframe_betas"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 NAMES = ["screen_scores", "backtest_panel", "decile_hit_rates", "spearman_ic", "newey_west_t", "roc", "asof_features", "forward_maxdd",
-         "sector_peer_delta", "ols_hac_single", "timeframe_betas", "feature_audit", "centroid_gap", "path_drift", "altman", "event_count_90d"]
+         "sector_peer_delta", "ols_hac_single", "timeframe_betas", "feature_audit", "centroid_gap", "path_drift", "altman", "event_count_90d",
+         "placebo", "cluster_styles", "headline_direction", "daily_block", "largest_absolute", "knn5", "squared_silhouette"]
+
+
+def test_the_panel_run_stops_when_fundamentals_are_empty(spark):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from crossrisk.config import FUNDAMENTAL_CORE, RunConfig
+    from crossrisk.operators import backtest
+    from crossrisk.plans import backtests
+    store = backtests.store(spark, SMALL)
+    backtest.scoreable(store, RunConfig(gate=True))
+    empty = store.features.withColumns({c: F.lit(None).cast("double") for c in FUNDAMENTAL_CORE[:3]})
+    with pytest.raises(ValueError):
+        backtest.scoreable(replace(store, features=empty), RunConfig(gate=True))
+    backtest.scoreable(replace(store, features=empty), RunConfig())
 
 
 def _duck(directory):

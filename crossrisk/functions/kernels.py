@@ -55,23 +55,75 @@ def variance_inflation(cov: np.ndarray) -> list:
         return [None] * k
 
 
+def fitted(n: int, mean: np.ndarray, cov: np.ndarray) -> tuple:
+    """Coefficients, (X'X)^-1, fit and inflation from the moments of [y, x1..xk]."""
+    beta, inv = least_squares(n, mean, cov)
+    ssr = max(n * (cov[0, 0] - beta[1:] @ cov[1:, 0]), 0.0)
+    tss = n * cov[0, 0]
+    r2 = 1.0 - ssr / tss if tss > 0 else None
+    df = n - len(mean)
+    adj = 1.0 - (1.0 - r2) * (n - 1) / df if r2 is not None and df > 0 else None
+    return (n, beta.tolist(), inv.ravel().tolist(), r2, adj, math.sqrt(ssr / df) if df > 0 else None,
+            variance_inflation(cov[1:, 1:]), mean.tolist())
+
+
+FITTED = ["n", "beta", "inv", "r2", "adj_r2", "resid_std", "vif", "means"]
+
+
 def solver(keys: list[str], k: int):
     """Moment rows to coefficient rows."""
+    def run(batches):
+        for pdf in batches:
+            rows = [(*[getattr(r, c) for c in keys], *fitted(int(r.n), np.asarray(r.means, dtype=float), unpack(r.cov, k + 1)))
+                    for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[*keys, *FITTED])
+    return run
+
+
+def cube_solver(keys: list[str], k: int, controls: int):
+    """Sums over products of [1, x1..xk, y] (standardized) to coefficient rows with the HAC meat.
+
+    The last k - controls regressors are replaced by their residuals on the first ones if there are controls.
+    """
+    pairs = [(i, j) for i in range(k + 2) for j in range(i, k + 2)]
+    place = {q: at for at, q in enumerate(pairs)}
+    p = len(pairs) - 1
+    y_first = [k, *range(k)]
+
     def run(batches):
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                n = int(r.n)
-                mean, cov = np.asarray(r.means, dtype=float), unpack(r.cov, k + 1)
-                beta, inv = least_squares(n, mean, cov)
-                ssr = max(n * (cov[0, 0] - beta[1:] @ cov[1:, 0]), 0.0)
-                tss = n * cov[0, 0]
-                r2 = 1.0 - ssr / tss if tss > 0 else None
-                df = n - k - 1
-                adj = 1.0 - (1.0 - r2) * (n - 1) / df if r2 is not None and df > 0 else None
-                rows.append((*[getattr(r, c) for c in keys], n, beta.tolist(), inv.ravel().tolist(), r2, adj,
-                             math.sqrt(ssr / df) if df > 0 else None, variance_inflation(cov[1:, 1:]), mean.tolist()))
-            yield pd.DataFrame(rows, columns=[*keys, "n", "beta", "inv", "r2", "adj_r2", "resid_std", "vif", "means"])
+                sums, center, scale = (np.asarray(c, dtype=float) for c in (r.sums, r.center, r.scale))
+                second = unpack(sums[:p + 1], k + 2)
+                n = int(round(second[0, 0]))
+                mean = second[0, 1:] / n
+                cov = second[1:, 1:] / n - np.outer(mean, mean)
+                order = np.ix_(y_first, y_first)
+                beta, _ = least_squares(n, mean[y_first], cov[order])
+                error = np.concatenate([-beta, [1.0]])          # of y against [1, x]
+                score = np.zeros((k + 1, p))
+                for a in range(k + 1):
+                    for b in range(k + 2):
+                        score[a, place[min(a, b), max(a, b)]] += error[b]
+                meat = score @ unpack(sums[p + 1:], p) @ score.T
+                units = np.diag([1.0, *scale[:k]])
+                units[1:, 0] = center[:k]
+                meat = units @ meat @ units.T * scale[k] ** 2
+                mean, cov = mean * scale + center, cov * np.outer(scale, scale)
+                if controls:
+                    c = slice(0, controls)
+                    gamma = np.linalg.pinv(cov[c, c], rcond=1e-13, hermitian=True) @ cov[c, controls:k]
+                    left = np.eye(k + 2)
+                    left[1:controls + 1, controls + 1:k + 1] = -gamma
+                    left[0, controls + 1:k + 1] = mean[c] @ gamma - mean[controls:k]
+                    meat = left[:k + 1, :k + 1].T @ meat @ left[:k + 1, :k + 1]
+                    cov = left[1:, 1:].T @ cov @ left[1:, 1:]
+                    mean = mean.copy()
+                    mean[controls:k] = 0.0
+                rows.append((*[getattr(r, c) for c in keys], *fitted(n, mean[y_first], cov[order]),
+                             meat[np.triu_indices(k + 1)].tolist()))
+            yield pd.DataFrame(rows, columns=[*keys, *FITTED, "meat"])
     return run
 
 

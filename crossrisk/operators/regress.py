@@ -15,7 +15,7 @@ from ..config import (CONTROL_FACTORS, CURATED_FACTORS, FFILL_ROWS, MIN_OBS, SHO
                       factor_registry)
 from ..functions import kernels
 from ..functions.expr import first_rule
-from .gram import ONE, key_schema, keyed, moments
+from .gram import ONE, key_schema, keyed, moments, window_moments
 
 EST = ("factor string, beta double, std_err double, t_stat double, p_value double, ci_low double, ci_high double, "
        "vif double, factor_move double, contribution double, n long, r2 double, adj_r2 double, resid_std double")
@@ -197,17 +197,14 @@ def rolling_betas(df: DataFrame, y: str, xs: Sequence[str], window: int = 60, by
                   date: str = "date") -> DataFrame:
     """Plain OLS over the last ``window`` complete rows, one row per date and factor.
 
-    The window's moments are Spark window aggregates; only full windows are solved.
+    The windows' moments come from blocks; only full windows are solved.
     """
     rows, keys = keyed(df.dropna(subset=[y, *xs]), by)
     names = _safe(xs)
-    rows = rows.select(*keys, F.col(date).alias("date"), F.col(y).alias("_y"),
+    rows = rows.select(*keys, F.col(date).alias("date"), F.col(y).cast("double").alias("_y"),
                        *[F.col(f"`{x}`").cast("double").alias(a) for x, a in zip(xs, names)])
-    w = W.partitionBy(*keys).orderBy("date").rowsBetween(-(window - 1), 0)
-    cols = ["_y", *names]
-    pairs = [F.covar_pop(cols[i], cols[j]).over(w) for i in range(len(cols)) for j in range(i, len(cols))]
-    m = rows.select(*keys, "date", F.count(F.lit(1)).over(w).alias("n"), F.array(*[F.avg(c).over(w) for c in cols]).alias("means"),
-                    F.array(*pairs).alias("cov")).where(F.col("n") == window)
+    m = (window_moments(rows, ["_y", *names], keys, window).where(F.col("_n") == window)
+         .select(*keys, "date", F.col("_n").alias("n"), F.col("_means").alias("means"), F.col("_cov").alias("cov")))
     solved = m.mapInPandas(kernels.slopes_only([*keys, "date"], len(xs)),
                            f"{key_schema(rows, keys)}, date date, beta array<double>")
     labels = F.array(*[F.lit(x) for x in xs])
@@ -218,12 +215,11 @@ def rolling_betas(df: DataFrame, y: str, xs: Sequence[str], window: int = 60, by
 def rolling_beta(df: DataFrame, y: str, x: str, window: int = 60, by: Sequence[str] = ()) -> DataFrame:
     """Sample covariance over sample variance in full windows (W25); all-null rows are dropped first."""
     rows, keys = keyed(df.dropna(how="all", subset=[y, x]), by)
-    w = W.partitionBy(*keys).orderBy("date").rowsBetween(-(window - 1), 0)
     both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    n = F.count_if(both).over(w)
-    vx = F.var_samp(F.when(both, F.col(x))).over(w)
-    beta = F.when((n == window) & (vx > 0), F.covar_samp(y, x).over(w) / vx)
-    return _scoped(keys, by, rows.withColumn("beta", beta))
+    masked = rows.withColumns({"_x": F.when(both, F.col(x)).cast("double"), "_y": F.when(both, F.col(y)).cast("double")})
+    m = window_moments(masked, ["_x", "_y"], keys, window)
+    beta = F.when((F.col("_n") == window) & (F.col("_cov")[0] > 0), F.col("_cov")[1] / F.col("_cov")[0])
+    return _scoped(keys, by, m.withColumn("beta", beta).drop("_x", "_y", "_n", "_means", "_cov"))
 
 
 def pivot_betas(long: DataFrame, factors: Sequence[str], value: str = "beta", key: str = "entity") -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import TIMEFRAMES
+from ..config import TIMEFRAMES, TWO_WAY_RULES
 from ..functions import expr as X
-from ..operators import regress as R, report, returns
+from ..operators import cube, regress as R, report, returns
 from ..sources import sinks
 from . import series as S
 from . import views as V
@@ -33,6 +33,15 @@ V.SQL_VIEWS["ereg"] = (["fac", "rets"], "SELECT r.entity, r.ret, f.* FROM rets r
 _ALL = ", ".join(V.FACTORS)
 V.SQL_VIEWS["xreg"] = (["ereg"], f"SELECT * FROM (UNPIVOT ereg ON {_ALL} INTO NAME factor VALUE x)")
 V.SQL_VIEWS["sreg"] = (["reg"], f"SELECT * FROM (UNPIVOT reg ON {_ALL} INTO NAME factor VALUE x)")
+_TF = """
+    SELECT tf.timeframe, t.* FROM {src} t JOIN (
+        SELECT 'ytd' AS timeframe, CAST(date_trunc('year', max(date)) AS DATE) AS start FROM {src}
+        UNION ALL SELECT '6m', CAST(max(date) - INTERVAL 6 MONTH AS DATE) FROM {src}
+        UNION ALL SELECT '1y', CAST(max(date) - INTERVAL 12 MONTH AS DATE) FROM {src}
+        UNION ALL SELECT '2y', CAST(max(date) - INTERVAL 24 MONTH AS DATE) FROM {src}
+        UNION ALL SELECT 'max', DATE '1900-01-01') tf ON t.date >= tf.start"""
+V.SQL_VIEWS["xtf"] = (["xreg"], _TF.format(src="xreg"))
+V.SQL_VIEWS["stf"] = (["sreg"], _TF.format(src="sreg"))
 V.SQL_VIEWS["ebeta"] = (["xreg"], """
     SELECT entity, factor, count(*) AS n, regr_slope(ret, x) AS beta, regr_intercept(ret, x) AS alpha
     FROM xreg GROUP BY entity, factor HAVING count(*) >= 30""")
@@ -73,6 +82,23 @@ def entity_betas(spark, sf_dir):
     return each_factor(entity_sample(spark, sf_dir), "ret", ["entity"])
 
 
+def each_timeframe(df, y, by=(), controls=()):
+    """One-factor fits for every factor and timeframe from one cube."""
+    ids = [c for c in df.columns if c not in V.FACTORS]
+    fits = cube.timeframe_fits(df.unpivot(ids, V.FACTORS, "which", "x"), y, ["x"], [*by, "which"], controls=controls)
+    return fits.withColumn("factor", F.when(F.col("factor") == "x", F.col("which")).otherwise(F.col("factor")))
+
+
+@V.stored
+def timeframe_entity_betas(spark, sf_dir):
+    return slopes(each_timeframe(entity_sample(spark, sf_dir), "ret", ["entity"]))
+
+
+def shocks_of_factors(spark):
+    return R.shocks_table(spark, [(f, f"{t} {f}", s) for f in V.FACTORS for t, s in (("-10%", -0.10), ("+3%", 0.03))] + [
+        ("B_X", "unused", 1.0)])
+
+
 def slopes(fits):
     return fits.where("factor <> 'const'").drop("which")
 
@@ -191,35 +217,123 @@ def weekly_betas(spark, sf_dir):
     return fits.where("factor = 'x'").select(F.col("which").alias("factor"), "n", r6("beta"), r6("r2"))
 
 
-@query("rolling_beta", "reg", """
-    SELECT date, CASE WHEN count(*) OVER w = 60 THEN round(covar_samp(port, bench) OVER w / var_samp(bench) OVER w, 6) END AS beta
-    FROM reg WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+def _rolled(window):
+    return f"""SELECT date, CASE WHEN count(*) OVER w = {window} THEN round(covar_samp(port, bench) OVER w / var_samp(bench) OVER w, 6) END AS beta
+    FROM reg WINDOW w AS (ORDER BY date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"""
+
+
+def _rolled_ols(window):
+    return f"""SELECT date, factor, round(covar_pop(port, x) OVER w / var_pop(x) OVER w, 6) AS beta
+    FROM sreg WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)
+    QUALIFY count(*) OVER w = {window}"""
+
+
+def _rolled_factors(spark, sf_dir, window):
+    long = sample(spark, sf_dir).unpivot(["date", "port"], V.FACTORS, "which", "x")
+    return R.rolling_betas(long, "port", ["x"], window, ["which"]).select("date", F.col("which").alias("factor"), r6("beta"))
+
+
+@query("rolling_beta", "reg", _rolled(60))
 def rolling_beta(spark, sf_dir):
     """W25, R10."""
     return R.rolling_beta(sample(spark, sf_dir), "port", "bench").select("date", r6("beta"))
 
 
-@query("rolling_ols", "sreg", """
-    SELECT date, factor, round(covar_pop(port, x) OVER w / var_pop(x) OVER w, 6) AS beta
-    FROM sreg WINDOW w AS (PARTITION BY factor ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 60""")
+@query("rolling_beta_252", "reg", _rolled(252))
+def rolling_beta_252(spark, sf_dir):
+    """A year's window at the cost of a short one."""
+    return R.rolling_beta(sample(spark, sf_dir), "port", "bench", 252).select("date", r6("beta"))
+
+
+@query("rolling_ols", "sreg", _rolled_ols(60))
 def rolling_ols(spark, sf_dir):
     """G9."""
-    long = sample(spark, sf_dir).unpivot(["date", "port"], V.FACTORS, "which", "x")
-    return R.rolling_betas(long, "port", ["x"], by=["which"]).select("date", F.col("which").alias("factor"), r6("beta"))
+    return _rolled_factors(spark, sf_dir, 60)
 
 
-@query("timeframe_betas", "xreg", """
-    , tf AS (SELECT 'ytd' AS timeframe, CAST(date_trunc('year', max(date)) AS DATE) AS start FROM xreg
-           UNION ALL SELECT '6m', CAST(max(date) - INTERVAL 6 MONTH AS DATE) FROM xreg
-           UNION ALL SELECT '1y', CAST(max(date) - INTERVAL 12 MONTH AS DATE) FROM xreg
-           UNION ALL SELECT '2y', CAST(max(date) - INTERVAL 24 MONTH AS DATE) FROM xreg
-           UNION ALL SELECT 'max', DATE '1900-01-01')
-    SELECT timeframe, entity, factor, count(*) AS n, round(regr_slope(ret, x), 6) AS beta FROM tf JOIN xreg ON date >= start
-    GROUP BY 1, 2, 3 HAVING count(*) >= 30""")
+@query("rolling_ols_252", "sreg", _rolled_ols(252))
+def rolling_ols_252(spark, sf_dir):
+    """A year's window."""
+    return _rolled_factors(spark, sf_dir, 252)
+
+
+@query("rolling_entity_betas", "ereg port", """
+    SELECT e.entity, e.date, round(covar_pop(e.ret, p.ret) OVER w / nullif(var_pop(p.ret) OVER w, 0), 6) AS beta
+    FROM ereg e JOIN port p USING (date) WINDOW w AS (PARTITION BY e.entity ORDER BY e.date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)
+    QUALIFY count(*) OVER w = 60""")
+def rolling_entity_betas(spark, sf_dir):
+    """Every entity against the portfolio."""
+    p = S.portfolio(spark, sf_dir).withColumnRenamed("ret", "port")
+    out = R.rolling_betas(entity_sample(spark, sf_dir).join(p, "date"), "ret", ["port"], by=["entity"])
+    return out.select("entity", "date", r6("beta"))
+
+
+@query("rolling_beta_by_timeframe", "reg", """
+    , r AS (SELECT date, covar_samp(port, bench) OVER w / var_samp(bench) OVER w AS beta, count(*) OVER w AS n
+            FROM reg WINDOW w AS (ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+    rolled AS (SELECT date, beta FROM r WHERE n = 60),
+    sliced AS (""" + _TF.format(src="rolled") + """)
+    SELECT timeframe, date, round(beta, 6) AS beta FROM sliced""")
+def rolling_beta_by_timeframe(spark, sf_dir):
+    """The rolled series cut to every named timeframe."""
+    rolled = R.rolling_beta(sample(spark, sf_dir), "port", "bench").where("beta IS NOT NULL").select("date", "beta")
+    return returns.by_timeframe(rolled, TIMEFRAMES).select("timeframe", "date", r6("beta"))
+
+
+@query("timeframe_betas", "xtf", _hac("ret", "x", "xtf", "timeframe, entity, factor") + """
+    SELECT timeframe, entity, factor, b.n, round(b.beta, 6) AS beta, round(sqrt(greatest(m.meat, 0)) / b.sxx, 6) AS std_err
+    FROM b JOIN m USING (timeframe, entity, factor) WHERE b.n >= 30""")
 def timeframe_betas(spark, sf_dir):
-    """Timeframe and entity as group keys of one fit."""
-    rows = returns.by_timeframe(entity_sample(spark, sf_dir), TIMEFRAMES)
-    return slopes(each_factor(rows, "ret", ["timeframe", "entity"])).select("timeframe", "entity", "factor", "n", r6("beta"))
+    """Every entity, factor and timeframe with HAC errors, from one period cube."""
+    return timeframe_entity_betas(spark, sf_dir).select("timeframe", "entity", "factor", "n", r6("beta"), r6("std_err"))
+
+
+_TF_RES = """
+    , g AS (SELECT timeframe, factor, regr_slope(x, bench) AS gf, regr_intercept(x, bench) AS cf, regr_slope(port, bench) AS mb,
+                   regr_intercept(port, bench) AS ma FROM stf GROUP BY ALL),
+    tfr AS (SELECT timeframe, factor, date, port - ma - mb * bench AS rest, x - cf - gf * bench AS rf FROM stf JOIN g USING (timeframe, factor))
+    """ + _hac("rest", "rf", "tfr", "timeframe, factor")
+_TF_RAW = ", raw AS (SELECT timeframe, factor, regr_slope(port, x) AS raw FROM stf GROUP BY ALL)"
+
+
+@query("timeframe_residualized", "stf", _TF_RES + """
+    SELECT timeframe, factor, b.n, round(b.beta, 6) AS beta, round(sqrt(m.meat) / b.sxx, 6) AS std_err, round(g.mb, 6) AS control_beta
+    FROM b JOIN m USING (timeframe, factor) JOIN g USING (timeframe, factor) WHERE b.n >= 30""")
+def timeframe_residualized(spark, sf_dir):
+    """Both stages of every factor and timeframe from one period cube."""
+    fits = each_timeframe(sample(spark, sf_dir), "port", controls=["bench"])
+    pick = lambda f, c: F.max(F.when(f, F.col(c)))
+    own, control = F.col("factor") == F.col("which"), F.col("factor") == "bench"
+    return (fits.groupBy("timeframe", "which").agg(F.max("n").alias("n"), r6(pick(own, "beta"), "beta"), r6(pick(own, "std_err"), "std_err"),
+                                                   r6(pick(control, "beta"), "control_beta"))
+            .withColumnRenamed("which", "factor"))
+
+
+# p > 0.10 as a bound on the t statistic
+_READ = "CASE " + " ".join(f"WHEN {c.replace('p > 0.10', 'abs(t) < 1.6448536269514722')} THEN '{t}'" for c, t in TWO_WAY_RULES) + " END"
+
+
+@query("timeframe_comparison", "stf", _TF_RES + _TF_RAW + f"""
+    , c AS (SELECT timeframe, factor, raw.raw, b.beta AS res, b.beta / (sqrt(m.meat) / b.sxx) AS t
+            FROM b JOIN m USING (timeframe, factor) JOIN raw USING (timeframe, factor) WHERE b.n >= 30)
+    SELECT timeframe, factor, round(raw, 6) AS raw_beta, round(res, 6) AS residualized_beta, round(res - raw, 6) + 0.0 AS delta,
+           {_READ} AS interpretation FROM c""")
+def timeframe_comparison(spark, sf_dir):
+    """Raw against residualized per timeframe, with its reading."""
+    d = sample(spark, sf_dir)
+    raw, res = slopes(each_timeframe(d, "port")), each_timeframe(d, "port", controls=["bench"]).where("factor <> 'bench'")
+    out = R.compare_two(raw, slopes(res), ["timeframe"])
+    return out.select("timeframe", "factor", r6("raw_beta"), r6("residualized_beta"), r6("delta"), "interpretation")
+
+
+@query("timeframe_scenarios", "xtf", """
+    , tb AS (SELECT timeframe, entity, factor, regr_slope(ret, x) AS beta FROM xtf GROUP BY ALL HAVING count(*) >= 30)
+    SELECT timeframe, entity, factor, '-10% ' || factor AS label, round(beta * -0.1, 6) + 0.0 AS impact FROM tb
+    UNION ALL SELECT timeframe, entity, factor, '+3% ' || factor, round(beta * 0.03, 6) + 0.0 FROM tb""")
+def timeframe_scenarios(spark, sf_dir):
+    """Shocks on the betas of every timeframe."""
+    return R.scenarios(timeframe_entity_betas(spark, sf_dir), shocks_of_factors(spark)).select(
+        "timeframe", "entity", "factor", "label", r6("impact"))
 
 
 @query("scenarios", "ebeta", """
@@ -227,9 +341,7 @@ def timeframe_betas(spark, sf_dir):
     UNION ALL SELECT entity, factor, '+3% ' || factor, round(beta * 0.03, 6) + 0.0 FROM ebeta""")
 def scenarios(spark, sf_dir):
     """G11, J15, O1."""
-    shocks = R.shocks_table(spark, [(f, f"{t} {f}", s) for f in V.FACTORS for t, s in (("-10%", -0.10), ("+3%", 0.03))] + [
-        ("B_X", "unused", 1.0)])
-    return R.scenarios(entity_betas(spark, sf_dir), shocks).select("entity", "factor", "label", r6("impact"))
+    return R.scenarios(entity_betas(spark, sf_dir), shocks_of_factors(spark)).select("entity", "factor", "label", r6("impact"))
 
 
 @query("attribution", "sreg", """

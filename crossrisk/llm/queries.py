@@ -95,7 +95,7 @@ _PAIRS = ", ".join(str(r).replace("True", "true").replace("False", "false") for
 
 
 @query("op1_license_scan", rf"""
-WITH tpl(t, label, phrase, n_pairs, pos, a, b) AS (VALUES {_PAIRS}),
+WITH tpl(t, label, phrase, n_pairs, core, core_pairs, pos, a, b) AS (VALUES {_PAIRS}),
 w AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
   FROM documents),
@@ -103,25 +103,32 @@ pairs AS (
   SELECT doc_id, p - 1 AS p, ws[p] AS a, ws[p + 1] AS b
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS p FROM w WHERE len(ws) > 1)),
 votes AS (
-  SELECT doc_id, t, label, phrase, n_pairs, p - pos AS diagonal, count(*) AS votes, min(pos) AS low, max(pos) AS high
-  FROM pairs JOIN tpl USING (a, b) GROUP BY ALL),
+  SELECT doc_id, t, label, phrase, n_pairs, p - pos AS diagonal, count(*) AS votes, list(pos) AS places,
+         count(*) FILTER (pos BETWEEN core AND core + core_pairs - 1) = any_value(core_pairs) AS cored
+  FROM pairs JOIN tpl USING (a, b) GROUP BY doc_id, t, label, phrase, n_pairs, p - pos),
 marked AS (
   SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o > {licenses.SHIFT}, true) THEN 1 ELSE 0 END AS apart
   FROM votes WINDOW o AS (PARTITION BY doc_id, t ORDER BY diagonal)),
 numbered AS (
   SELECT *, sum(apart) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS span FROM marked),
 spans AS (
-  SELECT doc_id, t, label, phrase, n_pairs, span, sum(votes) AS votes, min(diagonal) AS start, min(low) AS low, max(high) AS high
-  FROM numbered GROUP BY ALL),
+  SELECT doc_id, t, label, phrase, n_pairs, span, sum(votes) AS votes, min(diagonal) AS start, bool_or(cored) AS cored,
+         list_sort(flatten(list(list_transform(places, lambda x: [diagonal + x, -x])))) AS ordered
+  FROM numbered GROUP BY doc_id, t, label, phrase, n_pairs, span),
+chained AS (
+  SELECT *, CASE WHEN phrase OR votes < {licenses.COVER} * n_pairs THEN votes ELSE list_max(list_reduce(
+           ordered, lambda best, v: list_transform(best, lambda x, j: CASE WHEN j = 1 - v[2] THEN
+             greatest(x, coalesce(list_max(best[1:-v[2]]), 0) + 1) ELSE x END),
+           list_transform(range(n_pairs), lambda x: 0::BIGINT))) END AS chain FROM spans),
 judged AS (
-  SELECT doc_id, label, start, phrase AND votes = n_pairs AS base, least(votes, high - low + 1) / n_pairs AS covered, phrase FROM spans),
+  SELECT doc_id, label, start, phrase AND votes = n_pairs AS base, chain / n_pairs AS covered, phrase, cored FROM chained),
 found AS (
-  SELECT *, CASE WHEN phrase THEN base ELSE covered >= {licenses.COVER} END AS hit FROM judged),
+  SELECT *, CASE WHEN phrase THEN base ELSE cored AND covered >= {licenses.COVER} END AS hit FROM judged),
 per_doc AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
          array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
          array_to_string(list_sort(list(DISTINCT label) FILTER (hit)), ',') AS labels,
-         max(least(covered, 1.0)) FILTER (hit) AS score
+         max(covered) FILTER (hit) AS score
   FROM found GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score

@@ -189,6 +189,42 @@ def test_license_notice_with_an_inserted_word(spark):
     assert got[3]["labels"] == ""
 
 
+def _chain(words, notice):
+    """Longest common forward chain of word pairs, by dynamic programming over all pairs of places."""
+    pairs = list(zip(notice, notice[1:]))
+    said = list(zip(words, words[1:]))
+    best = [[0] * (len(pairs) + 1) for _ in range(len(said) + 1)]
+    for i, a in enumerate(said):
+        for j, b in enumerate(pairs):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + 1 if a == b else 0)
+    return best[-1][-1] / len(pairs)
+
+
+def test_license_spans_are_verified(spark):
+    notice = "licensed under the gnu general public license version 3"
+    long = " ".join(f"w{i}" for i in range(70))                              # a template of more than 63 pairs
+    cases = {
+        1: "licensed under the gnu affero general public license version 3",
+        2: "licensed under cc 4 0 licensed under cc 4 0",
+        3: notice, 4: "it is licensed under the gnu general public license version 3 now",
+        5: "licensed under the gnu lesser general public license version 3",
+        6: "licensed also under the gnu general public license version 3",
+        7: "version 3 license public general gnu the under licensed",
+        8: "licensed under cc by nc 4 0", 9: long, 10: long.replace("w40 ", ""), 11: " ".join(["licensed under the"] * 50),
+    }
+    docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, notices=[*licenses.NOTICES, (long, "long")]).collect()}
+    found = {i: set(filter(None, r["labels"].split(","))) for i, r in got.items()}
+    assert found[1] == {"gpl"} and found[2] == set() and found[5] == {"gpl"} and found[7] == set() and found[11] == set()
+    assert found[3] == found[4] == found[6] == {"gpl", "gpl-3.0"} and found[8] == {"cc-by-nc"}
+    assert found[9] == {"long"} and got[9]["score"] == 1.0 and found[10] == {"long"}
+    # the score is that of the chain where only one notice is near
+    words = notice.split()
+    only = {r["doc_id"]: r for r in licenses.scan(docs, phrases=[], notices=[(notice, "g")], cover=0.5).collect()}
+    for i in (1, 3, 4, 5, 6):
+        assert only[i]["score"] == pytest.approx(_chain(cases[i].split(), words)), i
+
+
 def test_toxicity_on_awkward_rows(awkward, empty, labels):
     model = toxicity.train(awkward, labels, learn=False)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(awkward, model).collect()}

@@ -149,6 +149,13 @@ def calibration(panel: DataFrame) -> DataFrame:
                         F.col("rate").alias("realized"), "ci_low", "ci_high", "n")
 
 
+def calibration_by_tier(panel: DataFrame) -> DataFrame:
+    """The same per tier (A10): mean score as predicted rate against the realized rate with its interval."""
+    cells = with_rates(labelled(panel).groupBy("risk_tier").agg(*hit_columns(), F.avg("composite_score").alias("mean_score")))
+    return cells.select("risk_tier", "mean_score", (F.col("mean_score") / 100).alias("predicted"),
+                        F.col("rate").alias("realized"), "ci_low", "ci_high", "n")
+
+
 def confusion_label() -> Column:
     """Four-way outcome text."""
     flagged, event = F.col("risk_tier") == TOP_TIER, F.col("label") == 1

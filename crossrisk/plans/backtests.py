@@ -198,6 +198,16 @@ def calibration(spark, sf_dir):
                                                       r6("ci_low"), r6("ci_high"), "n")
 
 
+@query("calibration_by_tier", "valid", f"""
+    SELECT risk_tier, round(m, 6) AS mean_score, round(m / 100, 6) AS predicted, rate AS realized, ci_low, ci_high, n
+    FROM (SELECT *, {_WILSON} FROM (SELECT risk_tier, count(*) AS n, CAST(sum(label) AS BIGINT) AS events,
+             CAST(sum(label) AS DOUBLE) / count(*) AS p, avg(composite_score) AS m FROM valid GROUP BY risk_tier))""")
+def calibration_by_tier(spark, sf_dir):
+    """A10: the block per tier."""
+    return E.calibration_by_tier(panel(spark, sf_dir)).select("risk_tier", r6("mean_score"), r6("predicted"), r6("realized"),
+                                                              r6("ci_low"), r6("ci_high"), "n")
+
+
 @query("spearman_ic", "ic", "SELECT date, n, round(ic, 6) AS ic FROM ic")
 def spearman_ic(spark, sf_dir):
     """A12, B3."""

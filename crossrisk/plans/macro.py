@@ -408,6 +408,19 @@ def factor_contributors(spark, sf_dir):
     return out.select("factor", "entity", r6("weighted"), (F.round("share", 4) + F.lit(0.0)).alias("share"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("significant_contributors", "ebeta sreg holdings", _hac("port", "x", "sreg", "factor") + """
+    , sig AS (SELECT factor, b.beta AS total FROM b JOIN m USING (factor) WHERE b.n >= 30 AND abs(b.beta / (sqrt(m.meat) / b.sxx)) > 1.959963984540054),
+    w AS (SELECT h.entity, e.factor, h.weight * e.beta AS weighted, sig.total FROM holdings h JOIN ebeta e USING (entity) JOIN sig ON sig.factor = e.factor),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY factor ORDER BY abs(weighted) DESC, entity) AS rank FROM w)
+    SELECT factor, entity, round(weighted, 6) AS weighted, rank,
+           CASE WHEN abs(total) < 1e-9 THEN 0 ELSE round(weighted / total, 4) + 0.0 END AS share FROM ranked WHERE rank <= 3""")
+def significant_contributors(spark, sf_dir):
+    """Factors that are significant in the portfolio's own fit, with its beta as total."""
+    out = R.contributors(slopes(entity_betas(spark, sf_dir)), V.holdings(spark, sf_dir), slopes(each_factor(sample(spark, sf_dir), "port")))
+    return out.select("factor", "entity", r6("weighted"), F.col("rank").cast("long").alias("rank"),
+                      (F.round("share", 4) + F.lit(0.0)).alias("share"))
+
+
 @query("beta_scale", "ebeta", """
     SELECT factor, round(greatest(max(m) FILTER (rn = pos + 1), 1e-6), 6) AS scale FROM (
       SELECT *, least(CAST(floor(0.95 * n) AS BIGINT), n - 1) AS pos FROM (
@@ -443,3 +456,12 @@ def macro_summary(spark, sf_dir):
     """T4."""
     fits = R.summary(each_factor(sample(spark, sf_dir), "port"), ["which"])
     return fits.select(F.col("which").alias("factor"), "n", r6("r2"), r6("alpha_annual"), r6("max_vif"))
+
+
+@query("macro_summary_joint", "reg", """
+    , c AS (SELECT count(*) AS n, corr(A_F, A_O) AS ab, corr(A_F, N_F) AS ac, corr(A_O, N_F) AS bc FROM reg)
+    SELECT n, round(greatest(1 - ab * ab, 1 - ac * ac, 1 - bc * bc) / (1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc), 6) AS max_vif
+    FROM c""")
+def macro_summary_joint(spark, sf_dir):
+    """Largest inflation of a joint fit; the oracle inverts the correlations of three factors by hand."""
+    return R.summary(R.ols_hac(sample(spark, sf_dir), "port", XS)).select("n", r6("max_vif"))

@@ -9,13 +9,14 @@ SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
 # the smallest scale has six complete dates, below the thirty a regression needs
 REGRESSIONS = {"ols_hac_single", "timeframe_betas", "timeframe_residualized", "timeframe_comparison", "timeframe_scenarios",
-               "rolling_beta_252", "rolling_ols_252", "rolling_entity_betas", "rolling_beta_by_timeframe"}
+               "rolling_beta_252", "rolling_ols_252", "rolling_entity_betas", "rolling_beta_by_timeframe",
+               "significant_contributors", "macro_summary_joint"}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 NAMES = ["screen_scores", "backtest_panel", "decile_hit_rates", "spearman_ic", "newey_west_t", "roc", "asof_features", "forward_maxdd",
          "sector_peer_delta", "ols_hac_single", "timeframe_betas", "feature_audit", "centroid_gap", "path_drift", "altman", "event_count_90d",
          "placebo", "cluster_styles", "headline_direction", "daily_block", "largest_absolute", "knn5", "squared_silhouette", "timeframe_residualized",
          "timeframe_comparison", "timeframe_scenarios", "rolling_beta_252", "rolling_ols_252", "rolling_entity_betas",
-         "rolling_beta_by_timeframe"]
+         "rolling_beta_by_timeframe", "calibration_by_tier", "significant_contributors", "macro_summary_joint"]
 
 
 def test_the_panel_run_stops_when_fundamentals_are_empty(spark):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import asof, pca, report
 from ..session import checkpoint_folder
-from ..sources import landed
+from ..sources import landed, sinks
 from ..sources.store import load_store
 from . import macro as M
 from . import series as S
@@ -193,3 +193,15 @@ def significance(spark, sf_dir):
     rows = M.slopes(M.entity_betas(spark, sf_dir)).groupBy("factor").agg(
         F.count(F.lit(1)).alias("fits"), (F.count_if(F.col("beta") > 0) / F.count(F.lit(1))).alias("share"))
     return rows.select("factor", "fits", F.round(X.bonferroni(F.col("fits")), 9).alias("threshold"), X.percent_text(F.col("share")).alias("positive"))
+
+
+@query("series_arrays", "factor_levels", """
+    SELECT factor, count(*) AS n, string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) AS days,
+           string_agg(CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY date) AS hundredths
+    FROM factor_levels GROUP BY factor""")
+def series_arrays(spark, sf_dir):
+    """K5: every factor's series as arrays in date order."""
+    out = sinks.series_arrays(V.factor_levels(spark, sf_dir))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select("factor", F.size("values").cast("long").alias("n"), text("dates", lambda d: d.cast("string")).alias("days"),
+                      text("values", lambda v: F.round(v * 100).cast("long").cast("string")).alias("hundredths"))

@@ -36,8 +36,9 @@ def _kmers(tokens: Column) -> Column:
     """Packed slot, rank and place of every occurrence-numbered k-mer, not sorted."""
     top = (1 << SLOT_BITS + RANK_BITS) - 1
     place = (1 << PLACE_BITS) - 1
-    tokens = F.when(F.size(tokens) > place, F.raise_error(F.lit("a text has too many tokens for a place in a fingerprint"))).otherwise(tokens)
-    pairs = F.transform(_count(F.when(F.size(tokens) > 1, F.size(tokens) - 1).otherwise(F.size(tokens))), lambda i: F.shiftleft(
+    n = F.when(F.size(tokens) > place, F.raise_error(F.lit("a text has too many tokens for a place in a fingerprint")).cast("int")).when(
+        F.size(tokens) > 1, F.size(tokens) - 1).otherwise(F.size(tokens))
+    pairs = F.transform(_count(n), lambda i: F.shiftleft(
         F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1)).bitwiseAND(top), PLACE_BITS).bitwiseOR(i.cast("long")))
 
     def numbered(s):

@@ -116,3 +116,15 @@ def test_pairwise_silhouettes_are_bounded(spark, monkeypatch):
         cluster.silhouette_points(df, PCS)
     table = cluster.sweep(df.drop("cluster"), PCS, (2, 3), score=cluster.squared_silhouette).collect()
     assert {r["k"] for r in table} == {2, 3} and all(-1 <= r["silhouette"] <= 1 for r in table)
+
+
+def test_points_are_not_stored_once_for_every_cell_they_see(spark):
+    import pathlib
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    stored = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    dims = [f"PC{i + 1}" for i in range(32)]
+    x = np.random.default_rng(9).normal(0, 1, (1500, 32))
+    df = spark.createDataFrame(pd.DataFrame({"entity": np.arange(1500), **{p: x[:, i] for i, p in enumerate(dims)}})).localCheckpoint()
+    before = stored()
+    assert knn.nearest(df, df, dims, 3).count() == 4500
+    assert stored() - before < 12 * x.nbytes     # pivots see nothing here: every point sees all of the 47 cells

@@ -42,6 +42,7 @@ PIECE_FILE = "piece_bpe_32k.model"
 CHUNK_BYTES = 2 << 20
 LONGEST = 64
 MEMO_ITEMS = 800_000
+GROUP_TOKENS = 1 << 16     # of documents whose windows are cut together
 HOT_BITS = 14
 A_MARK = np.uint32(1 << 31)
 
@@ -159,47 +160,51 @@ class Aligner:
 
     def windows(self, ids: list[tuple[np.ndarray, np.ndarray] | None]) -> list[list[int] | None]:
         """The entries of each document's windows; None for a document without ids or where the bytes of both differ somewhere."""
-        cuts, keys, out = [], [], []
-        for pair in ids:
-            if pair is None:
-                cuts.append(None), keys.append([]), out.append(None)
-                continue
-            a, b = pair
-            end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-            spaced = np.flatnonzero(self.spaced_a[a[1:]])
-            at = np.searchsorted(end_b, end_a[spaced])  # below the last place, as the last ends are equal
-            anchor = (end_b[at] == end_a[spaced]) & self.spaced_b[b[np.minimum(at + 1, len(b) - 1)]]
-            cut_a = np.concatenate([[0], spaced[anchor] + 1, [len(a)]])
-            cut_b = np.concatenate([[0], at[anchor] + 1, [len(b)]])
-            wide_a, wide_b = np.diff(cut_a), np.diff(cut_b)
-            number = np.arange(len(wide_a))
-            place_a, place_b = _woven(np.repeat(number, wide_a), np.repeat(number, wide_b))
-            both = np.empty(len(a) + len(b), np.uint32)
-            both[place_a], both[place_b] = a | A_MARK, b
-            whole, ends = both.tobytes(), (4 * (cut_a + cut_b)).tolist()
-            own = [whole[x:y] for x, y in zip(ends, ends[1:])]
-            cuts.append((cut_a, cut_b, wide_a, wide_b)), keys.append(own), out.append(list(map(self.memo.get, own)))
-        missed = [(d, k) for d, own in enumerate(out) if own and None in own for k, entry in enumerate(own) if entry is None]
-        if missed:
-            self._fill(ids, cuts, keys, out, missed)
-        return [None if own is None or -1 in own else own for own in out]
-
-    def _fill(self, ids, cuts, keys, out, missed) -> None:
-        """Align each missed key once, all together, and put the entries in place."""
-        new = {}
-        for d, k in missed:
-            new.setdefault(keys[d][k], (d, k))
-        by_doc: dict[int, list[int]] = {}
-        for d, k in new.values():
-            by_doc.setdefault(d, []).append(k)
-        parts = []
-        for d, own in by_doc.items():
-            (a, b), (cut_a, cut_b, wide_a, wide_b) = ids[d], cuts[d]
-            parts.append((a[_ranges(cut_a[own], wide_a[own])], b[_ranges(cut_b[own], wide_b[own])], wide_a[own], wide_b[own]))
-        found = dict(zip(new, self.align(*[np.concatenate(x) for x in zip(*parts)])))
-        for d, k in missed:
-            out[d][k] = found[keys[d][k]]
-        self.memo.update((key, entry) for key, entry in found.items() if len(key) <= 4 * LONGEST)
+        out: list = [None] * len(ids)
+        there, size = [], 0
+        for d, pair in enumerate(ids):
+            if pair is not None:
+                there.append(d)
+                size += len(pair[0]) + len(pair[1])
+            if there and (size >= GROUP_TOKENS or d == len(ids) - 1):
+                for e, own in zip(there, self._joined([ids[e][0] for e in there], [ids[e][1] for e in there])):
+                    out[e] = None if -1 in own else own
+                there, size = [], 0
+        return out
+
+    def _joined(self, of_a: list[np.ndarray], of_b: list[np.ndarray]) -> list[list[int]]:
+        """The entries of the windows of documents, which are cut as one text with a cut at the end of each document."""
+        a, b = np.concatenate(of_a), np.concatenate(of_b)
+        stop_a, stop_b = np.cumsum([len(x) for x in of_a]), np.cumsum([len(x) for x in of_b])
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        spaced = np.flatnonzero(self.spaced_a[a[1:]])
+        at = np.searchsorted(end_b, end_a[spaced])  # below the last place, as the last ends are equal
+        anchor = (end_b[at] == end_a[spaced]) & self.spaced_b[b[np.minimum(at + 1, len(b) - 1)]]
+        cut_a = np.union1d(spaced[anchor] + 1, stop_a)
+        cut_b = np.searchsorted(end_b, end_a[cut_a - 1]) + 1
+        stops = np.searchsorted(cut_a, stop_a)
+        cut_b[stops] = stop_b
+        wide_a, wide_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+        number = np.arange(len(wide_a))
+        place_a, place_b = _woven(np.repeat(number, wide_a), np.repeat(number, wide_b))
+        both = np.empty(len(a) + len(b), np.uint32)
+        both[place_a], both[place_b] = a | A_MARK, b
+        whole, ends = both.tobytes(), (4 * (cut_a + cut_b)).tolist()
+        keys = [whole[x:y] for x, y in zip([0, *ends], ends)]
+        entries = list(map(self.memo.get, keys))
+        if None in entries:
+            missed = [k for k, entry in enumerate(entries) if entry is None]
+            new: dict[bytes, int] = {}
+            for k in missed:
+                new.setdefault(keys[k], k)
+            own = np.fromiter(new.values(), np.int64, len(new))
+            found = dict(zip(new, self.align(a[_ranges((cut_a - wide_a)[own], wide_a[own])], b[_ranges((cut_b - wide_b)[own], wide_b[own])],
+                                             wide_a[own], wide_b[own])))
+            for k in missed:
+                entries[k] = found[keys[k]]
+            self.memo.update((key, entry) for key, entry in found.items() if len(key) <= 4 * LONGEST)
+        stops = (stops + 1).tolist()
+        return [entries[x:y] for x, y in zip([0, *stops], stops)]
 
 
 @lru_cache(1)
@@ -314,20 +319,22 @@ def digests(docs: DataFrame, path_a: str | None = None, path_b: str | None = Non
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                n = len(row["doc_id"])
-                count, best = np.zeros(len(row["pairs"]), np.int64), np.zeros(len(row["pairs"]), np.int64)
-                for x in row["answers"] or []:
-                    count[x["at"]], best[x["at"]] = x["count"], x["best"]
-                doc, place, times = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("doc", "place", "times"))
-                sums = []
-                for value in (best, count):
-                    total = np.zeros(n, np.int64)
-                    np.add.at(total, doc, value[place] * times)
-                    sums.append(total)
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                n, pairs = len(row["doc_id"]), len(row["pairs"])
+                count, best = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+                if row["answers"].is_valid:
+                    at, known, top = (row["answers"].values.field(c).to_numpy(zero_copy_only=False) for c in ("at", "count", "best"))
+                    count[at], best[at] = known, top
+                doc, place, times = (np.frombuffer(row[c].as_buffer(), "<u4") for c in ("doc", "place", "times"))
+                first = np.flatnonzero(np.diff(doc, prepend=n))     # documents stand in order
+                sums = np.zeros((2, n), np.int64)
+                if len(first):
+                    for total, value in zip(sums, (best, count)):
+                        total[doc[first]] = np.add.reduceat(value[place] * times, first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row[c], pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [pa.array(s) for s in sums]
-                    + [pa.array(row["groups_sha256"], pa.string())], names=[c.split()[0] for c in DOCUMENT.split(", ")])
+                    [row[c].values for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")] + [pa.array(s) for s in sums]
+                    + [row["groups_sha256"].values], names=[c.split()[0] for c in DOCUMENT.split(", ")])
     whole = table.drop("df").join(_answered(table, known), "chunk", "left").select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "doc", "place", "times", "pairs", "answers")
     return whole.mapInArrow(tidy(run), DOCUMENT)

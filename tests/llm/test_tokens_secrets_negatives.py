@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -101,6 +102,17 @@ def test_alignment_with_many_chunks_and_frequent_pairs(plain, monkeypatch):
     assert sorted((tuple(r) for r in alignment.digests(plain.repartition(7)).collect()), key=str) == want
 
 
+def test_windows_are_the_same_however_documents_are_joined(monkeypatch):
+    rows = pa.array([" two  words", "a", "", "x" * 300 + " end", "Caf\u00e9 d\u00e9j\u00e0 vu.", "a tab\tand\nlines", "a"])
+    found = []
+    for most in (1, 1 << 16):
+        monkeypatch.setattr(alignment, "GROUP_TOKENS", most)
+        own = alignment.Aligner(*alignment._paths(None, None))
+        windows = own.windows(list(own.tokens(rows)))
+        found.append([None if w is None else [own.digest[e] for e in w] for w in windows])
+    assert found[0] == found[1] and found[0][1] == found[0][6] and found[0][2] is None
+
+
 def test_groups_cover_all_ids(awkward):
     for r in alignment.aligned(awkward).collect():
         sides = list(zip(*[g.split("|") for g in r["groups"].split(";")])) if r["groups"] else [(), ()]

@@ -84,8 +84,11 @@ def entity_betas(spark, sf_dir):
 
 def each_timeframe(df, y, by=(), controls=()):
     """One-factor fits for every factor and timeframe from one cube."""
-    ids = [c for c in df.columns if c not in V.FACTORS]
-    fits = cube.timeframe_fits(df.unpivot(ids, V.FACTORS, "which", "x"), y, ["x"], [*by, "which"], controls=controls)
+    ids, last = [c for c in df.columns if c not in V.FACTORS], df.agg(F.max("date")).scalar()
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("which"), F.col(f).alias("x")) for f in V.FACTORS]))
+    own = df.repartition(*by) if by else df         # rows travel once, and become one for each factor where they are summed
+    long = own.select(*ids, each.alias("_f")).select(*ids, "_f.which", "_f.x")
+    fits = cube.timeframe_fits(long, y, ["x"], [*by, "which"], controls=controls, last=last)
     return fits.withColumn("factor", F.when(F.col("factor") == "x", F.col("which")).otherwise(F.col("factor")))
 
 

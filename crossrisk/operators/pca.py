@@ -15,6 +15,8 @@ from . import regress
 from .gram import ONE, key_schema, keyed, moments
 from .scoring import top_k
 
+VECTOR_CELLS = 1 << 22
+
 MODEL = ("pc string, feature string, loading double, eigenvalue double, variance_ratio double, mean double, "
          "std double, n long")
 
@@ -103,9 +105,14 @@ def _calendar_days(returns: DataFrame) -> list[int]:
 
 
 def _standard_vectors(returns: DataFrame, days: list[int]) -> DataFrame:
-    """``entity, z``: one calendar-length vector per entity; an entity has at most one return per day."""
+    """``entity, z``: one calendar-length vector per entity; an entity has at most one return per day.
+
+    Partitions hold about VECTOR_CELLS days of vectors, so that the arrays of a task do not grow with the number of entities.
+    """
     cells = F.collect_list(F.struct(F.unix_date("date").alias("d"), "ret"))
-    rows = (returns.where(F.col("ret").isNotNull()).groupBy("entity").agg(cells.alias("_c"))
+    n = returns.agg(F.approx_count_distinct("entity")).first()[0]
+    parts = max(returns.sparkSession.sparkContext.defaultParallelism, -(-n * len(days) // VECTOR_CELLS))
+    rows = (returns.where(F.col("ret").isNotNull()).repartition(parts, "entity").groupBy("entity").agg(cells.alias("_c"))
             .select("entity", F.col("_c.d").alias("day"), F.col("_c.ret").alias("ret")))
     kind = returns.schema["entity"].dataType.simpleString()
     return rows.mapInPandas(kernels.standard_vectors(days), f"entity {kind}, z array<double>")

@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from crossrisk.operators import pca
 from crossrisk.plans import macro, views
 
 
@@ -21,3 +23,16 @@ def test_rows_of_timeframe_fits_are_shuffled_once(spark):
     own = rows[rows["entity"] == "e0"]
     for f, beta in one.items():
         assert beta == pytest.approx(np.polyfit(own[f], own["ret"], 1)[0])
+
+
+def test_vectors_of_a_task_are_bounded(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame(pd.DataFrame({"entity": np.repeat([f"e{i}" for i in range(90)], 20), "ret": rng.normal(size=1800),
+                                               "date": np.tile(pd.date_range("2020-01-01", periods=20).date, 90)}))
+    whole = pca.corr_pca(rows, 2)[2].collect()
+    monkeypatch.setattr(pca, "VECTOR_CELLS", 20 * 3)
+    vectors = pca._standard_vectors(rows, pca._calendar_days(rows))
+    held = vectors.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert held.sum() == 90 and held.max() <= 15
+    for a, b in zip(whole, pca.corr_pca(rows, 2)[2].collect()):
+        assert a["pc"] == b["pc"] and a["eigenvalue"] == pytest.approx(b["eigenvalue"])

@@ -3,9 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from crossrisk.operators import pca
+from crossrisk.operators import pca, starts
 from crossrisk.plans import macro, views
 
 
@@ -36,3 +37,8 @@ def test_vectors_of_a_task_are_bounded(spark, monkeypatch):
     assert held.sum() == 90 and held.max() <= 15
     for a, b in zip(whole, pca.corr_pca(rows, 2)[2].collect()):
         assert a["pc"] == b["pc"] and a["eigenvalue"] == pytest.approx(b["eigenvalue"])
+
+
+def test_starts_need_no_package_in_a_task():
+    assert b"weighted_starts" in cloudpickle.dumps(starts.weighted_starts) and b"crossrisk.operators.starts\x94\x8c" not in cloudpickle.dumps(
+        starts.weighted_starts)[:60]

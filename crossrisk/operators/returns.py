@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..config import TRADING_DAYS
+from ..functions import paths
 
 def _by_date():
     return W.partitionBy("entity").orderBy("date")
@@ -51,27 +52,15 @@ def price_signals(prices: DataFrame) -> DataFrame:
     """Momentum (W7), annualized volatility (W8) and relative volume (W9) at every (entity, date).
 
     The last row at or before an as-of date carries the as-of value, so an as-of join gives point-in-time signals.
-    Prices and volumes have no nulls here (rows without a close are dropped on ingest).
+    Prices and volumes have no nulls here (rows without a close are dropped on ingest).  Rows are dealt by entity once; the
+    trailing windows are sums over shifted columns of many entities at a time.
     """
-    day = F.unix_date("date")
-    calendar_w = W.partitionBy("entity").orderBy(day)
-    n = F.row_number().over(_by_date())
-    prev = F.lag("adj_close").over(_by_date())
-    base = prices.withColumn("_n", n).withColumn("_ret", F.try_divide("adj_close", prev) - 1)
-
-    def momentum(days: int) -> Column:
-        then = F.last("adj_close").over(calendar_w.rangeBetween(W.unboundedPreceding, -days))
-        return F.when((F.col("_n") >= 10) & (then > 0), F.col("adj_close") / then - 1)
-
-    tail60 = _by_date().rowsBetween(-59, 0)
-    vol = F.stddev_samp("_ret").over(tail60) * F.sqrt(F.lit(float(TRADING_DAYS)))
-    v20 = F.avg("volume").over(_by_date().rowsBetween(-19, 0))
-    v60 = F.avg("volume").over(tail60)
-    return base.select(
-        "entity", "date", "adj_close", "volume",
-        momentum(30).alias("momentum_30d"), momentum(90).alias("momentum_90d"),
-        F.when(F.col("_n") >= 30, vol).alias("volatility_60d"),
-        F.when((F.col("_n") >= 60) & (v60 > 0), v20 / v60).alias("relative_volume"))
+    kind, yearly = prices.schema["entity"].dataType.simpleString(), TRADING_DAYS ** 0.5
+    rows = (prices.select("entity", "date", F.col("adj_close").cast("double").alias("adj_close"), F.col("volume").cast("double").alias("volume"))
+            .repartition("entity").sortWithinPartitions("entity", "date"))
+    kernel = paths.by_entity(lambda part, who: paths.signals(part, who, yearly))
+    return rows.mapInArrow(kernel, f"entity {kind}, date date, adj_close double, volume double, momentum_30d double, "
+                                   "momentum_90d double, volatility_60d double, relative_volume double")
 
 
 def week_ending(date: str = "date", anchor: str = "FRI") -> Column:

@@ -166,13 +166,13 @@ def sandwich(keys: list[str], names: list[str]):
     return run
 
 
-def slopes_only(keys: list[str], k: int):
-    """Moment rows to plain coefficients (rolling windows)."""
+def sandwiched(keys: list[str], names: list[str]):
+    """Moment rows with score cross products to one row per estimate, as ``solver`` and ``sandwich`` one after the other."""
+    solve, finish = solver(keys, len(names)), sandwich(keys, names)
+
     def run(batches):
         for pdf in batches:
-            betas = [least_squares(int(n), np.asarray(m, dtype=float), unpack(c, k + 1))[0].tolist()
-                     for n, m, c in zip(pdf["n"], pdf["means"], pdf["cov"])]
-            yield pdf[keys].assign(beta=betas)
+            yield from finish(coef.assign(meat=pdf["meat"].to_numpy()) for coef in solve([pdf]))
     return run
 
 

@@ -19,31 +19,41 @@ NO_DAY = -(1 << 31)     # a null day sorts first
 SPAN = 1 << 33          # between the keys of two entities
 
 
-def by_entity(kernel):
-    """Calls ``kernel`` with the rows of whole entities, as a table and the number of the entity of every row."""
+def by_entity(kernel, keys=("entity",)):
+    """Calls ``kernel`` with the rows of whole entities, as a table and the number of the entity of every row.
+
+    ``keys`` name an entity; rows come sorted by them.
+    """
     def run(batches):
         held, n = [], 0
         for batch in batches:
             held, n = [*held, batch], n + len(batch)
             if n < BLOCK_ROWS:
                 continue
-            rows, who = numbered(held)
+            rows, who = numbered(held, keys)
             cut = int(np.searchsorted(who, who[-1]))
             if cut:
-                yield kernel(rows.slice(0, cut), who[:cut])
+                yield from _batches(kernel(rows.slice(0, cut), who[:cut]))
             held = rows.slice(cut).to_batches()
             n = len(rows) - cut
         if n:
-            yield kernel(*numbered(held))
+            yield from _batches(kernel(*numbered(held, keys)))
     return run
 
 
-def numbered(batches):
+def _batches(made):
+    return made if isinstance(made, list) else [made]
+
+
+def numbered(batches, keys=("entity",)):
     rows = pa.Table.from_batches(batches).combine_chunks()
-    codes = rows["entity"].combine_chunks().dictionary_encode(null_encoding="encode")
-    codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
-    codes = codes.indices.to_numpy(zero_copy_only=False)
-    return rows, np.concatenate([[0], np.cumsum(codes[1:] != codes[:-1])]).astype(np.int64)
+    new = np.zeros(max(len(rows) - 1, 0), dtype=bool)
+    for key in keys:
+        codes = rows[key].combine_chunks().dictionary_encode(null_encoding="encode")
+        codes = codes.chunk(0) if isinstance(codes, pa.ChunkedArray) else codes
+        codes = codes.indices.to_numpy(zero_copy_only=False)
+        new |= codes[1:] != codes[:-1]
+    return rows, np.concatenate([[0], np.cumsum(new)]).astype(np.int64)
 
 
 def days_of(rows, who):
@@ -150,3 +160,133 @@ def forward(rows, who, since, until, ends: dict, dd_end):
     with np.errstate(all="ignore"):
         fall, known = drawdowns(close, has_close, lo, e)
     return batch_of(out | {"_mdd": nullable(fall, known), "_n_dd": pa.array(e - lo, pa.int64())})
+
+
+def running(start, size, step: int, cols, ok):
+    """Counts, means and central co-moments of ``cols`` from the first row of every block up to each of its rows.
+
+    Blocks begin at ``start`` and go up (``step`` 1) or down (-1); rows that are not ``ok`` count nothing.  One update for the
+    j-th rows of all blocks, so a column that is constant so far has a variance of exactly zero.
+    """
+    k, pairs = len(cols), [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    order = np.argsort(-size, kind="stable")
+    start, size = start[order], size[order]
+    n, mean, co = np.zeros(len(start)), np.zeros((k, len(start))), np.zeros((len(pairs), len(start)))
+    out_n, out_mean, out_co = np.zeros(len(ok)), np.zeros((k, len(ok))), np.zeros((len(pairs), len(ok)))
+    for j in range(int(size.max(initial=0))):
+        m = int(np.searchsorted(-size, -j))         # blocks with more than j rows
+        at = start[:m] + step * j
+        good = ok[at]
+        n[:m] += good
+        gap = np.where(good, cols[:, at] - mean[:, :m], 0.0)
+        mean[:, :m] += gap / np.maximum(n[:m], 1)
+        left = np.where(good, cols[:, at] - mean[:, :m], 0.0)
+        for q, (a, b) in enumerate(pairs):
+            co[q, :m] += gap[a] * left[b]
+        out_n[at], out_mean[:, at], out_co[:, at] = n[:m], mean[:, :m], co[:, :m]
+    return out_n, out_mean, out_co / np.maximum(out_n, 1)
+
+
+def window_parts(who, cols, ok, window: int):
+    """Counts, means and population co-moments over the last ``window`` rows of the entity.
+
+    The rows of an entity are cut into blocks; a window is what is left of one block and the start of the next, merged in
+    central form.
+    """
+    at = np.arange(len(who))
+    place = at - np.searchsorted(who, who)
+    start = np.flatnonzero(place % window == 0)
+    size = np.diff(np.append(start, len(who)))
+    n, mean, cov = running(start, size, 1, cols, ok)
+    rest = running(start + size - 1, size, -1, cols, ok)
+    more = np.flatnonzero((place >= window) & (place % window < window - 1))
+    n_rest, mean_rest, cov_rest = (a[..., more - window + 1] for a in rest)
+    total = n[more] + n_rest
+    share = np.where(total > 0, n_rest / np.maximum(total, 1), 0.0)
+    gap = mean_rest - mean[:, more]
+    q = 0
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            cov[q, more] = cov[q, more] * (1 - share) + cov_rest[q] * share + gap[i] * gap[j] * share * (1 - share)
+            q += 1
+    mean[:, more] += gap * share
+    n[more] = total
+    return n, mean, cov
+
+
+def columns(rows, names):
+    """Values of several columns, zero where one of them is null, and the rows that have all."""
+    parts = [column(rows, c) for c in names]
+    ok = np.logical_and.reduce([known for _, known in parts])
+    return np.array([np.where(ok, values, 0.0) for values, _ in parts]), ok
+
+
+def lists(values):
+    """One list per row from an array of columns by rows."""
+    flat = np.ascontiguousarray(values.T).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(values.shape[1] + 1) * len(values), pa.int32()), pa.array(flat))
+
+
+def windowed(rows, who, names, window: int):
+    """``rows`` with counts, means and co-moments of ``names`` over the last ``window`` rows."""
+    cols, ok = columns(rows, names)
+    n, mean, cov = window_parts(who, cols, ok, window)
+    return batch_of({c: rows[c] for c in rows.column_names} | {
+        "_n": pa.array(n.astype(np.int64)), "_means": lists(mean), "_cov": lists(cov)})
+
+
+def rolled(rows, who, keep, names, window: int):
+    """Intercept and slopes of the first of ``names`` on the others in every full window, as ``kernels.least_squares`` has them."""
+    cols, ok = columns(rows, names)
+    n, mean, cov = window_parts(who, cols, ok, window)
+    full = np.flatnonzero(n == window)
+    k, mean, cov = len(names) - 1, mean[:, full], cov[:, full] * window
+    if k == 1:
+        slope = np.where(cov[2] != 0, cov[1] / np.where(cov[2] != 0, cov[2], 1.0), 0.0)[None]
+    else:
+        pairs = {q: at for at, q in enumerate((i, j) for i in range(k + 1) for j in range(i, k + 1))}
+        inner = np.array([[cov[pairs[min(i, j), max(i, j)]] for j in range(1, k + 1)] for i in range(1, k + 1)])
+        inner = np.linalg.pinv(inner.transpose(2, 0, 1), rcond=1e-13, hermitian=True)
+        slope = np.einsum("nij,jn->in", inner, cov[1:k + 1])
+    first = mean[0] - (mean[1:] * slope).sum(axis=0)
+    taken = pa.array(full)
+    return batch_of({c: rows[c].take(taken) for c in keep} | {"beta": lists(np.concatenate([first[None], slope]))})
+
+
+def one_factor_fits(rows, who, keys, y, xs: dict, lags: int, least: int):
+    """Moments of ``y`` and every single column of ``xs``, with the cross products of the HAC scores, per entity.
+
+    Rows without either value are left out first; entities with fewer than ``least`` others have no row.  Sums are about the
+    entity's first value, so a constant column has a variance of exactly zero.
+    """
+    out = []
+    for name, x in xs.items():
+        cols, ok = columns(rows, [y, x])
+        at = np.flatnonzero(ok & ~np.isnan(cols).any(axis=0))
+        entity, (v, w) = who[at], cols[:, at]
+        heads = np.flatnonzero(np.concatenate([[True], entity[1:] != entity[:-1]])) if len(at) else at
+        size = np.diff(np.append(heads, len(at)))
+        total = lambda a: np.add.reduceat(a, heads) if len(heads) else np.zeros(0)  # noqa: E731, B023
+        each = lambda a: np.repeat(a, size)  # noqa: E731, B023
+        mean, central = [], []
+        for a in (v, w):
+            shifted = a - each(a[heads])
+            m = total(shifted) / size
+            mean.append(a[heads] + m)
+            central.append(shifted - each(m))
+        cov = [total(a * b) / size for a, b in ((central[0], central[0]), (central[0], central[1]), (central[1], central[1]))]
+        slope = np.where(cov[2] != 0, cov[1] / np.where(cov[2] != 0, cov[2], 1.0), 0.0)
+        e = v - (each(mean[0] - mean[1] * slope) + each(slope) * w)
+        n = np.arange(len(at)) - each(heads)
+        score, late = [e, w * e], [np.zeros(len(at)), np.zeros(len(at))]
+        for lag in range(1, min(lags, len(at) - 1) + 1):
+            for s, u in zip(score, late):
+                u[lag:] += np.where(n[lag:] >= lag, s[:-lag], 0.0) * (1.0 - lag / (lags + 1))
+        meat = [total(score[i] * score[j] + score[i] * late[j] + late[i] * score[j]) for i, j in ((0, 0), (0, 1), (1, 1))]
+        keep = np.flatnonzero(size >= least)
+        some = pa.array(at[heads[keep]], pa.int64())
+        part = lambda many: lists(np.array(many)[:, keep])  # noqa: E731, B023
+        out.append(batch_of({c: rows[c].take(some) for c in keys} | {
+            "which": pa.array([name] * len(keep), pa.string()), "n": pa.array(size[keep], pa.int64()),
+            "means": part(mean), "cov": part(cov), "meat": part(meat)}))
+    return pa.Table.from_batches(out).combine_chunks().to_batches()

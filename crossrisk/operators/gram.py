@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import paths
 
 ONE = "all_rows"
 
@@ -42,34 +44,20 @@ def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str], chunk: int =
 def window_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str], window: int, date: str = "date") -> DataFrame:
     """``df`` with ``_n, _means, _cov`` of ``cols`` over the last ``window`` rows of its group, as ``moments`` has them.
 
-    Rows are cut into blocks of ``window`` rows.  A window is what is left of one block and the start of the next, and running
-    aggregates from the two ends of every block give both, so a row costs the same at every window length.  The two parts are
-    merged in central form; nothing is subtracted, so a constant column has a variance of exactly zero.  ``cols`` are null together
-    and such rows count as rows of the window only; ``_n`` is null or below ``window`` where the window is not full.  One row per
-    group and date; one shuffle on the group.
+    Rows are dealt by group once and sorted by date.  They are cut into blocks of ``window`` rows; a window is what is left of one
+    block and the start of the next, and running moments from the two ends of every block give both, so a row costs the same at
+    every window length.  The two parts are merged in central form; nothing is subtracted, so a constant column has a variance of
+    exactly zero.  ``cols`` are null together and such rows count as rows of the window only; ``_n`` is below ``window`` where the
+    window is not full.  One row per group and date.
     """
-    order = W.partitionBy(*by).orderBy(date)
-    rows = df.withColumn("_block", F.floor((F.row_number().over(order) - 1) / window))
-    block = W.partitionBy(*by, "_block")
-    whole = lambda w: [F.count(cols[0]).over(w), F.array(*[F.coalesce(F.avg(c).over(w), F.lit(0.0)) for c in cols]),
-                       F.array(*[F.coalesce(c.over(w), F.lit(0.0)) for c in _pairs(cols)])]
-    head = block.orderBy(date).rowsBetween(W.unboundedPreceding, 0)
-    rest = block.orderBy(F.col(date).desc()).rowsBetween(W.unboundedPreceding, -1)
-    names = ["n", "means", "cov"]
-    rows = rows.select("*", *[c.alias(f"_r_{a}") for a, c in zip(names, whole(rest))])
-    rows = rows.select("*", *[c.alias(f"_h_{a}") for a, c in zip(names, whole(head))])
-    rows = rows.withColumns({f"_r_{a}": F.lag(f"_r_{a}", window).over(order) for a in names})
-    nh, nr = F.col("_h_n"), F.coalesce("_r_n", F.lit(0))
-    zero = lambda a: F.coalesce(f"_r_{a}", F.transform(f"_h_{a}", lambda _: F.lit(0.0)))
-    rows = rows.withColumns({"_n": nh + nr, "_r_means": zero("means"), "_r_cov": zero("cov")})
-    share = F.when(F.col("_n") > 0, nr / F.col("_n")).otherwise(0.0)
-    gap = [F.get("_r_means", F.lit(i)) - F.get("_h_means", F.lit(i)) for i in range(len(cols))]
-    means = [F.get("_h_means", F.lit(i)) + g * share for i, g in enumerate(gap)]
-    at = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    cov = [F.get("_h_cov", F.lit(q)) * (1 - share) + F.get("_r_cov", F.lit(q)) * share + gap[i] * gap[j] * share * (1 - share)
-           for q, (i, j) in enumerate(at)]
-    return (rows.withColumns({"_means": F.array(*means), "_cov": F.array(*cov)})
-            .drop("_block", *[f"_{e}_{a}" for e in "rh" for a in names]))
+    names, by = list(cols), list(by)
+    kernel = paths.by_entity(lambda part, who: paths.windowed(part, who, names, window), by)
+    return dealt(df, by, date).mapInArrow(kernel, f"{key_schema(df, df.columns)}, _n long, _means array<double>, _cov array<double>")
+
+
+def dealt(df: DataFrame, by: Sequence[str], date: str, placed: bool = False) -> DataFrame:
+    """Rows of a group in one task, sorted by group and date; ``placed`` if a group's rows are in one task already."""
+    return (df if placed else df.repartition(*by)).sortWithinPartitions(*by, date)
 
 
 def key_schema(df: DataFrame, keys: Sequence[str]) -> str:

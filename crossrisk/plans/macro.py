@@ -70,6 +70,13 @@ def entity_sample(spark, sf_dir):
     return returns.simple_returns(V.prices(spark, sf_dir)).join(factors(spark, sf_dir), "date")
 
 
+def entity_paths(spark, sf_dir):
+    """``entity_sample`` as it comes, all rows of an entity in one task: prices are dealt before returns are taken, and what has one
+    row per day is broadcast to them."""
+    rets = returns.simple_returns(V.prices(spark, sf_dir).repartition("entity"))
+    return rets.join(F.broadcast(factors(spark, sf_dir)), "date")
+
+
 def each_factor(df, y, by=(), lags=5):
     """One-factor fits for every factor at once: the factor is a group key."""
     ids = [c for c in df.columns if c not in V.FACTORS]
@@ -267,7 +274,8 @@ def rolling_ols_252(spark, sf_dir):
 def rolling_entity_betas(spark, sf_dir):
     """Every entity against the portfolio."""
     p = S.portfolio(spark, sf_dir).withColumnRenamed("ret", "port")
-    out = R.rolling_betas(entity_sample(spark, sf_dir).join(p, "date"), "ret", ["port"], by=["entity"])
+    rows = entity_paths(spark, sf_dir).select("entity", "date", "ret").join(F.broadcast(p), "date")      # p: one row per day
+    out = R.rolling_betas(rows, "ret", ["port"], by=["entity"], placed=True)
     return out.select("entity", "date", r6("beta"))
 
 

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 
 from crossrisk.functions import paths
-from crossrisk.operators import asof, returns
+from crossrisk.operators import asof, regress as R, returns
+from crossrisk.plans import views as V
 
 START = dt.date(2020, 1, 1)
 
@@ -74,3 +75,41 @@ def test_forward_windows_are_slices_of_the_path(spark, walk, monkeypatch, block)
             fall = ((part.cummax() - part) / part.cummax()).max() if len(part) >= 2 else np.nan
             assert row["fwd_maxdd"] is None if np.isnan(fall) else row["fwd_maxdd"] == pytest.approx(fall)
     assert seen == len(got) and seen > 12
+
+
+def _panel(rng, n=330):
+    """Returns of entities with gaps, nulls, a flat stretch and far-off levels; one too short for a fit, one without a name."""
+    rows = []
+    for e, size in (("a", n), ("b", 61), ("c", 12), (None, 90)):
+        x = rng.normal(size=(size, len(V.FACTORS))) + 1e4
+        x[5:80, 1] = 7.0
+        y = x[:, 0] * 0.4 + rng.normal(size=size)
+        for i in range(size):
+            xs = [None if rng.random() < 0.03 else float(v) for v in x[i]]
+            rows.append((e, START + dt.timedelta(days=int(i)), None if i % 50 == 9 else float(y[i]), *xs))
+    return rows
+
+
+_PANEL = "entity string, date date, ret double, " + ", ".join(f"{f} double" for f in V.FACTORS)
+
+
+@pytest.mark.parametrize("block", [1 << 16, 50])
+@pytest.mark.parametrize("xs", [["A_F"], ["A_F", "A_O"]])
+def test_rolling_betas_are_solved_many_at_once(spark, monkeypatch, block, xs):
+    monkeypatch.setattr(paths, "BLOCK_ROWS", block)
+    rows = _panel(np.random.default_rng(4))
+    out = R.rolling_betas(spark.createDataFrame(rows, _PANEL), "ret", xs, 60, ["entity"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "Window" not in plan and plan.count("Exchange") == 1
+    got = {(r["entity"], r["date"], r["factor"]): r["beta"] for r in out.collect()}
+    frame, seen = pd.DataFrame(rows, columns=["entity", "date", "ret", *V.FACTORS]), 0
+    for e in ("a", "b", "c", None):
+        own = frame[frame["entity"].isna() if e is None else frame["entity"] == e].dropna(subset=["ret", *xs])
+        for i in range(59, len(own)):
+            part = own.iloc[i - 59:i + 1]
+            x = part[xs].to_numpy() - part[xs].to_numpy().mean(axis=0)
+            want = np.linalg.pinv(x, rcond=1e-6) @ (part["ret"] - part["ret"].mean()).to_numpy()
+            have = [got[e, part["date"].iloc[-1], f] for f in xs]
+            np.testing.assert_allclose(have, want, rtol=1e-5, atol=1e-8)
+            seen += 1
+    assert seen * len(xs) == len(got) and seen > 200

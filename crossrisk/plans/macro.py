@@ -77,16 +77,15 @@ def entity_paths(spark, sf_dir):
     return rets.join(F.broadcast(factors(spark, sf_dir)), "date")
 
 
-def each_factor(df, y, by=(), lags=5):
-    """One-factor fits for every factor at once: the factor is a group key."""
-    ids = [c for c in df.columns if c not in V.FACTORS]
-    fits = R.ols_hac(df.unpivot(ids, V.FACTORS, "which", "x"), y, ["x"], [*by, "which"], lags)
+def each_factor(df, y, by=(), lags=5, placed=False):
+    """One-factor fits for every factor at once."""
+    fits = R.one_factor_ols(df, y, V.FACTORS, by, lags, placed=placed)
     return fits.withColumn("factor", F.when(F.col("factor") == "x", F.col("which")).otherwise(F.col("factor")))
 
 
 @V.stored
 def entity_betas(spark, sf_dir):
-    return each_factor(entity_sample(spark, sf_dir), "ret", ["entity"])
+    return each_factor(entity_paths(spark, sf_dir), "ret", ["entity"], placed=True)
 
 
 def each_timeframe(df, y, by=(), controls=()):
@@ -176,7 +175,8 @@ def ols_two_factors(spark, sf_dir):
     FROM b JOIN m USING (entity, factor) WHERE b.n >= 30""")
 def per_entity_betas(spark, sf_dir):
     """Every entity and factor in one plan."""
-    return slopes(each_factor(entity_sample(spark, sf_dir), "ret", ["entity"])).select("entity", "factor", "n", r6("beta"), r6("std_err"))
+    fits = each_factor(entity_paths(spark, sf_dir), "ret", ["entity"], placed=True)
+    return slopes(fits).select("entity", "factor", "n", r6("beta"), r6("std_err"))
 
 
 @query("multi_factor_betas")

@@ -5,10 +5,11 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from crossrisk.functions import paths
 from crossrisk.operators import asof, regress as R, returns
-from crossrisk.plans import views as V
+from crossrisk.plans import macro as M, views as V
 
 START = dt.date(2020, 1, 1)
 
@@ -93,6 +94,24 @@ def _panel(rng, n=330):
 _PANEL = "entity string, date date, ret double, " + ", ".join(f"{f} double" for f in V.FACTORS)
 
 
+@pytest.mark.parametrize("block", [1 << 16, 50])
+def test_one_factor_fits_are_those_of_copied_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(paths, "BLOCK_ROWS", block)
+    df = spark.createDataFrame(_panel(np.random.default_rng(2)), _PANEL)
+    got = M.each_factor(df, "ret", ["entity"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Expand" not in plan and "Join" not in plan     # rows are dealt once and not copied
+    long = df.unpivot(["entity", "date", "ret"], V.FACTORS, "which", "x")
+    want = R.ols_hac(long, "ret", ["x"], ["entity", "which"])
+    want = want.withColumn("factor", F.when(F.col("factor") == "x", F.col("which")).otherwise(F.col("factor")))
+    assert got.columns == want.columns
+    keys = ["entity", "which", "factor"]
+    got, want = (d.toPandas().set_index(keys).sort_index() for d in (got, want))
+    assert list(got.index) == list(want.index) and len(got) == 2 * 2 * len(V.FACTORS)
+    for c in got.columns:
+        np.testing.assert_allclose(got[c].astype(float), want[c].astype(float), rtol=1e-6, atol=1e-9, err_msg=c)
+
+
 @pytest.mark.parametrize("block", [1 << 16, 50])
 @pytest.mark.parametrize("xs", [["A_F"], ["A_F", "A_O"]])
 def test_rolling_betas_are_solved_many_at_once(spark, monkeypatch, block, xs):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crossrisk.functions import paths
 from crossrisk.operators import asof, regress as R, returns
-from crossrisk.plans import macro as M, views as V
+from crossrisk.plans import fundamental, macro as M, views as V
 
 START = dt.date(2020, 1, 1)
 
@@ -132,3 +132,17 @@ def test_rolling_betas_are_solved_many_at_once(spark, monkeypatch, block, xs):
             np.testing.assert_allclose(have, want, rtol=1e-5, atol=1e-8)
             seen += 1
     assert seen * len(xs) == len(got) and seen > 200
+
+
+def test_a_row_group_of_customers_is_dealt_before_its_items_are_made(spark, tmp_path, monkeypatch):
+    """All customers lie in one row group, so without dealing one task makes and sums the items of all."""
+    made = {}
+    monkeypatch.setattr(fundamental.FU, "build_features", lambda stmt, *rest: made.setdefault("stmt", stmt))
+    monkeypatch.setattr(V, "stmt", lambda *a: spark.createDataFrame([], "entity string, statement string, period_end date, item string, value double"))
+    for name in ("prices", "filings"):
+        monkeypatch.setattr(V, name, lambda *a: spark.createDataFrame([], "entity string, date date, adj_close double, volume double"))
+    spark.createDataFrame([(i, "n", 1.0, "s") for i in range(1, 241)], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = fundamental.features.__wrapped__(spark, str(tmp_path))
+    assert "RepartitionByExpression" in plan_of(rows)
+    assert rows.groupBy("entity").count().where("count <> 6").count() == 0 and rows.count() == 240 * 6

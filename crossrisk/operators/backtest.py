@@ -28,7 +28,8 @@ def scoreable(store: Store, cfg: RunConfig) -> tuple[DataFrame, DataFrame, DataF
     days = asof.calendar(dates)
     rows = asof.features_asof(store.features, days)
     if store.universe is not None:
-        members = asof.membership_asof(store.universe, days)
+        # Spark sizes the members by their file, not by the dates they are expanded to, and would broadcast millions of rows
+        members = asof.membership_asof(store.universe, days).hint("merge")
         rows = rows.join(members, ["as_of", "entity"], "left_semi")
     held = None
     if store.holdings is not None:

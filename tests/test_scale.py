@@ -6,8 +6,10 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from crossrisk.operators import pca, starts
+from crossrisk.config import RunConfig
+from crossrisk.operators import backtest, pca, starts
 from crossrisk.plans import macro, views
+from crossrisk.sources.store import Store
 
 
 def test_rows_of_timeframe_fits_are_shuffled_once(spark):
@@ -42,3 +44,21 @@ def test_vectors_of_a_task_are_bounded(spark, monkeypatch):
 def test_starts_need_no_package_in_a_task():
     assert b"weighted_starts" in cloudpickle.dumps(starts.weighted_starts) and b"crossrisk.operators.starts\x94\x8c" not in cloudpickle.dumps(
         starts.weighted_starts)[:60]
+
+
+def test_members_are_dealt_and_not_broadcast(spark, tmp_path):
+    """A member's file row stands for a row at every date, so the size of the file says nothing."""
+    days = [pd.Timestamp(f"{y}-{m}-28").date() for y in (2020, 2021) for m in (3, 6, 9, 12)]
+    rng = np.random.default_rng(1)
+    facts = pd.DataFrame([{"date": d, "entity": f"e{i}", "sector": "s", "altman_z": rng.normal()} for d in days for i in range(8)])
+    flags = pd.DataFrame([{"date": days[0], "entity": f"e{i}", "in_index": i % 4 > 0} for i in range(8)])
+    tables = {}
+    for name, own in (("features", facts), ("universe", flags)):
+        spark.createDataFrame(own).write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    rows, dates, _ = backtest.scoreable(Store(prices=None, **tables), RunConfig())
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    semi = [line for line in plan.splitlines() if "Join [as_of" in line and "LeftSemi" in line]
+    assert semi and all("SortMergeJoin" in line for line in semi)
+    assert dates.count() == 8
+    assert {(r["date"], r["entity"]) for r in rows.collect()} == {(d, f"e{i}") for d in days for i in range(8) if i % 4}

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from crossrisk.operators import cells, cluster, knn, starts
+from crossrisk.operators import cells, cluster, knn, pairwise, starts
 
 PCS = ["PC1", "PC2", "PC3"]
 
@@ -128,3 +128,46 @@ def test_points_are_not_stored_once_for_every_cell_they_see(spark):
     before = stored()
     assert knn.nearest(df, df, dims, 3).count() == 4500
     assert stored() - before < 12 * x.nbytes     # pivots see nothing here: every point sees all of the 47 cells
+
+
+def brute_silhouettes(rows, pcs, by):
+    """Silhouette of every (group, entity, cluster); rows of an entity do not count for each other."""
+    out = {}
+    for key, own in rows.groupby(by):
+        x, name, label = own[pcs].to_numpy(), own["entity"].to_numpy(), own["cluster"].to_numpy()
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        apart = name[:, None] != name[None]
+        for e, c in set(zip(name, label)):
+            at = (name == e) & (label == c)
+            mean = {k: d[at][:, label == k][apart[at][:, label == k]].mean() for k in set(label) if apart[at][:, label == k].any()}
+            a, rest = mean.get(c), [v for k, v in mean.items() if k != c]
+            out[(*key, e, c)] = 0.0 if a is None or not rest or max(a, *rest) == 0 else (min(rest) - a) / max(a, min(rest))
+    return out
+
+
+@pytest.mark.parametrize("same", [(), ("k",)])
+@pytest.mark.parametrize("wanted", [1, 256])
+def test_silhouettes_of_many_labelings_and_blocks(spark, monkeypatch, same, wanted):
+    monkeypatch.setattr(pairwise, "WANTED_TILES", wanted)
+    monkeypatch.setattr(pairwise, "STEP", 16)
+    rng = np.random.default_rng(8)
+    base = pd.concat([frame(rng.normal(100, 1, (90, 3)) * [1, 5, 9], d=d) for d in ("a", "b")])
+    base.loc[base["entity"] == 5, PCS] = base.loc[base["entity"] == 6, PCS].to_numpy()
+    base.loc[base["entity"] == 7, PCS] = 4000.0
+    base = pd.concat([base, base[base["entity"] < 3]])      # rows that come twice
+    rows = pd.concat([base.assign(k=k, cluster=(base["entity"] * 7 + base["entity"] // 9) % k) for k in (2, 4)])
+    rows.loc[(rows["entity"] == 20) & (rows["k"] == 4), "cluster"] = 9       # alone in its cluster
+    got = cluster.silhouette_points(spark.createDataFrame(rows), PCS, ["d", "k"], tile=20, same=same).collect()
+    want = brute_silhouettes(rows, PCS, ["d", "k"])
+    assert len(got) == len(want)
+    for r in got:
+        assert r["silhouette"] == pytest.approx(want[r["d"], r["k"], r["entity"], r["cluster"]], abs=1e-12)
+
+
+def test_distance_sums_and_their_limit():
+    x = np.random.default_rng(9).normal(0, 1, (700, 3))
+    sums = pairwise.distance_sums(x, np.ones((700, 1)), name=np.arange(700))[0]
+    assert sums[:, 0] == pytest.approx(np.sqrt(((x[:, None] - x) ** 2).sum(2)).sum(1))
+    there, back = pairwise.distance_sums(x[:300], np.ones((300, 1)), x[300:], np.ones((400, 1)))
+    assert there.sum() == pytest.approx(back.sum()) and len(back) == 400
+    assert cluster.MOST_PAIRWISE >= 10 * 360 * 2000

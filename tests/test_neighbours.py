@@ -171,3 +171,14 @@ def test_distance_sums_and_their_limit():
     there, back = pairwise.distance_sums(x[:300], np.ones((300, 1)), x[300:], np.ones((400, 1)))
     assert there.sum() == pytest.approx(back.sum()) and len(back) == 400
     assert cluster.MOST_PAIRWISE >= 10 * 360 * 2000
+
+
+def test_silhouettes_beside_points_without_a_place(spark):
+    """A cluster with a null coordinate has no mean distance; a point without another one has 0."""
+    x = np.random.default_rng(3).normal(0, 1, (40, 3))
+    rows = frame(x, cluster=np.arange(40) % 4)
+    held = rows[rows["cluster"] < 3].assign(d=0)
+    rows.loc[7, "PC2"] = None
+    got = {r["entity"]: r["silhouette"] for r in cluster.silhouette_points(spark.createDataFrame(rows.astype(object).where(rows.notna(), None), "PC1 double, PC2 double, PC3 double, entity long, cluster long"), PCS).collect()}
+    want = brute_silhouettes(held, PCS, ["d"])
+    assert got == pytest.approx({**{e: v for (_, e, _), v in want.items()}, **{e: 0.0 for e in range(3, 40, 4)}})
